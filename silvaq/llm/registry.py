@@ -15,8 +15,16 @@ def op2_mixing(spark, sf_dir):
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    from .token_files import encode_and_read
+
+    return encode_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {"op2_mixing": op2_mixing}
+    return {f.__name__: f for f in (op2_mixing, op9_token_files)}
 
 
 def oracle_sql() -> dict:
