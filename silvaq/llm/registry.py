@@ -15,6 +15,18 @@ def op2_mixing(spark, sf_dir):
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark, sf_dir):
+    from .language_id import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark, sf_dir):
     import public_tokenizers
 
@@ -24,7 +36,7 @@ def op9_token_files(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op9_token_files)}
+    return {f.__name__: f for f in (op2_mixing, op4_toxicity, op7_language_id, op9_token_files)}
 
 
 def oracle_sql() -> dict:
