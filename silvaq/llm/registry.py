@@ -27,6 +27,12 @@ def op7_language_id(spark, sf_dir):
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark, sf_dir):
+    from .secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark, sf_dir):
     import public_tokenizers
 
@@ -36,7 +42,7 @@ def op9_token_files(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op4_toxicity, op7_language_id, op9_token_files)}
+    return {f.__name__: f for f in (op2_mixing, op4_toxicity, op7_language_id, op8_secrets, op9_token_files)}
 
 
 def oracle_sql() -> dict:

@@ -8,12 +8,17 @@ row per file, and a document's place in the whole stream is the sum of the files
 
 from __future__ import annotations
 
+import array
+import functools
+import itertools
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +28,8 @@ from .common import filesystem, fresh_dir, stored
 LENGTH = 2048
 #: Sequences in one batch of a file.
 BATCH = 64
-#: Words whose ids a worker keeps, and the longest such word in bytes.
-KEPT, LONGEST = 300_000, 64
+#: Words whose ids a worker keeps, and the longest such word in bytes; text encoded at once, in code points.
+KEPT, LONGEST, TOGETHER = 400_000, 64, 1 << 20
 
 
 class WordEncoder:
@@ -34,27 +39,57 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, dtype=np.uint16):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = dtype
+        self.code = {1: "B", 2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.known: dict[bytes, bytes] = {}
 
+    def _new(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        """Encodes words that are not known. A stop or comma that follows a letter or digit ends it, as the tokenizer has it, so that what is before it may be known."""
+        stems = {w: (w[:-1], w[-1:]) for w in words if w[-1:] in b".," and w[-2:-1].isalnum()}
+        wanted = list({s for pair in stems.values() for s in pair}.union(w for w in words if w not in stems).difference(self.known))
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in wanted], add_special_tokens=False)
+        for w, got in zip(wanted, coded, strict=True):
+            into[w] = array.array(self.code, got.ids).tobytes()
+        for w, (stem, sign) in stems.items():
+            into[w] = (into[stem] if stem in into else self.known[stem]) + (into[sign] if sign in into else self.known[sign])
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         known = self.known
-        if len(known) > KEPT:
-            known.clear()
-        split = [(t.encode().split() if t else []) for t in texts]
-        new = list(set().union(*split).difference(known))
-        once = {}
+        if len(known) > KEPT:  # what came first is what comes often
+            self.known = known = dict(itertools.islice(known.items(), KEPT // 2))
+        data = [t.encode() if t else b"" for t in texts]
+        # The tokenizer lower-cases, but matches its special tokens as they stand.
+        split = [(d if b"<|" in d else d.lower()).split() for d in data]
+        new, once = set().union(*split).difference(known), {}
+        if long := [w for w in new if len(w) > LONGEST]:
+            new.difference_update(long)
+            self._new(long, once)
         if new:
-            for word, got in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                (known if len(word) <= LONGEST else once)[word] = np.asarray(got.ids, dtype=self.dtype).tobytes()
+            self._new(list(new), known)
         if once:
-            return [b"".join([known[w] if len(w) <= LONGEST else once[w] for w in words]) for words in split]
+            return [b"".join([once[w] if w in once else known[w] for w in words]) for words in split]
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, dtype: str) -> WordEncoder:
+    """A worker's encoder: one, for all its tasks."""
+    return WordEncoder(path, dtype)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `most` bytes of text, at least a row each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(sizes):
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")))
+        yield batch.slice(at, n)
+        at += n
+
+
 def file_schema(length: int, dtype) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
 
@@ -135,7 +170,7 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int = 2, le
     width = np.dtype(dtype).itemsize
 
     def task(batches):
-        encoder = WordEncoder(tokenizer_path, dtype)
+        coder = encoder(tokenizer_path, dtype)
         fs, root = filesystem(out)
         fs.create_dir(root, recursive=True)
         name = f"part-{TaskContext.get().partitionId():06d}"
@@ -143,12 +178,10 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int = 2, le
         first, n_docs, n_tokens, started = None, 0, 0, False
         with fs.open_output_stream(f"{temp}.ids") as a, fs.open_output_stream(f"{temp}.docs") as b:
             ids, index = SequenceWriter(a, length, dtype), pa.ipc.new_file(b, DOCS)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (part for whole in batches for part in slices(whole, 1)):
                 if not started:
                     first, started = batch.column(0)[0].as_py(), True
-                coded = encoder.encode(batch.column(1).to_pylist())
+                coded = coder.encode(batch.column(1).to_pylist())
                 counts = [len(x) // width + 1 for x in coded]
                 for x in coded:
                     ids.add(x)
