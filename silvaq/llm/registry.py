@@ -15,12 +15,24 @@ def op2_mixing(spark, sf_dir):
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark, sf_dir):
+    from .ngram_join import group
+
+    return group(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark, sf_dir):
     from .toxicity import toxicity
 
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_language_model(spark, sf_dir):
+    from .language_model import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark, sf_dir):
     from .language_id import identify
 
@@ -42,7 +54,7 @@ def op9_token_files(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op4_toxicity, op7_language_id, op8_secrets, op9_token_files)}
+    return {f.__name__: f for f in (op2_mixing, op3_ngram_join, op4_toxicity, op6_language_model, op7_language_id, op8_secrets, op9_token_files)}
 
 
 def oracle_sql() -> dict:
