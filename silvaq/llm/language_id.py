@@ -140,7 +140,7 @@ def identify(docs: DataFrame, *, modulus: int = 3, held: int = 1) -> DataFrame:
     the result is empty; other columns are ignored.
     """
     held_out = (remainder(F.col("doc_id"), modulus) == held).alias("held_out")
-    rows = sample(docs.where(~held_out), F.col("lang"), PER_LANGUAGE, MOST)
+    rows = sample(docs.select("doc_id", "text"), docs.where(~held_out).select("doc_id", F.col("lang").alias("label")), PER_LANGUAGE, MOST)
     model = docs.sparkSession.sparkContext.broadcast(fit(rows))
 
     def task(batches):

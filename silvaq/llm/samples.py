@@ -2,33 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Classes that a sample holds at most: the most frequent ones.
 MAX_CLASSES = 256
 
 
-def sample(docs: DataFrame, label: Column, per_class: int, most: int) -> list[tuple[str, object]]:
+def sample(docs: DataFrame, labels: DataFrame, per_class: int, most: int) -> list[tuple[str, object]]:
     """(text, label) of at most `most` rows, about per_class of each class, on the driver.
 
-    docs: doc_id, text and what label needs; rows where label is null are left out. The choice follows a hash of doc_id, so that
-    it is the same in each run. Only ids and labels are counted and ranked; texts are read for the chosen rows alone.
+    docs: doc_id, text. labels: doc_id, label, of docs; null labels are left out. The choice follows a hash of doc_id, so that it
+    is the same in each run. Only ids and labels are counted and ranked; texts are read for the chosen ids alone and not shuffled.
     """
-    slim = docs.select("doc_id", label.alias("label")).where(F.col("label").isNotNull())
+    slim = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     counts = {r["label"]: r["n"] for r in slim.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_CLASSES).collect()}
     if not counts:
         return []
-    place = (F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(7)) / F.lit(2.0**64) + F.lit(0.5)).alias("place")
+    place = (F.xxhash64("doc_id", F.lit(7)) / F.lit(2.0**64) + F.lit(0.5)).alias("place")
     part = F.lit(0.0)
     for value, n in counts.items():
         part = F.when(F.col("label") == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(part)
-    chosen = slim.withColumn("place", place).where(F.col("place") < part).orderBy("place", "doc_id").limit(most).select("doc_id").distinct()
-    ids = [r[0] for r in chosen.collect()]
-    if not ids:
+    chosen = slim.withColumn("place", place).where(F.col("place") < part).orderBy("place", "doc_id", "label").limit(most)
+    picked = {r["doc_id"]: r["label"] for r in chosen.select("doc_id", "label").collect()}
+    if not picked:
         return []
-    few = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), label.alias("label")).where(F.col("label").isNotNull())
-    found = rows.join(F.broadcast(few), "doc_id").limit(most).toArrow()
-    order = sorted(zip(found["doc_id"].to_pylist(), found["text"].to_pylist(), found["label"].to_pylist(), strict=True), key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % 2**64, r[1], str(r[2])))
-    return [(text, y) for _, text, y in order]
+    few = docs.sparkSession.createDataFrame([(i,) for i in picked], "doc_id long")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").limit(most).toArrow()
+    order = sorted(zip(found["doc_id"].to_pylist(), found["text"].to_pylist(), strict=True), key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % 2**64, r[1]))
+    return [(text, picked[i]) for i, text in order]

@@ -9,6 +9,7 @@ of the marginals, fitted on part of the sample that the field does not see, give
 
 from __future__ import annotations
 
+import array
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -153,23 +154,31 @@ def fit(rows: list[tuple[str, int]], *, rounds: int = 25, odds: float = 12.0, le
         if len(rows):
             model.head[3] = 3.0 if y[0] else -3.0
         return model
-    docs = [words_of(t) for t, _ in rows]
+    index: dict[bytes, int] = {}
+    docs = [np.fromiter((index.setdefault(w, len(index)) for w in words_of(t)), np.int32) for t, _ in rows]
     use = np.arange(len(rows)) % 3 != 2
-    vocabulary = sorted(set().union(*(w for w, u in zip(docs, use, strict=True) if u)))
-    index = {w: i for i, w in enumerate(vocabulary)}
-    of = [features(w) for w in vocabulary]
-    token, ids = np.repeat(np.arange(len(of)), [len(f) for f in of]), np.array([f for fs in of for f in fs])
-    distinct = [np.unique(np.fromiter((f for x in set(w) for f in of[index[x]]), np.int64)) for w, u in zip(docs, use, strict=True) if u]
-    marks = _markers(distinct, y[use], odds, least)
-    marked = np.zeros(len(of), bool)
+    flat_ids, ends = array.array("i"), array.array("q", [0])
+    for w in index:
+        flat_ids.extend(features(w))
+        ends.append(len(flat_ids))
+    ids, ends = np.frombuffer(flat_ids, np.int32), np.frombuffer(ends, np.int64)
+    of, token = len(index), np.repeat(np.arange(len(index), dtype=np.int32), np.diff(ends))
+
+    def distinct(a):
+        w = np.unique(a)
+        n = ends[w + 1] - ends[w]
+        return np.unique(ids[np.repeat(ends[w] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+
+    marks = _markers([distinct(a) for a, u in zip(docs, use, strict=True) if u], y[use], odds, least)
+    marked = np.zeros(of, bool)
     marked[token[marks[ids]]] = True
     sequences, tags = [], []
-    for w, label, u in zip(docs, y, use, strict=True):
-        a = np.array([index[x] for x in w], dtype=np.int64) if u else []
-        for at in range(0, len(a), SEQUENCE):
-            s = a[at : at + SEQUENCE]
-            sequences.append(s)
-            tags.append(marked[s] & bool(label))
+    for a, label, u in zip(docs, y, use, strict=True):
+        for at in range(0, len(a) if u else 0, SEQUENCE):
+            sequences.append(a[at : at + SEQUENCE])
+            tags.append(marked[sequences[-1]] & bool(label))
+    if not sequences:
+        return model
     flat, gold = np.concatenate(sequences), np.concatenate(tags).astype(float)
     cuts = np.cumsum([len(s) for s in sequences])[:-1]
     inner = np.ones(len(flat) - 1, bool)
@@ -182,16 +191,16 @@ def fit(rows: list[tuple[str, int]], *, rounds: int = 25, odds: float = 12.0, le
     model.start = float(np.log((rate + 1e-6) / (1 - rate + 1e-6)))
     weight, square = model.weights, np.full(BUCKETS, 1e-8)
     for _ in range(rounds):
-        emission = np.bincount(token, weight[ids], len(of))
+        emission = np.bincount(token, weight[ids], of)
         found = marginal_odds(np.split(emission[flat], cuts), model.trans, model.start)
         p = 1 / (1 + np.exp(-np.clip(np.concatenate(found), -30, 30)))
-        by_word = np.bincount(flat, p - gold, len(of))
+        by_word = np.bincount(flat, p - gold, of)
         slope = np.bincount(ids, by_word[token], BUCKETS) + 0.02 * weight
         square += slope * slope
         weight -= 0.5 * slope / np.sqrt(square)
     rest = [i for i in range(len(rows)) if not use[i]]
-    x, target = summary(model.tag([docs[i] for i in rest])), y[rest]
-    model.known.clear()
+    emission = np.bincount(token, weight[ids], of)
+    x, target = summary(marginal_odds([emission[docs[i]] for i in rest], model.trans, model.start)), y[rest]
     head = np.zeros(4)
     for _ in range(30):  # Newton's method with a ridge
         p = 1 / (1 + np.exp(-np.clip(x @ head, -30, 30)))
@@ -230,8 +239,8 @@ SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64()
 
 def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held: int = 2) -> Model:
     """A model of the labelled rows whose crc32(doc_id) modulo `modulus` is not `held`."""
-    known = labels.where(F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), modulus) != held)).select("doc_id", F.col("toxic").cast("int").alias("silvaq_toxic"))
-    return fit(sample(docs.select("doc_id", "text").join(known, "doc_id"), F.col("silvaq_toxic"), PER_LABEL, MOST))
+    known = labels.where(F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), modulus) != held)).select("doc_id", F.col("toxic").cast("int").alias("label"))
+    return fit(sample(docs.select("doc_id", "text"), docs.select("doc_id").join(known, "doc_id"), PER_LABEL, MOST))
 
 
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
