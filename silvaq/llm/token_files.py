@@ -12,6 +12,7 @@ import array
 import functools
 import itertools
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,8 +33,20 @@ BATCH = 64
 KEPT, LONGEST, TOGETHER = 400_000, 64, 1 << 20
 
 
+def _one_run(word: str) -> bool:
+    """Whether normalisation leaves a word as it is and the tokenizer's pattern takes it whole: lower-case letters, composed."""
+    return word.isalpha() and word.lower() == word and unicodedata.is_normalized("NFC", word)
+
+
+# The signs by which byte-level models know bytes: printable ones stand for themselves, the others follow from 256 on.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGNS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
+
+
 class WordEncoder:
-    """Encodes whole texts with a tokenizer that drops white space, a word at a time, so that each frequent word is encoded once.
+    """Encodes whole texts with a byte-level tokenizer that drops white space, a word at a time, so that each frequent word is encoded once.
+
+    A new word of letters goes straight to the tokenizer's model; any other goes through its normaliser and pattern first.
 
     Words end at ASCII white space, which this kind of tokenizer always splits at and never encodes: the ids of a text are the ids of its words.
     """
@@ -49,10 +62,15 @@ class WordEncoder:
     def _new(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
         """Encodes words that are not known. A stop or comma that follows a letter or digit ends it, as the tokenizer has it, so that what is before it may be known."""
         stems = {w: (w[:-1], w[-1:]) for w in words if w[-1:] in b".," and w[-2:-1].isalnum()}
-        wanted = list({s for pair in stems.values() for s in pair}.union(w for w in words if w not in stems).difference(self.known))
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in wanted], add_special_tokens=False)
-        for w, got in zip(wanted, coded, strict=True):
-            into[w] = array.array(self.code, got.ids).tobytes()
+        wanted, rest = {s for pair in stems.values() for s in pair}.union(w for w in words if w not in stems).difference(self.known), []
+        tokenize, code = self.tokenizer.model.tokenize, self.code
+        for w in wanted:
+            if w.isalpha() and w.islower() or _one_run(w.decode()):
+                into[w] = array.array(code, [t.id for t in tokenize(w.decode("latin-1").translate(_SIGNS))]).tobytes()
+            else:
+                rest.append(w)
+        for w, got in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            into[w] = array.array(code, got.ids).tobytes()
         for w, (stem, sign) in stems.items():
             into[w] = (into[stem] if stem in into else self.known[stem]) + (into[sign] if sign in into else self.known[sign])
 
@@ -232,7 +250,8 @@ def read(manifest: DataFrame, out: str) -> DataFrame:
                             sums.append(crc)
                         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(starts, pa.int64()), part.column(1), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    dealt = based.select("file", "base").repartition("file")
+    files = max(1, min(manifest.count(), 4 * manifest.sparkSession.sparkContext.defaultParallelism + 1000))
+    dealt = based.select("file", "base").repartition(files, "file")  # a number, so that small rows are not taken for little work
     return dealt.mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
