@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lsh_search(spark, sf_dir):
+    from .lsh_search import search
+
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_mixing(spark, sf_dir):
     from .mixing import mix
 
@@ -27,6 +33,12 @@ def op4_toxicity(spark, sf_dir):
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_vector_dedup(spark, sf_dir):
+    from .vector_dedup import dedup
+
+    return dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_language_model(spark, sf_dir):
     from .language_model import score
 
@@ -53,8 +65,16 @@ def op9_token_files(spark, sf_dir):
     return encode_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    from .transducer import encode
+
+    return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op3_ngram_join, op4_toxicity, op6_language_model, op7_language_id, op8_secrets, op9_token_files)}
+    return {f.__name__: f for f in (op1_lsh_search, op2_mixing, op3_ngram_join, op4_toxicity, op5_vector_dedup, op6_language_model, op7_language_id, op8_secrets, op9_token_files, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict:

@@ -30,6 +30,11 @@ SPACE = "▁"
 #: Parts that a worker keeps, and the longest such part in characters; text encoded at once, in bytes.
 KEPT, LONGEST, TOGETHER = 400_000, 48, 1 << 20
 INFINITE = float("inf")
+NONE: dict = {}
+#: Weights of neighbours that a worker keeps.
+FITS = 1_500_000
+#: Weight of a character without a piece in a unigram model: above that of any path of pieces.
+BYTES = 1e9
 BPE, UNIGRAM = 2, 1
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -105,8 +110,16 @@ class Transducer:
         open_end = any(pair[1] == SPACE and pair[0] != SPACE for pair in self.beside)
         self.cut = re.compile(f" *[^ {gap}]+| +|[{gap}]" if apart else " *[^ ]+| +") if not open_end else re.compile(r"(?s).+")
         self.splits: dict[int, tuple[int, int] | None] = {}
-        self.fits: dict[int, bool] = {}
+        self.fits: dict[int, dict[int, bool]] = {}
+        self.fit_count = 0
         self.known: dict[str, bytes] = {}
+        self.tree: dict = {}  # by character; the piece that ends at a node under the empty key
+        for p, i in self.number.items():  # in a byte-pair model those that merging makes
+            if not self.bpe or len(p) == 1 or self.merged(p) == [p]:
+                node = self.tree
+                for c in p:
+                    node = node.setdefault(c, {})
+                node[""] = i
 
     # Byte-pair merging by rank, for the tree of a piece.
 
@@ -156,44 +169,37 @@ class Transducer:
             else:
                 j -= 1
 
-    def weight(self, last: int, piece: int) -> float:
-        """Of the arc that reads a piece after another (-1: none, or a character without a piece)."""
-        if not self.bpe:
-            return -self.scores[piece]
-        if last < 0:
-            return 0.0
-        key = last << 32 | piece
-        if key not in self.fits:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            self.fits[key] = self.passes(last, piece)
-        return 0.0 if self.fits[key] else INFINITE
-
-    def whole(self, piece: int) -> bool:
-        """Whether a piece alone is its own encoding."""
-        return not self.bpe or len(self.pieces[piece]) == 1 or self.split(piece) is not None
+    def fit(self, last: int, piece: int) -> bool:
+        """Whether the arc from piece to piece weighs 0."""
+        if self.fit_count > FITS:
+            self.fits, self.fit_count = {}, 0
+        self.fit_count += 1
+        out = self.fits.setdefault(last, {})[piece] = self.passes(last, piece)
+        return out
 
     def shortest(self, text: str) -> list[int]:
-        """Ids of the least path over a part of a normalised text. Each place has one best state."""
-        n, number, width = len(text), self.number, self.width
-        least, last, start = [0.0] + [INFINITE] * n, [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for begin in range(end - 1, max(-1, end - width - 1), -1):
-                if least[begin] == INFINITE:
-                    continue
-                piece = number.get(text[begin:end])
+        """Ids of the least path over a part of a normalised text. Each place has one best state: its weight, last piece and that piece's start."""
+        n, tree, bpe, scores = len(text), self.tree, self.bpe, self.scores
+        least, last, start = [INFINITE] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
+        least[0] = 0.0
+        for begin in range(n):
+            before, node = last[begin], tree
+            fits = self.fits.get(before, NONE) if before >= 0 else None
+            for end in range(begin, n):
+                node = node.get(text[end])
+                if node is None:
+                    break
+                piece = node.get("")
                 if piece is None:
-                    if end - begin > 1:
-                        continue
-                    w, piece = least[begin] + (0.0 if self.bpe else 1e9), -1
-                elif not self.whole(piece):
                     continue
-                else:
-                    w = least[begin] + self.weight(last[begin], piece)
-                if w < least[end]:
-                    least[end], last[end], start[end] = w, piece, begin
-                    if self.bpe:
-                        break
+                if bpe:
+                    if start[end + 1] < 0:  # else the one arc of finite weight that ends here is known
+                        if fits is None or (fits[piece] if piece in fits else self.fit(before, piece)):
+                            last[end + 1], start[end + 1] = piece, begin
+                elif (w := least[begin] - scores[piece]) < least[end + 1]:
+                    least[end + 1], last[end + 1], start[end + 1] = w, piece, begin
+            if start[begin + 1] < 0:  # a character without a piece, as bytes
+                least[begin + 1], start[begin + 1] = least[begin] + BYTES, begin
         out, end = [], n
         while end:
             if last[end] >= 0:
