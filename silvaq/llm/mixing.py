@@ -69,15 +69,8 @@ def targets(sources: DataFrame, weights=(1, 2, 3), share: float = 1.0, max_repea
     return filled.withColumn("target", target).withColumn("want", F.floor(target + F.lit(0.5)).cast("long")).select("s", "source_size", "rank", "target", "want")
 
 
-def mix(docs: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, max_repeat: int = 3, schedules=SCHEDULES) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, position; sorted by position.
-
-    taken: words that the mix takes of the document, repeats counted: every pass over a source takes each document once, the
-    last pass stops at the target and cuts one document. copies: passes that touch the document; position: of its first copy,
-    null where nothing is taken.
-    Null text counts 0 words. Null source: a source of its own, after all others. Null doc_id and repeated doc_ids are rows
-    like any other. Without rows the result is empty; other columns are ignored.
-    """
+def _placed(docs: DataFrame, weights, share: float, max_repeat: int) -> DataFrame:
+    """Each row with its source's figures, its place before others in its source's stream, and what the mix takes of it."""
     s = F.when(F.col("source").isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col("source")))
     place = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
     slim = cut(docs.select("doc_id", s.alias("s"), word_count(F.col("text")).alias("size"), place.alias("place")).withColumn("part", F.shiftright("place", 36).cast("int")))
@@ -93,15 +86,49 @@ def mix(docs: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, max_repeat: i
     part_taken = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before"))).cast("long")
     placed = placed.withColumn("cut_taken", part_taken).withColumn("taken", F.col("passes") * F.col("size") + F.col("cut_taken"))
     copies = F.when(F.col("taken") > 0, F.col("passes") + (F.col("cut_taken") > 0).cast("int")).otherwise(0).cast("long")
-    share_before = F.col("before") / F.greatest(F.col("want"), F.lit(1))
+    return placed.withColumn("copies", copies)
+
+
+def _position(share_before: Column, schedules) -> Column:
     position = None
     for i, knots in enumerate(schedules):
-        at = inverse(share_before, knots)
-        position = F.when(F.col("rank") % len(schedules) == i, at) if position is None else position.when(F.col("rank") % len(schedules) == i, at)
-    placed = placed.withColumn("copies", copies).withColumn("position", F.when(F.col("taken") > 0, position))
+        mine, at = F.col("rank") % len(schedules) == i, inverse(share_before, knots)
+        position = F.when(mine, at) if position is None else position.when(mine, at)
+    return position
+
+
+def mix(docs: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, max_repeat: int = 3, schedules=SCHEDULES) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, position; sorted by position.
+
+    taken: words that the mix takes of the document, repeats counted: every pass over a source takes each document once, the
+    last pass stops at the target and cuts one document. copies: passes that touch the document; position: of its first copy,
+    null where nothing is taken.
+    Null text counts 0 words. Null source: a source of its own, after all others. Null doc_id and repeated doc_ids are rows
+    like any other. Without rows the result is empty; other columns are ignored.
+    """
+    placed = _placed(docs, weights, share, max_repeat)
+    position = _position(F.col("before") / F.greatest(F.col("want"), F.lit(1)), schedules)
+    placed = placed.withColumn("position", F.when(F.col("taken") > 0, position))
     return placed.select("doc_id", "size", "source_size", "target", "taken", "copies", "position").orderBy("position", "doc_id", "size")
 
 
+def arrange(docs: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, max_repeat: int = 3, schedules=SCHEDULES) -> DataFrame:
+    """docs in training order, with their columns: each as often as passes touch it, at the positions of its copies.
+
+    The document that a source's last pass cuts is taken whole. Documents without words are not taken. Rows without doc_id, or
+    with one that another row has too, share the decision for the first row of that id, by size.
+    """
+    placed = _placed(docs, weights, share, max_repeat).where("copies > 0")
+    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    first = Window.partitionBy("silvaq_key").orderBy("size", "before")
+    one = placed.withColumn("silvaq_key", key).withColumn("n", F.row_number().over(first)).where("n = 1")
+    copies = one.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    position = _position((F.col("copy") * F.col("source_size") + F.col("before")) / F.greatest(F.col("want"), F.lit(1)), schedules)
+    plan = copies.select("silvaq_key", position.alias("silvaq_position"), F.col("copy").alias("silvaq_copy"))
+    out = docs.withColumn("silvaq_key", key).join(plan, "silvaq_key")
+    return out.orderBy("silvaq_position", "silvaq_key", "silvaq_copy").select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 't' ELSE 's' || source END AS s,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

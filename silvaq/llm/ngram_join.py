@@ -16,10 +16,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, cut, stored
+from .common import BATCH_ROWS, WORD, cut, stored
 from .components import components
 from .shingles import fingerprint, shingle_hashes
 
@@ -234,3 +234,17 @@ def group(docs: DataFrame, *, width: int = 3, share: int = 90) -> DataFrame:
     of = named.join(names, "root").select("node", "component")
     out = rows.select("doc_id", "n", "node").join(of, "node", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def distinct(docs: DataFrame, *, width: int = 3, share: int = 90) -> DataFrame:
+    """docs with one row of each group that links join, the one of the smallest doc_id; documents without words stay.
+
+    Of rows that repeat a doc_id the first by text stays. Rows without doc_id stay if they have no words; with words they
+    cannot be named as a group's one document and go.
+    """
+    kept = group(docs, width=width, share=share).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("silvaq_id")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("silvaq_id", F.col("doc_id").cast("long"))
+    order = Window.partitionBy("silvaq_id").orderBy("text")
+    one = named.join(kept, "silvaq_id", "left_semi").withColumn("silvaq_n", F.row_number().over(order)).where("silvaq_n = 1")
+    nameless = docs.where(F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD))
+    return one.select(*docs.columns).union(nameless)

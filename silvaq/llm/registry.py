@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -74,10 +76,11 @@ def op10_sentencepiece(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lsh_search, op2_mixing, op3_ngram_join, op4_toxicity, op5_vector_dedup, op6_language_model, op7_language_id, op8_secrets, op9_token_files, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_lsh_search, op2_mixing, op3_ngram_join, op4_toxicity, op5_vector_dedup, op6_language_model, op7_language_id, op8_secrets, op9_token_files, op10_sentencepiece)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
     from . import mixing
 
-    return {"op2_mixing": mixing.ORACLE}
+    found = {"op2_mixing": mixing.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql}

@@ -243,6 +243,19 @@ def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held: int = 2
     return fit(sample(docs.select("doc_id", "text"), docs.select("doc_id").join(known, "doc_id"), PER_LABEL, MOST))
 
 
+def _tagged(batches, text_at: int, model: Model):
+    """(rows, log odds of their tokens) of about TOGETHER tokens at a time."""
+    for batch in batches:
+        at, n = 0, batch.num_rows
+        while at < n:
+            held, tokens, first = [], 0, at
+            while at < n and (tokens < TOGETHER or at == first):
+                held.append(model.emissions(words_of(batch.column(text_at)[at].as_py())))
+                tokens += len(held[-1])
+                at += 1
+            yield batch.slice(first, at - first), marginal_odds(held, model.trans, model.start)
+
+
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
     """All columns of docs (doc_id, text and others) and score, predicted, spans.
 
@@ -255,25 +268,26 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame
 
     def task(batches):
         m = shared.value
-        for batch in batches:
-            at, n = 0, batch.num_rows
-            while at < n:
-                texts, docs_words, tokens, first = [], [], 0, at
-                while at < n and (tokens < TOGETHER or at == first):
-                    texts.append(batch.column(text_at)[at].as_py())
-                    docs_words.append(m.emissions(words_of(texts[-1])))
-                    tokens += len(docs_words[-1])
-                    at += 1
-                odds = marginal_odds(docs_words, m.trans, m.start)
-                chances = m.score(odds)
-                found = [spans_of(t or "", o) for t, o in zip(texts, odds, strict=True)]
-                part = batch.slice(first, at - first)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(chances), pa.array((chances >= threshold).astype(np.int32)), pa.array(found, pa.list_(SPAN))], [*part.schema.names, "score", "predicted", "spans"])
+        for part, odds in _tagged(batches, text_at, m):
+            chances = m.score(odds)
+            found = [spans_of(t.as_py() or "", o) for t, o in zip(part.column(text_at), odds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(chances), pa.array((chances >= threshold).astype(np.int32)), pa.array(found, pa.list_(SPAN))], [*part.schema.names, "score", "predicted", "spans"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int, spans array<struct<start:int,end:int,p:double>>"
     return docs.mapInArrow(task, schema)
 
 
+def reject(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
+    """docs without those that score `threshold` or more; columns stay. Null and empty texts stay unless such a text scores that much."""
+    shared, schema, text_at = docs.sparkSession.sparkContext.broadcast(model), docs.schema, docs.columns.index("text")
+
+    def task(batches):
+        for part, odds in _tagged(batches, text_at, shared.value):
+            yield part.filter(pa.array(shared.value.score(odds) < threshold))
+
+    return docs.mapInArrow(task, schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, n_spans, spans (start:end, comma-joined) of each document. Null doc_id: held_out is null."""
     model = train(docs, labels, modulus=modulus, held=held)
