@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.conllu import FIELDS
+from .arrays import let
 
 _ID = r"^(\d+|\d+-\d+|\d+\.\d+)$"
 
@@ -13,7 +14,7 @@ _ID = r"^(\d+|\d+-\d+|\d+\.\d+)$"
 def fields(line: Column) -> Column:
     """Ten fields of a line: cut at tabs if it has any, else at white space; missing ones are _, further ones go."""
     cut = F.when(F.instr(line, "\t") > 0, F.split(line, "\t")).otherwise(F.split(F.trim(line), r"\s+"))
-    return F.transform(F.sequence(F.lit(0), F.lit(len(FIELDS) - 1)), lambda i: F.coalesce(F.get(cut, i), F.lit("_")))
+    return let(cut, lambda c: F.array(*[F.coalesce(F.get(c, F.lit(i)), F.lit("_")) for i in range(len(FIELDS))]))
 
 
 def rows(blocks: DataFrame) -> DataFrame:

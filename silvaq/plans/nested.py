@@ -2,7 +2,8 @@
 
 A sentence has an array `tokens` of structs; each token knows its edges both ways (`out`: tokens that it governs, `into`:
 tokens that govern it), so that a restriction looks at a token's own edges only. A set is a predicate on a token; sets that a sentence-level
-operator compares are computed first, as columns of their own.
+operator compares are computed first. Everything is one expression in which tokens and sets are variables: as columns of their own, the
+optimizer would copy their definitions to each place of use.
 """
 
 from __future__ import annotations
@@ -17,29 +18,56 @@ from . import ast
 from .prune import lengths, needs_edge
 
 Member = Callable[[Column], Column]
-TOKENS = "tokens"
+_SENTENCE = (ast.Plus, ast.Equal, ast.Subset)
 
 
-def _at(u: Column) -> Column:
-    return F.get(F.col(TOKENS), u)
+def _sentence_nodes(node) -> list[ast.Node]:
+    """Sentence-level operators of a tree, inner ones first."""
+    match node:
+        case ast.Restricted(head=h, restrictions=rs):
+            return _sentence_nodes(h) + [n for _, t in rs for n in _sentence_nodes(t)]
+        case ast.Not(node=a):
+            return _sentence_nodes(a)
+        case ast.And() | ast.Or() | ast.Plus() | ast.Equal() | ast.Subset():
+            return _sentence_nodes(node.left) + _sentence_nodes(node.right) + ([node] if isinstance(node, _SENTENCE) else [])
+    return []
 
 
 class Nested:
-    """Compiles one tree. steps: columns to add before `hits` can be evaluated, in order."""
+    """A tree over the tokens of a sentence (a variable)."""
 
-    def __init__(self, tree: ast.Node, insensitive: bool = False):
-        self.insensitive = insensitive
-        self.steps: list[tuple[str, Column]] = []
-        self.hits = self._array(tree)
+    def __init__(self, tokens: Column, insensitive: bool = False):
+        self.tokens, self.insensitive = tokens, insensitive
+        self.sets: dict[int, Column] = {}
+
+    def hits(self, tree: ast.Node) -> Column:
+        def build(rest: list[ast.Node]) -> Column:
+            if not rest:
+                return self._array(tree)
+
+            def bound(value: Column) -> Column:
+                self.sets[id(rest[0])] = value
+                return build(rest[1:])
+
+            return let(self._sentence(rest[0]), bound)
+
+        return build(_sentence_nodes(tree))
 
     def _array(self, node: ast.Node) -> Column:
-        return positions(F.filter(TOKENS, self.member(node)))
+        return positions(F.filter(self.tokens, self.member(node)))
+
+    def _sentence(self, node: ast.Node) -> Column:
+        none = F.array().cast("array<int>")
 
-    def _set(self, node: ast.Node) -> str:
-        column = self._array(node)
-        name = f"_set{len(self.steps)}"
-        self.steps.append((name, column))
-        return name
+        def kept(a: Column, b: Column) -> Column:
+            match node:
+                case ast.Plus():
+                    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.array_union(a, b)).otherwise(none)
+                case ast.Equal():
+                    return F.when(a == b, a).otherwise(none)  # both are in sentence order
+            return F.when(F.size(F.array_except(a, b)) == 0, a).otherwise(none)
+
+        return let(self._array(node.left), lambda a: let(self._array(node.right), lambda b: kept(a, b)))
 
     def member(self, node: ast.Node) -> Member:
         match node:
@@ -60,29 +88,20 @@ class Nested:
             case ast.Not(node=a):
                 a = self.member(a)
                 return lambda x: ~a(x)
-            case ast.Plus(left=a, right=b):
-                a, b = self._set(a), self._set(b)
-                return self._kept(F.when((F.size(a) > 0) & (F.size(b) > 0), F.array_union(a, b)))
-            case ast.Equal(left=a, right=b):
-                a, b = self._set(a), self._set(b)
-                return self._kept(F.when(F.col(a) == F.col(b), F.col(a)))  # both are in sentence order
-            case ast.Subset(left=a, right=b):
-                a, b = self._set(a), self._set(b)
-                return self._kept(F.when(F.size(F.array_except(a, b)) == 0, F.col(a)))
+            case ast.Plus() | ast.Equal() | ast.Subset():
+                return lambda x: F.array_contains(self.sets[id(node)], x["idx"])
             case ast.Restricted(head=h, restrictions=rs):
                 return self._restricted(h, rs)
         raise TypeError(node)
 
+    def _at(self, u: Column) -> Column:
+        return F.get(self.tokens, u)
+
     def _word(self, field: str, word: str) -> Member:
         if self.insensitive:
             return lambda x: (x[field] == word) | F.coalesce(x[f"{field}_norm"] == word, F.lit(False))
         return lambda x: x[field] == word
 
-    def _kept(self, value: Column) -> Member:
-        name = f"_set{len(self.steps)}"
-        self.steps.append((name, F.coalesce(value, F.array().cast("array<int>"))))
-        return lambda x: F.array_contains(name, x["idx"])
-
     def _restricted(self, head: ast.Node, restrictions) -> Member:
         head = self.member(head)
         no, yes = [], []
@@ -115,13 +134,13 @@ class Nested:
         """Whether a relation leads from x to a token of target."""
         if isinstance(r, ast.Edge) and not r.other:
             edges, fits = self._edges(r, x)
-            return F.exists(edges, fits if target is None else lambda e: fits(e) & target(_at(e["u"])))
+            return F.exists(edges, fits if target is None else lambda e: fits(e) & target(self._at(e["u"])))
         found = self._related(r, x)
-        return F.size(found) > 0 if target is None else F.exists(found, lambda u: target(_at(u)))
+        return F.size(found) > 0 if target is None else F.exists(found, lambda u: target(self._at(u)))
 
     def _witnesses(self, r, target: Member | None, x: Column) -> Column:
         found = self._related(r, x)
-        return found if target is None else F.filter(found, lambda u: target(_at(u)))
+        return found if target is None else F.filter(found, lambda u: target(self._at(u)))
 
     def _distinct(self, witnesses: list[Column]) -> Column:
         """Whether one witness of each list can be chosen, all different."""
@@ -150,7 +169,7 @@ class Nested:
                 edges, fits = self._edges(r, x)
                 return F.transform(F.filter(edges, fits), lambda e: e["u"])
             case ast.Linear(first=a, last=b, side=side):
-                n = F.size(TOKENS)
+                n = F.size(self.tokens)
                 end = n if b is None else F.lit(b)
                 left = span(F.greatest(F.lit(0), x["idx"] - end), x["idx"] - a)
                 right = span(x["idx"] + a, F.least(n - 1, x["idx"] + end))
@@ -162,19 +181,21 @@ class Nested:
         raise TypeError(r)
 
 
-def evaluate(graphs: DataFrame, tree: ast.Node, *, insensitive: bool = False, require_edge: bool = True) -> DataFrame:
-    """graphs with a column hits, the positions found; only sentences with some."""
-    plan = Nested(tree, insensitive)
+def column(graphs: DataFrame, tree: ast.Node, *, insensitive: bool = False, require_edge: bool = True) -> tuple[DataFrame, Column]:
+    """Sentences of the lengths that a tree allows, and the positions found in each."""
     for keyword, limit in lengths(tree):
         graphs = graphs.where(F.col("n") < limit if keyword == "max" else F.col("n") > limit)
-    if require_edge and needs_edge(tree):
-        graphs = graphs.where(F.exists(TOKENS, lambda t: F.exists(t["into"], lambda e: e["basic"])))
-    for name, column in plan.steps:
-        graphs = graphs.withColumn(name, column)
-    return graphs.withColumn("hits", plan.hits).drop(*[name for name, _ in plan.steps]).where(F.size("hits") > 0)
+    edge = require_edge and needs_edge(tree)
+
+    def found(t: Column) -> Column:
+        out = Nested(t, insensitive).hits(tree)
+        return F.when(F.exists(t, lambda x: F.exists(x["into"], lambda e: e["basic"])), out) if edge else out
+
+    return graphs, let(F.col("tokens"), found)
 
 
 def hits(graphs: DataFrame, tree: ast.Node, **options) -> DataFrame:
-    """shard, graph_id, tok of each token found."""
+    """keys, tok of each token found."""
     keys = [c for c in ("shard", "graph_id") if c in graphs.columns]
-    return evaluate(graphs, tree, **options).select(*keys, F.explode("hits").alias("tok"))
+    graphs, found = column(graphs, tree, **options)
+    return graphs.select(*keys, F.explode(found).alias("tok"))

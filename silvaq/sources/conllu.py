@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
+
 #: Sentences of a shard, and tokens of the longest sentence that is searched.
 SHARD, LONGEST = 500_000, 256
 FIELDS = ("id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc")
@@ -101,31 +103,35 @@ def graphs(blocks: DataFrame) -> DataFrame:
     edges go under their relation, with _ as -; DEPS edges under theirs, only where the token has a head, and those from 0 are left out. A head that is no
     row's id, a row without ten fields and a comment behind a token are errors.
     """
-    parsed = blocks.withColumn("_p", parse(F.col("block")))
-    wrong = F.when(misplaced_comment(F.col("_p.all")), "a comment follows a token").when(F.exists("_p.rows", lambda r: F.size(r) != 10), "a row has not ten fields")
-    parsed = parsed.withColumn("_p", F.when(wrong.isNull(), F.col("_p")).otherwise(F.raise_error(F.concat(F.col("shard"), F.lit("/"), F.col("graph_id").cast("string"), F.lit(": "), wrong))))
-    parsed = parsed.where(F.size("_p.rows") > 0).withColumn("_ids", F.transform("_p.rows", lambda r: r[0]))
-    ids = F.col("_ids")
-
-    def place(ref: Column) -> Column:
-        at = F.array_position(ids, ref).cast("int") - 1
-        return F.when(at >= 0, at).otherwise(F.raise_error(F.concat(F.lit("no row has the id "), ref)).cast("int"))
+    at = F.concat("shard", F.lit("/"), F.col("graph_id").cast("string"), F.lit(": "))
 
     def one(r: Column, i: Column) -> Column:
         null = r[0].contains(".")
         feats = F.when(~null, r[5]).when(r[5] == "_", F.lit("Nullnode=Nullnode")).otherwise(F.concat(r[5], F.lit("|Nullnode=Nullnode")))
         return F.struct(*token(i, r[1], r[2], r[3], feats))
 
-    has_head = lambda r: ~r[6].isin("_", "0")
-    edge = lambda gov, dep, name, basic: F.struct(gov.alias("gov"), dep.cast("int").alias("dep"), F.translate(name, "_", "-").alias("dtype"), F.lit(basic).alias("basic"))
-    basic = lambda r, i: F.array(edge(place(r[6]), i, r[7], True))
-    extra = lambda r, i: F.transform(F.filter(F.split(r[8], r"\|"), lambda d: (r[8] != "_") & ~d.startswith("0:")), lambda d: edge(place(F.substring_index(d, ":", 1)), i, F.regexp_replace(d, "^[^:]*:", ""), False))
-    edges = F.flatten(F.transform("_p.rows", lambda r, i: F.when(has_head(r), F.concat(basic(r, i), extra(r, i))).otherwise(F.array().cast(EDGE))))
-    out = parsed.withColumn("edges", edges).withColumn("_t", F.transform("_p.rows", one))
-    return out.select(
-        "shard", "graph_id", F.size("_t").alias("n"), F.col("_p.comments").alias("comments"),
-        F.transform("_p.rows", lambda r: F.array_join(r, "\t")).alias("lines"), link(F.col("_t"), F.col("edges")).alias("tokens"), "edges",
-    )
+    def edges_of(p: Column, ids: Column) -> Column:
+        def place(ref: Column) -> Column:
+            found = F.array_position(ids, ref).cast("int") - 1
+            return F.when(found >= 0, found).otherwise(F.raise_error(F.concat(at, F.lit("no row has the id "), ref)).cast("int"))
+
+        has_head = lambda r: ~r[6].isin("_", "0")
+        edge = lambda gov, dep, name, basic: F.struct(gov.alias("gov"), dep.cast("int").alias("dep"), F.translate(name, "_", "-").alias("dtype"), F.lit(basic).alias("basic"))
+        basic = lambda r, i: F.array(edge(place(r[6]), i, r[7], True))
+        extra = lambda r, i: F.transform(F.filter(F.split(r[8], r"\|"), lambda d: (r[8] != "_") & ~d.startswith("0:")), lambda d: edge(place(F.substring_index(d, ":", 1)), i, F.regexp_replace(d, "^[^:]*:", ""), False))
+        return F.flatten(F.transform(p["rows"], lambda r, i: F.when(has_head(r), F.concat(basic(r, i), extra(r, i))).otherwise(F.array().cast(EDGE))))
+
+    def sentence(p: Column) -> Column:
+        wrong = F.when(misplaced_comment(p["all"]), "a comment follows a token").when(F.exists(p["rows"], lambda r: F.size(r) != 10), "a row has not ten fields")
+        n = F.when(wrong.isNull(), F.size(p["rows"])).otherwise(F.raise_error(F.concat(at, wrong)).cast("int"))
+        whole = lambda e: F.struct(
+            n.alias("n"), p["comments"].alias("comments"), F.transform(p["rows"], lambda r: F.array_join(r, "\t")).alias("lines"), link(F.transform(p["rows"], one), e).alias("tokens"), e.alias("edges")
+        )
+        return F.when(F.size(p["all"]) > 0, let(F.transform(p["rows"], lambda r: r[0]), lambda ids: let(edges_of(p, ids), whole)))
+
+    # One expression, exploded: as columns, parts would be computed wherever they are used.
+    found = F.filter(F.transform(F.array(parse(F.col("block"))), sentence), lambda s: s["n"] > 0)
+    return blocks.select("shard", "graph_id", F.explode(found).alias("s")).select("shard", "graph_id", "s.*")
 
 
 def searchable(sentences: DataFrame) -> DataFrame:
@@ -139,7 +145,7 @@ def with_documents(blocks: DataFrame) -> DataFrame:
     A sentence of one word ####FIPBANK-BEGIN-MARKER:<url> begins a document; so does the comment ###C:<doc ... url="...">, and ###C:</doc ends it.
     blocks: shard, graph_id, block, at most a shard's worth in each shard. graph_id closes up over the marks; counts begin anew in each shard.
     """
-    p = blocks.withColumn("_p", parse(F.col("block")))
+    p = blocks.select("*", F.explode(F.array(parse(F.col("block")))).alias("_p"))
     word = F.when(F.size("_p.rows") == 1, F.get(F.get("_p.rows", F.lit(0)), F.lit(1)))
     mark = F.when(word.startswith("####FIPBANK-BEGIN-MARKER:"), F.regexp_replace(word, "^[^:]*:", ""))
     p = p.withColumn("_mark", mark)

@@ -11,18 +11,17 @@ KEYS = ("shard", "graph_id")
 def postings(graphs: DataFrame) -> DataFrame:
     """kind, term, norm, shard, graph_id, positions: where each form, lemma, tag and relation (by governor) stands in each sentence.
 
-    norm 1: a lower-cased form or cleaned lemma, only where it differs. Terms are gathered inside each sentence: no shuffle.
+    norm 1: a lower-cased form or cleaned lemma, only where it differs. Groups are as large as a sentence at most.
     """
     keys = [k for k in KEYS if k in graphs.columns]
     entry = lambda kind, term, norm, idx: F.struct(F.lit(kind).alias("kind"), term.alias("term"), F.lit(norm).alias("norm"), idx.alias("idx"))
     words = lambda x: F.array(entry("token", x["form"], 0, x["idx"]), entry("token", x["form_norm"], 1, x["idx"]), entry("lemma", x["lemma"], 0, x["idx"]), entry("lemma", x["lemma_norm"], 1, x["idx"]))
     tags = lambda x: F.transform(x["tags"], lambda t: entry("tag", t, 0, x["idx"]))
     relations = lambda x: F.flatten(F.transform(x["out"], lambda e: F.when(e["basic"], F.array(entry("rel", e["d"], 0, x["idx"]), entry("rel", F.lit("anyrel"), 0, x["idx"]))).otherwise(F.array(entry("rel", e["d"], 0, x["idx"])))))
-    every = F.array_distinct(F.filter(F.flatten(F.transform("tokens", lambda x: F.concat(words(x), tags(x), relations(x)))), lambda e: e["term"].isNotNull()))
-    held = graphs.select(*keys, every.alias("e"))
-    term = lambda e: F.struct(e["kind"].alias("kind"), e["term"].alias("term"), e["norm"].alias("norm"))
-    flat = held.select(*keys, F.explode("e").alias("e")).select(*keys, term(F.col("e")).alias("t"), F.col("e.idx").alias("idx"))
-    return flat.groupBy(*keys, "t").agg(F.sort_array(F.collect_list("idx")).alias("positions")).select("t.kind", "t.term", "t.norm", *keys, "positions")
+    every = F.filter(F.flatten(F.transform("tokens", lambda x: F.concat(words(x), tags(x), relations(x)))), lambda e: e["term"].isNotNull())
+    # Exploded as an expression: a column of its own would be computed for a filter on its size once more.
+    each = graphs.select(*keys, F.explode(every).alias("e")).select(*keys, "e.*")
+    return each.groupBy("kind", "term", "norm", *keys).agg(F.sort_array(F.collect_set("idx")).alias("positions"))
 
 
 def symbols(graphs: DataFrame) -> DataFrame:
