@@ -123,11 +123,11 @@ def graphs(blocks: DataFrame) -> DataFrame:
 
     def sentence(p: Column) -> Column:
         wrong = F.when(misplaced_comment(p["all"]), "a comment follows a token").when(F.exists(p["rows"], lambda r: F.size(r) != 10), "a row has not ten fields")
-        n = F.when(wrong.isNull(), F.size(p["rows"])).otherwise(F.raise_error(F.concat(at, wrong)).cast("int"))
         whole = lambda e: F.struct(
-            n.alias("n"), p["comments"].alias("comments"), F.transform(p["rows"], lambda r: F.array_join(r, "\t")).alias("lines"), link(F.transform(p["rows"], one), e).alias("tokens"), e.alias("edges")
+            F.size(p["rows"]).alias("n"), p["comments"].alias("comments"), F.transform(p["rows"], lambda r: F.array_join(r, "\t")).alias("lines"), link(F.transform(p["rows"], one), e).alias("tokens"), e.alias("edges")
         )
-        return F.when(F.size(p["all"]) > 0, let(F.transform(p["rows"], lambda r: r[0]), lambda ids: let(edges_of(p, ids), whole)))
+        good = let(F.transform(p["rows"], lambda r: r[0]), lambda ids: let(edges_of(p, ids), whole))
+        return F.when(wrong.isNull(), good).otherwise(F.raise_error(F.concat(at, wrong)))
 
     # One expression, exploded: as columns, parts would be computed wherever they are used.
     found = F.filter(F.transform(F.array(parse(F.col("block"))), sentence), lambda s: s["n"] > 0)
