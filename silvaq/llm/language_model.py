@@ -289,7 +289,7 @@ class Scorer:
         fs, root = filesystem(m.uri)
         from pyarrow import fs as pfs
 
-        have = {f.base_name for f in fs.get_file_info(pfs.FileSelector(root))}
+        have = {f.base_name for f in fs.get_file_info(pfs.FileSelector(root, allow_not_found=True))}
         self.pairs = [(_load(m.uri, f"pairs-{p}.u64", np.uint64), _load(m.uri, f"pairs-{p}.u32", np.uint32)) if f"pairs-{p}.u64" in have else None for p in range(m.parts)]
         self.levels = [_load(m.uri, f"levels-{s}.u32", np.uint32).reshape(-1, 4) if f"levels-{s}.u32" in have else None for s in range(m.parts)]
 
