@@ -171,7 +171,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, share: int) -> DataFra
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32())], ["a", "b", "overlap"])
 
-    return whole.mapInArrow(compare, "a long, b long, overlap int")
+    return whole.mapInArrow(compare, "a long, b long, overlap int").distinct()  # rows that repeat a document repeat its pairs
 
 
 def links(docs: DataFrame, rows: DataFrame, *, width: int, share: int, every: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -119,8 +119,13 @@ def train(found: DataFrame) -> str | None:
         seen[r["y"]][r["pair"] // CODES][r["pair"] % CODES] += r["count"]
     if not all(any(map(any, side)) for side in seen):
         return None
-    letters = sorted({x for side in seen for a in range(CODES) for b in range(CODES) if side[a][b] for x in (a, b)})
-    rows = [[[(side[a][b] + 0.5) / (sum(side[a]) + 0.5 * len(letters)) for b in range(CODES)] for a in range(CODES)] for side in seen]
+    letters = {x for side in seen for a in range(CODES) for b in range(CODES) if side[a][b] for x in (a, b)}
+    weight = 0.5 * len(letters)
+    rows = []
+    for side in seen:  # a pair's rate, drawn to that of its second character, which in turn is drawn to an even one
+        n = sum(map(sum, side))
+        alone = [(sum(side[a][b] for a in range(CODES)) + 0.5) / (n + weight) for b in range(CODES)]
+        rows.append([[(side[a][b] + weight * alone[b]) / (sum(side[a]) + weight) for b in range(CODES)] for a in range(CODES)])
     return json.dumps([round(math.log(rows[1][a][b] / rows[0][a][b]), 4) for a in range(CODES) for b in range(CODES)])
 
 
