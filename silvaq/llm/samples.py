@@ -31,3 +31,18 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, most: int) -> lis
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").limit(most).toArrow()
     order = sorted(zip(found["doc_id"].to_pylist(), found["text"].to_pylist(), strict=True), key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % 2**64, r[1]))
     return [(text, picked[i]) for i, text in order]
+
+
+def release() -> None:
+    """Gives memory that a fit has used back to the system: the driver has other work to do."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

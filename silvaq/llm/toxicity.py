@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder, words_of
-from .samples import sample
+from .samples import release, sample
 
 #: Rows that training uses: of each label, and in all.
 PER_LABEL, MOST = 2500, 5000
 BUCKETS = 1 << 18
 #: Tokens in a training sequence at most.
 SEQUENCE = 48
+#: Features that training adds up at once.
+PIECE = 1 << 19
 #: Words whose emission a worker keeps; tokens that are scored together.
 KEPT, TOGETHER = 300_000, 2_000_000
 _EDGE = bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~"
@@ -161,8 +163,10 @@ def fit(rows: list[tuple[str, int]], *, rounds: int = 25, odds: float = 12.0, le
     for w in index:
         flat_ids.extend(features(w))
         ends.append(len(flat_ids))
+    of = len(index)
+    del index
     ids, ends = np.frombuffer(flat_ids, np.int32), np.frombuffer(ends, np.int64)
-    of, token = len(index), np.repeat(np.arange(len(index), dtype=np.int32), np.diff(ends))
+    token = np.repeat(np.arange(of, dtype=np.int32), np.diff(ends))
 
     def distinct(a):
         w = np.unique(a)
@@ -170,6 +174,15 @@ def fit(rows: list[tuple[str, int]], *, rounds: int = 25, odds: float = 12.0, le
         return np.unique(ids[np.repeat(ends[w] - np.cumsum(n) + n, n) + np.arange(n.sum())])
 
     marks = _markers([distinct(a) for a, u in zip(docs, use, strict=True) if u], y[use], odds, least)
+    pieces = [slice(i, i + PIECE) for i in range(0, len(ids), PIECE)]
+
+    def by_token() -> np.ndarray:
+        """Each word's emission: its features' weights."""
+        return sum(np.bincount(token[k], weight[ids[k]], of) for k in pieces)
+
+    def by_feature(of_word: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(ids[k], of_word[token[k]], BUCKETS) for k in pieces)
+
     marked = np.zeros(of, bool)
     marked[token[marks[ids]]] = True
     sequences, tags = [], []
@@ -179,7 +192,7 @@ def fit(rows: list[tuple[str, int]], *, rounds: int = 25, odds: float = 12.0, le
             tags.append(marked[sequences[-1]] & bool(label))
     if not sequences:
         return model
-    flat, gold = np.concatenate(sequences), np.concatenate(tags).astype(float)
+    flat, gold = np.concatenate(sequences), np.concatenate(tags).astype(np.float32)
     cuts = np.cumsum([len(s) for s in sequences])[:-1]
     inner = np.ones(len(flat) - 1, bool)
     inner[cuts - 1] = False
@@ -190,16 +203,18 @@ def fit(rows: list[tuple[str, int]], *, rounds: int = 25, odds: float = 12.0, le
     rate = gold.mean()
     model.start = float(np.log((rate + 1e-6) / (1 - rate + 1e-6)))
     weight, square = model.weights, np.full(BUCKETS, 1e-8)
+    del sequences, tags, pair, inner
     for _ in range(rounds):
-        emission = np.bincount(token, weight[ids], of)
+        emission = by_token()
         found = marginal_odds(np.split(emission[flat], cuts), model.trans, model.start)
         p = 1 / (1 + np.exp(-np.clip(np.concatenate(found), -30, 30)))
         by_word = np.bincount(flat, p - gold, of)
-        slope = np.bincount(ids, by_word[token], BUCKETS) + 0.02 * weight
+        slope = by_feature(by_word) + 0.02 * weight
+        del found, p
         square += slope * slope
         weight -= 0.5 * slope / np.sqrt(square)
     rest = [i for i in range(len(rows)) if not use[i]]
-    emission = np.bincount(token, weight[ids], of)
+    emission = by_token()
     x, target = summary(marginal_odds([emission[docs[i]] for i in rest], model.trans, model.start)), y[rest]
     head = np.zeros(4)
     for _ in range(30):  # Newton's method with a ridge
@@ -240,7 +255,9 @@ SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64()
 def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held: int = 2) -> Model:
     """A model of the labelled rows whose crc32(doc_id) modulo `modulus` is not `held`."""
     known = labels.where(F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), modulus) != held)).select("doc_id", F.col("toxic").cast("int").alias("label"))
-    return fit(sample(docs.select("doc_id", "text"), docs.select("doc_id").join(known, "doc_id"), PER_LABEL, MOST))
+    model = fit(sample(docs.select("doc_id", "text"), docs.select("doc_id").join(known, "doc_id"), PER_LABEL, MOST))
+    release()
+    return model
 
 
 def _tagged(batches, text_at: int, model: Model):
