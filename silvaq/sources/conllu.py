@@ -10,6 +10,8 @@ from ..functions.arrays import let
 #: Sentences of a shard, and tokens of the longest sentence that is searched.
 SHARD, LONGEST = 500_000, 256
 FIELDS = ("id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc")
+# How documents are marked in the input, by a one-word sentence or by comments.
+MARK, OPEN, CLOSE = "####FIPBANK-BEGIN-MARKER:", "###C:<doc", "###C:</doc"
 NO_STRINGS = "array<string>"
 EDGE = "array<struct<gov:int,dep:int,dtype:string,basic:boolean>>"
 
@@ -147,11 +149,11 @@ def with_documents(blocks: DataFrame) -> DataFrame:
     """
     p = blocks.select("*", F.explode(F.array(parse(F.col("block")))).alias("_p"))
     word = F.when(F.size("_p.rows") == 1, F.get(F.get("_p.rows", F.lit(0)), F.lit(1)))
-    mark = F.when(word.startswith("####FIPBANK-BEGIN-MARKER:"), F.regexp_replace(word, "^[^:]*:", ""))
+    mark = F.when(word.startswith(MARK), F.regexp_replace(word, "^[^:]*:", ""))
     p = p.withColumn("_mark", mark)
-    opens = F.filter("_p.comments", lambda c: c.startswith("###C:</doc") | (c.startswith("###C:<doc") & c.rlike('url="')))
+    opens = F.filter("_p.comments", lambda c: c.startswith(CLOSE) | (c.startswith(OPEN) & c.rlike('url="')))
     last = F.get(opens, F.size(opens) - 1)
-    change = F.when(F.col("_mark").isNotNull(), F.col("_mark")).when(F.size(opens) > 0, F.when(last.startswith("###C:</doc"), F.lit("")).otherwise(F.regexp_extract(last, 'url="(.*?)"', 1)))
+    change = F.when(F.col("_mark").isNotNull(), F.col("_mark")).when(F.size(opens) > 0, F.when(last.startswith(CLOSE), F.lit("")).otherwise(F.regexp_extract(last, 'url="(.*?)"', 1)))
     order = Window.partitionBy("shard").orderBy("graph_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     p = p.withColumn("_url", F.last(change, ignorenulls=True).over(order)).withColumn("url", F.when(F.col("_url") != "", F.col("_url")))
     is_mark = F.col("_mark").isNotNull().cast("int")
