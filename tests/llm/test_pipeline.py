@@ -31,3 +31,17 @@ def test_stages(spark, tmp_path):
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in hidden.collect()}
     last = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert len(last) == mixed.count() and all(r.round_trip for r in last)
+
+
+def test_near_copies(spark):
+    """Copies whose 5-word Jaccard is 0.8 to 0.9 go, one just below 0.8 stays."""
+    rng = random.Random(4)
+    base, other = ([f"w{rng.randrange(10**9)}" for _ in range(n)] for n in (100, 200))
+    more = [f"x{i}" for i in range(25)]
+    changed = [f"y{i}" if i in (40, 80, 120, 160) else w for i, w in enumerate(other)]
+    rows = [(1, base), (2, base + more[:20]), (3, base + more), (10, other), (11, changed)]  # of 5-grams: 96/116, 96/121, 176/216
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs, "").collect()}
+    assert kept == {1, 10}  # 3 hangs together with 1 by way of 2: 116/121
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs.where("doc_id <> 2"), "").collect()}
+    assert kept == {1, 3, 10}
