@@ -21,7 +21,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: word 5-grams with a Jaccard of 0.8 or more."""
     from silvaq.llm.ngram_join import distinct
 
-    return distinct(docs, width=5, share=80)
+    return distinct(docs, width=5, share=80, nameless=True)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,8 +80,8 @@ def overlap(n: Column, m: Column, share: int) -> Column:
     return F.ceil((F.lit(share) * (n + m)) / F.lit(float(100 + share)) - F.lit(1e-9)).cast("int")
 
 
-def prepare(docs: DataFrame, width: int, share: int) -> DataFrame:
-    """doc_id, node, check, n, parts, prefix of each row; node is null for a document without words."""
+def prepare(docs: DataFrame, width: int, share: int, mark: str | None = None) -> DataFrame:
+    """doc_id, node, check, n, parts, prefix of each row; node is null for a document without words. mark: a binary column that comes along."""
     counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, width))
 
     def task(batches):
@@ -108,11 +108,12 @@ def prepare(docs: DataFrame, width: int, share: int) -> DataFrame:
                     parts.append(np.minimum(np.bincount((u >> np.uint64(6) & np.uint64(63)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
                     prefixes.append(u[order].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parts, pa.binary()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))],
-                    ["doc_id", "node", "check", "n", "parts", "prefix"],
+                    [part.column(0), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parts, pa.binary()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32()), pa.array(np.concatenate(prefixes), pa.int64())), *part.columns[2:]],
+                    ["doc_id", "node", "check", "n", "parts", "prefix", *["mark"] * (part.num_columns - 2)],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, node long, check long, n int, parts binary, prefix array<long>")
+    more = [F.col(mark).alias("mark")] if mark else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(task, "doc_id long, node long, check long, n int, parts binary, prefix array<long>" + ", mark binary" * len(more))
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
@@ -236,15 +237,25 @@ def group(docs: DataFrame, *, width: int = 3, share: int = 90) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
-def distinct(docs: DataFrame, *, width: int = 3, share: int = 90) -> DataFrame:
-    """docs with one row of each group that links join, the one of the smallest doc_id; documents without words stay.
+def distinct(docs: DataFrame, *, width: int = 3, share: int = 90, nameless: bool = False) -> DataFrame:
+    """docs with one row of each group that links join, the one of the smallest doc_id; documents without words all stay.
 
-    Of rows that repeat a doc_id the first by text stays. Rows without doc_id stay if they have no words; with words they
-    cannot be named as a group's one document and go.
+    Groups are told by their texts, so texts that share a doc_id do not displace each other. Of a group's rows that repeat its smallest doc_id
+    the one of the smallest digest stays. nameless: groups no row of which has a doc_id keep a row too; otherwise they go.
     """
-    kept = group(docs, width=width, share=share).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("silvaq_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).withColumn("silvaq_id", F.col("doc_id").cast("long"))
-    order = Window.partitionBy("silvaq_id").orderBy("text")
-    one = named.join(kept, "silvaq_id", "left_semi").withColumn("silvaq_n", F.row_number().over(order)).where("silvaq_n = 1")
-    nameless = docs.where(F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD))
-    return one.select(*docs.columns).union(nameless)
+    mark = F.unhex(F.md5(F.col("text").cast("binary")))
+    rows = stored(prepare(docs.withColumn("mark", mark), width, share, mark="mark"), "shingled")
+    nodes, found = links(docs, rows, width=width, share=share)
+    roots = components(found.select("a", "b"))
+    # Rows of a node first: a large group of copies is small by the time its rows meet.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("least")
+    of = rows.where(F.col("node").isNotNull()).groupBy("node").agg(least).join(roots, "node", "left")
+    best = of.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    if not nameless:
+        best = best.where("NOT least.none")
+    kept = best.select(F.coalesce("least.doc_id", F.lit(NO_ID)).alias("silvaq_id"), F.col("least.mark").alias("silvaq_mark"))
+    wordy = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    keyed = docs.where(wordy).withColumn("silvaq_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("silvaq_mark", mark)
+    order = Window.partitionBy("silvaq_id", "silvaq_mark").orderBy("text")
+    one = keyed.join(kept, ["silvaq_id", "silvaq_mark"], "left_semi").withColumn("silvaq_n", F.row_number().over(order)).where("silvaq_n = 1")
+    return one.select(*docs.columns).union(docs.where(~wordy))

@@ -45,3 +45,13 @@ def test_near_copies(spark):
     assert kept == {1, 10}  # 3 hangs together with 1 by way of 2: 116/121
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs.where("doc_id <> 2"), "").collect()}
     assert kept == {1, 3, 10}
+
+
+def test_null_and_repeated_ids_keep_each_group(spark):
+    rng = random.Random(6)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10**9)}" for _ in range(40)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, c), (3, ""), (3, e), (4, None), (4, ""), (None, " "), (None, e + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs, "").collect()]
+    want = [(None, a), (None, b), (1, c), (1, d), (3, ""), (3, e), (4, None), (4, ""), (None, " ")]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
