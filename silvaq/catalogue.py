@@ -205,9 +205,9 @@ def null_nodes(spark, sf_dir):
 def doc_context(spark, sf_dir):
     """Document marks before each document's lines, carried forward; the shard is the source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    each = docs.where("doc_id % 20 < 10").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    each = docs.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
     row = lambda form: F.concat(F.lit("1\t"), form, F.lit("\t_\tX\t_\t_\t0\troot\t_\t_"))
-    mark = docs.where("doc_id % 20 < 10").select("source", "doc_id", F.lit(-1).alias("ln"), row(F.concat(F.lit("####FIPBANK-BEGIN-MARKER:u"), F.col("doc_id").cast("string"))).alias("block"))
+    mark = docs.select("source", "doc_id", F.lit(-1).alias("ln"), row(F.concat(F.lit("####FIPBANK-BEGIN-MARKER:u"), F.col("doc_id").cast("string"))).alias("block"))
     marked = mark.union(each.select("source", "doc_id", "ln", row(F.concat(F.lit("w"), F.col("ln").cast("string"))).alias("block")))
     blocks = marked.select(F.col("source").alias("shard"), (F.col("doc_id") * 100000 + F.col("ln") + 1).alias("graph_id"), "block")
     return conllu.with_documents(blocks).select("shard", "graph_id", "url", F.col("doc").cast("long").alias("doc"), F.col("sent").cast("long").alias("sent"))
