@@ -148,13 +148,12 @@ def context_doc(spark, sf_dir):
     return H.context(found, _sentences(spark, sf_dir), 2, same_document=True).select("graph_id", "place", "kind", F.char_length("text").cast("long").alias("chars"))
 
 
-def _block(spark, sf_dir, of: int | None = None) -> DataFrame:
+def _block(spark, sf_dir) -> DataFrame:
     """Lines of documents as CoNLL-U: shard, graph_id, block."""
     g = fixtures.text_heaps(spark, sf_dir)
     line = lambda x: F.concat_ws("\t", (x["idx"] + 1).cast("string"), x["form"], x["lemma"], x["upos"], F.lit("_"), x["feats"], F.coalesce((F.get(x["into"], F.lit(0))["u"] + 1).cast("string"), F.lit("0")), F.coalesce(F.get(x["into"], F.lit(0))["d"], F.lit("root")), F.lit("_"), F.lit("_"))
     good = F.forall("tokens", lambda x: (x["form"] != "") & ~x["form"].rlike(r"\s"))
-    g = g.where(good).select(F.lit("trees_00000").alias("shard"), "graph_id", F.concat(F.lit("# line\n"), F.array_join(F.transform("tokens", line), "\n")).alias("block"))
-    return g if of is None else g.where(F.col("graph_id") % 100000 == of)
+    return g.where(good).select(F.lit("trees_00000").alias("shard"), "graph_id", F.concat(F.lit("# line\n"), F.array_join(F.transform("tokens", line), "\n")).alias("block"))
 
 
 _GOOD = r"""good AS (SELECT graph_id FROM t GROUP BY graph_id HAVING bool_and(form <> '' AND NOT regexp_matches(form, '[ \t\n\x0B\f\r]')))"""
@@ -168,15 +167,15 @@ def conllu_scan(spark, sf_dir):
 
 
 def hits_conllu(spark, sf_dir):
-    """Annotated output of the hits on each document's first line."""
-    g = conllu.graphs(_block(spark, sf_dir, 0))
+    """Annotated output of all hits."""
+    g = conllu.graphs(_block(spark, sf_dir))
     engine = Engine(g.select("shard", "graph_id", "n", "tokens"), g.select("shard", "graph_id", "comments", "lines"))
-    return engine.search(QUERY, limit=MOST).select("graph_id", F.char_length("block").cast("long").alias("chars"), (F.size(F.split("block", "# hittoken:")) - 1).cast("long").alias("marks"))
+    return H.annotated(H.group(engine.hits(QUERY)), engine.text).select("graph_id", F.char_length("block").cast("long").alias("chars"), (F.size(F.split("block", "# hittoken:")) - 1).cast("long").alias("marks"))
 
 
 def scan_skip_max(spark, sf_dir):
     """At most 200 sentences, then without the first 50."""
-    first = conllu.numbered(_block(spark, sf_dir, 0).orderBy("graph_id").select("block"))
+    first = conllu.numbered(_block(spark, sf_dir).orderBy("graph_id").select("block"))
     return conllu.cut_shards(first, most=200, skip=50, shard_size=60).select("shard", "graph_id", F.char_length("block").cast("long").alias("chars"))
 
 
