@@ -139,12 +139,12 @@ def _sentences(spark, sf_dir) -> DataFrame:
 
 
 def context_n(spark, sf_dir):
-    found = Engine(fixtures.text_heaps(spark, sf_dir)).hits(QUERY).where(F.col("graph_id") % 100000 < 3)
+    found = Engine(fixtures.text_heaps(spark, sf_dir)).hits(QUERY)
     return H.context(found, _sentences(spark, sf_dir), 2).select("graph_id", "place", "kind", F.char_length("text").cast("long").alias("chars"))
 
 
 def context_doc(spark, sf_dir):
-    found = Engine(fixtures.text_heaps(spark, sf_dir)).hits(QUERY).where(F.col("graph_id") % 100000 < 3)
+    found = Engine(fixtures.text_heaps(spark, sf_dir)).hits(QUERY)
     return H.context(found, _sentences(spark, sf_dir), 2, same_document=True).select("graph_id", "place", "kind", F.char_length("text").cast("long").alias("chars"))
 
 
