@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import os
+import ctypes
+import gc
+import re
 import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +23,11 @@ BATCH_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI; a temporary one of our own where none is set, as in tests."""
+    """The folder that driver and executors share, as a URI. A temporary one of our own where none is set and all runs on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="silvaq-shared-")
         atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -33,10 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI below the shared one; it goes when the driver ends."""
-    base = shared_dir(spark)
-    path = f"{base}/silvaq-{name}-{uuid.uuid4().hex[:12]}"
-    if urlparse(base).scheme in ("", "file"):
-        atexit.register(shutil.rmtree, local_path(path), True)
+    path = f"{shared_dir(spark)}/silvaq-{name}-{uuid.uuid4().hex[:12]}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return path
 
 
@@ -53,10 +58,18 @@ def filesystem(uri: str):
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: later jobs start from the files, and so does recovery."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
+    return stored_at(df, fresh_dir(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -65,6 +78,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+def release() -> None:
+    """Gives memory that has been freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def leaving_nothing(task):
+    """A task of mapInArrow that gives its memory back at its end: the worker serves other tasks, beside others, after it."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
 def remainder(doc_id, modulus: int):
     """crc32 of doc_id as text, modulo."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import leaving_nothing, release, remainder
 from .samples import sample
 
 BUCKETS, DIMENSIONS, LONGEST = 1 << 15, 16, 4
-#: Documents that training uses: of each language, and in all.
+#: Documents that training uses: of each language, and in all (see samples.py for more languages than MOST / PER_LANGUAGE).
 PER_LANGUAGE, MOST = 1000, 8000
 #: Bytes scored at once; a longer text is scored in pieces of this size that overlap by a subword.
 PIECE = 1 << 20
@@ -142,6 +142,7 @@ def identify(docs: DataFrame, *, modulus: int = 3, held: int = 1) -> DataFrame:
     held_out = (remainder(F.col("doc_id"), modulus) == held).alias("held_out")
     rows = sample(docs.select("doc_id", "text"), docs.where(~held_out).select("doc_id", F.col("lang").alias("label")), PER_LANGUAGE, MOST)
     model = docs.sparkSession.sparkContext.broadcast(fit(rows))
+    release()
 
     def task(batches):
         m = model.value
@@ -152,4 +153,4 @@ def identify(docs: DataFrame, *, modulus: int = 3, held: int = 1) -> DataFrame:
                 ok = [n != UNKNOWN and c >= m.limit for n, c in zip(names, chances, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(chances, pa.float64()), pa.array(ok)], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, "text").mapInArrow(task, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, "text").mapInArrow(leaving_nothing(task), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")

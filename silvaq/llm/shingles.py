@@ -52,22 +52,60 @@ def _pieces(data: bytes):
     yield data[at:]
 
 
+class Words:
+    """The words of a piece of lower-cased UTF-8: where each starts and ends, and hashes of any bytes of the piece."""
+
+    def __init__(self, piece: bytes):
+        self.data = np.frombuffer(piece, np.uint8)
+        gap = np.concatenate([[True], _GAP[self.data], [True]])
+        turn = np.flatnonzero(gap[1:] != gap[:-1])
+        self.start, self.end = turn[0::2], turn[1::2]
+        up, self._down = _Powers.of(len(self.data))
+        self._sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[self.data] * up[: len(self.data)])])
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of the bytes from each start to its end."""
+        return mix((self._sums[end] - self._sums[start]) * self._down[start])
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """A hash of each word, A-Z lower-cased."""
     if not text:
         return np.zeros(0, np.uint64)
-    out = []
-    for piece in _pieces(text.encode("utf-8", "surrogatepass").lower()):
-        data = np.frombuffer(piece, np.uint8)
-        gap = np.concatenate([[True], _GAP[data], [True]])
-        turn = np.flatnonzero(gap[1:] != gap[:-1])
-        start, end = turn[0::2], turn[1::2]
-        up, down = _Powers.of(len(data))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * up[: len(data)])])
-        out.append(mix((sums[end] - sums[start]) * down[start]))
+    found = [Words(piece) for piece in _pieces(text.encode("utf-8", "surrogatepass").lower())]
+    out = [w.hashes(w.start, w.end) for w in found]
     return out[0] if len(out) == 1 else np.concatenate(out)
 
 
+def pieces_of(texts: list[str | None]):
+    """(numbers of the texts, piece) of texts, A-Z lower-cased, as UTF-8: short texts together, a newline between them, long ones in pieces that end between words.
+
+    numbers: for a piece of several texts the place in it where each begins, as pairs (text, place).
+    """
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        data = text.encode("utf-8", "surrogatepass").lower() if text else b""
+        if held and size + len(data) > PIECE:
+            yield _together(held)
+            held, size = [], 0
+        if len(data) > PIECE:
+            for piece in _pieces(data):
+                yield [(i, 0)], piece
+        elif data:
+            held.append((i, data))
+            size += len(data) + 1
+    if held:
+        yield _together(held)
+
+
+def _together(held: list[tuple[int, bytes]]) -> tuple[list[tuple[int, int]], bytes]:
+    at, places = 0, []
+    for i, data in held:
+        places.append((i, at))
+        at += len(data) + 1
+    return places, b"\n".join(d for _, d in held)
+
+
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """The sorted set of a text's shingles; all its words as one, if it has fewer than width; empty without words."""
     w = word_hashes(text)

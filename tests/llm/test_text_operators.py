@@ -244,18 +244,80 @@ def test_toxicity(spark, docs, empty):
     assert all(r.predicted == 0 for r in toxicity.toxicity(docs, lab.where("false")).collect())
 
 
-def test_marginals_by_enumeration():
+def chain_weights(scores, trans, start):
+    """The weight of every tagging of a sequence, by its definition."""
+    out = {}
+    for code in range(2 ** len(scores)):
+        y = [code >> i & 1 for i in range(len(scores))]
+        out[tuple(y)] = math.exp(start * y[0] + sum(e * t for e, t in zip(scores, y, strict=True)) + sum(trans[a, b] for a, b in zip(y, y[1:], strict=False)))
+    return out
+
+
+def plain_odds(scores, trans, start):
+    weight = np.zeros((len(scores), 2))
+    for y, w in chain_weights(scores, trans, start).items() if len(scores) else ():
+        for i, t in enumerate(y):
+            weight[i, t] += w
+    return np.log(weight[:, 1] / weight[:, 0])
+
+
+@pytest.mark.parametrize("segment", [3, 64])
+def test_marginals_by_enumeration(monkeypatch, segment):
+    monkeypatch.setattr(toxicity, "SEGMENT", segment)
     rng = np.random.default_rng(0)
     trans, start = rng.normal(size=(2, 2)), 0.3
-    seqs = [rng.normal(size=n) for n in (5, 1, 0, 3)]
-    for s, odds in zip(seqs, toxicity.marginal_odds(seqs, trans, start), strict=True):
-        n, weight = len(s), np.zeros((len(s), 2))
-        for code in range(2**n if n else 0):
-            y = [code >> i & 1 for i in range(n)]
-            w = math.exp(start * y[0] + sum(e * t for e, t in zip(s, y, strict=True)) + sum(trans[a, b] for a, b in zip(y, y[1:], strict=False)))
-            for i, t in enumerate(y):
-                weight[i, t] += w
-        assert np.allclose(odds, np.log(weight[:, 1] / weight[:, 0]) if n else [])
+    seqs = [rng.normal(size=n) for n in (5, 1, 0, 3, 11, 7, 12)]
+    odds = toxicity.marginal_odds(np.concatenate(seqs), np.array([len(s) for s in seqs]), trans, start)
+    assert np.allclose(odds, np.concatenate([plain_odds(s, trans, start) for s in seqs]))
+    assert len(toxicity.marginal_odds(np.zeros(0), np.zeros(2, int), trans, start)) == 0
+
+
+def test_likelihood_slope_by_enumeration():
+    rng = np.random.default_rng(1)
+    trans, start, lengths = rng.normal(size=(2, 2)), -0.7, np.array([4, 0, 6, 1])
+    scores, tags = rng.normal(size=11), rng.integers(0, 2, 11).astype(float)
+
+    def loss(e, t, s):
+        out, at = 0.0, 0
+        for n in lengths:
+            if n:
+                w = chain_weights(e[at : at + n], t, s)
+                out += math.log(sum(w.values()) / w[tuple(tags[at : at + n].astype(int))])
+            at += n
+        return out
+
+    slope, pairs, first = toxicity.likelihood(scores, lengths, tags, trans, start)
+    h = 1e-5
+    unit = lambda i, shape: h * (np.arange(np.prod(shape)) == i).reshape(shape)
+    assert np.allclose(slope, [(loss(scores + unit(i, 11), trans, start) - loss(scores - unit(i, 11), trans, start)) / (2 * h) for i in range(11)], atol=1e-4)
+    assert np.allclose(pairs.ravel(), [(loss(scores, trans + unit(i, (2, 2)), start) - loss(scores, trans - unit(i, (2, 2)), start)) / (2 * h) for i in range(4)], atol=1e-4)
+    assert abs(first - (loss(scores, trans, start + h) - loss(scores, trans, start - h)) / (2 * h)) < 1e-4
+
+
+def test_document_scores_by_their_definition(monkeypatch):
+    from silvaq.llm.shingles import Words, mix
+
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), rng.normal(size=(2, 2)), -1.0, np.array([1.0, 0.5, -0.3, 0.2]))
+
+    def score_of(word):
+        w = word.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+        parts = [(w, toxicity._WHOLE), *((w[:k], toxicity._FIRST) for k in range(3, min(len(w), 12) + 1)), *([(w[-4:], toxicity._LAST)] if len(w) > 4 else [])]
+        hashed = [Words(p).hashes(np.array([0]), np.array([len(p)])) if p else mix(np.zeros(1, np.uint64)) for p, _ in parts]
+        return sum(model.weights[int(mix(h ^ salt)[0] >> np.uint64(64 - toxicity.BITS))] for h, (_, salt) in zip(hashed, parts, strict=True))
+
+    given = ["a toxic, (word) here", None, "", "!!! ... x", "Ünïcode —words ABC abc", "one", " \n", "longer-than-twelve-letters_and_more it's"]
+    odds, lengths = model.tag(given)
+    assert lengths.tolist() == [len(words(t)) for t in given]
+    for t, o, got in zip(given, np.split(odds, np.cumsum(lengths)[:-1]), model.score(odds, lengths), strict=True):
+        want = plain_odds([score_of(w) for w in words(t)], model.trans, model.start)
+        assert np.allclose(o, want)
+        p = 1 / (1 + np.exp(-want))
+        x = [min(8, max(-8, want.max())), math.log1p(p.sum()), p.mean() ** 0.5, 1] if len(p) else [-8, 0, 0, 1]
+        assert abs(got - 1 / (1 + math.exp(-float(np.dot(x, model.head))))) < 1e-9
+    monkeypatch.setattr("silvaq.llm.shingles.PIECE", 16)  # texts in many pieces
+    again, n = model.tag(given)
+    assert np.allclose(again, odds) and n.tolist() == lengths.tolist()
 
 
 def test_transducer(spark, docs, empty):
@@ -267,9 +329,61 @@ def test_transducer(spark, docs, empty):
     cases = [x or "" for x in texts()] + ["  a   b ", "\n\n x\ty\r\n", "def f(x):\n    return x**2", "<s> <0x41>"]
     cases += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDE     .,!?'\"()0123456789éàüß-_/\\=+*<>\n") for _ in range(150)) for _ in range(200)]
     cases += ["".join(sp.id_to_piece(rng.randrange(259, 32000)) for _ in range(40)).replace("▁", " ") for _ in range(200)]
+    cases += ["x" + " " * n + tail for n in [*range(50), 257, 1000] for tail in ("", "y", "é", "\n", "\t z", "漢", ".")]
     for c in cases:
         ids = t.encode(c)
         assert ids.tolist() == sp.encode(c) and t.decode(ids) == c
+    long = "x" + " " * 1_000_003 + "y" + "z" * 100_000 + " " * 999_999
+    ids = t.encode(long)
+    assert ids.tolist() == sp.encode(long) and t.decode(ids) == long
+    by_heap = transducer.Transducer(open(path, "rb").read())
+    by_heap.runs = None
+    assert all(by_heap.encode(c).tolist() == t.encode(c).tolist() for c in cases[-300:])
     rows = transducer.encode(docs, path).collect()
     assert all(r.round_trip and r.n_pieces == len(r.ids) for r in rows) and len(rows) == docs.count()
     assert transducer.encode(empty, path).count() == 0
+
+
+def test_samples_keep_rare_classes_and_count_ids_once(spark):
+    from silvaq.llm import samples
+
+    rows = [(i, f"t{i}", f"c{i % 40:02d}" if i < 4000 else "rare") for i in range(4005)] + [(7, "again", "c07")] * 500 + [(9000, None, "c00"), (None, "x", "c01"), (9001, "y", None), (9002, "z" * (1 << 18) + "z", "long")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(5)
+    got = samples.sample(df.select("doc_id", "text"), df.select("doc_id", "label"), 50, 1000)
+    assert got == samples.sample(df.select("doc_id", "text").repartition(3), df.select("doc_id", "label"), 50, 1000)
+    seen = Counter(label for _, label in got)
+    assert seen.pop("rare") == 5 and len(seen) == 40 and set(seen.values()) == {23} and len(set(got)) == len(got)
+    assert samples.sample(df.where("false").select("doc_id", "text"), df.where("false").select("doc_id", "label"), 50, 1000) == []
+
+
+def test_many_languages_are_learned(spark):
+    """More languages than the bound on rows has room for at PER_LANGUAGE each, and more than 256."""
+    rng = random.Random(5)
+    rows = []
+    for x in range(300):
+        own = ["".join(chr(0x4E00 + 40 * x + rng.randrange(40)) for _ in range(3)) for _ in range(12)]
+        rows += [(x * 30 + k, " ".join(rng.choice(own) for _ in range(25)), f"l{x:03d}") for k in range(30)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    right = [r.lang_pred == rows[r.doc_id][2] for r in got if r.held_out]
+    assert sum(right) / len(right) > 0.9 and len({r.lang_pred for r in got}) > 290
+
+
+def test_language_scores_by_their_definition():
+    rng = np.random.default_rng(3)
+    model = language_id.Model(["aa", "bb"], rng.normal(size=(language_id.BUCKETS, 2)).astype(np.float32), np.array([0.1, -0.2]), temperature=0.7)
+    given = ["Abc, d", None, "12 !", "漢字 x", "zz" * 40, "É"]
+    for text, name, chance in zip(given, *model.predict(given), strict=True):
+        if not text or not any(c.isalpha() for c in text):
+            assert (name, chance) == ("und", 0.0)
+            continue
+        data = b" " + bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in text.lower().encode()) + b" " * 4
+        total, n = np.zeros(2), 0
+        for at in range(len(data) - 3):
+            key = 0
+            for k in range(4):  # subwords of 1 to 4 bytes from here on
+                key = (key ^ (data[at + k] + 1)) * int(language_id._MULTIPLIERS[k]) % 2**32
+                key ^= key >> 15
+                total += model.scores[(key * 0x2C1B3C6D % 2**32) >> 17]
+                n += 1
+        z = np.exp((total / n + model.bias) / model.temperature)
+        assert name == model.languages[int(z.argmax())] and abs(chance - z.max() / z.sum()) < 1e-5
