@@ -8,6 +8,10 @@ For a unigram model an arc's weight is the piece's negative score. For a byte-pa
 piece a to piece b weighs 0 if merging the text of a and b by rank gives a and b again, else infinity: a sequence of pieces is
 the byte-pair encoding of its text exactly if all its neighbours pass that test. So each place has one state at most.
 
+Pieces of spaces rank alike and behind all others in such a model. What other merges leave of a run of spaces is a lattice of its own: each piece
+weighs 1, and of paths of one weight the one whose first piece is the longest wins. That this is what merging gives is tested for short runs as a model is
+compiled; a model that fails, or has other pieces with two spaces side by side, has its runs merged by definition, with a heap.
+
 Texts are cut where no piece has the two characters side by side; no path crosses there. Frequent parts are kept by each worker.
 """
 
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import array
 import functools
+import heapq
 import itertools
 import re
 import struct
@@ -26,6 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import leaving_nothing
+
 SPACE = "▁"
 #: Parts that a worker keeps, and the longest such part in characters; text encoded at once, in bytes.
 KEPT, LONGEST, TOGETHER = 400_000, 48, 1 << 20
@@ -112,6 +119,7 @@ class Transducer:
         self.splits: dict[int, tuple[int, int] | None] = {}
         self.fits: dict[int, dict[int, bool]] = {}
         self.fit_count = 0
+        self.code = "H" if len(self.pieces) <= 1 << 16 else "I"
         self.known: dict[str, bytes] = {}
         self.tree: dict = {}  # by character; the piece that ends at a node under the empty key
         for p, i in self.number.items():  # in a byte-pair model those that merging makes
@@ -120,18 +128,58 @@ class Transducer:
                 for c in p:
                     node = node.setdefault(c, {})
                 node[""] = i
+        self.runs = self._space_runs()
 
     # Byte-pair merging by rank, for the tree of a piece.
 
     def merged(self, text: str) -> list[str]:
         """The byte-pair encoding of a text, by its definition: again and again the best-ranked pair, the leftmost first."""
-        parts = list(text)
-        while True:
-            best = min(((self.rank[self.number[a + b]], i) for i, (a, b) in enumerate(itertools.pairwise(parts)) if a + b in self.number), default=None)
-            if best is None:
-                return parts
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        part, after, before = list(text), list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
+        heap: list[tuple[float, int, str, str]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < len(part) and (both := self.number.get(part[i] + part[after[i]])) is not None:
+                heapq.heappush(heap, (self.rank[both], i, part[i], part[after[i]]))
+
+        for i in range(len(text)):
+            offer(i)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if part[i] != a or j >= len(part) or part[j] != b:  # one of them is another part by now
+                continue
+            part[i], part[j], after[i] = a + b, "", after[j]
+            if after[j] < len(part):
+                before[after[j]] = i
+            offer(before[i])
+            offer(i)
+        return [p for p in part if p]
+
+    def _space_runs(self) -> list[int] | None:
+        """Lengths of the pieces of spaces, the longest first, if their runs can be encoded apart from the rest: see above."""
+        runs = {len(p): i for p, i in self.number.items() if p == SPACE * len(p)}
+        ranks = {self.rank[i] for k, i in runs.items() if k > 1}
+        others = [self.rank[i] for p, i in self.number.items() if len(p) > 1 and p.strip(SPACE)]
+        if not self.bpe or 1 not in runs or len(ranks) != 1 or max(others, default=-INFINITE) >= min(ranks) or any(SPACE * 2 in p and p.strip(SPACE) for p in self.number):
+            return None
+        self.run_ids = runs
+        lengths = sorted(runs, reverse=True)
+        return lengths if all(self.run(m, lengths) == [runs[len(p)] for p in self.merged(SPACE * m)] for m in range(1, 6 * lengths[0])) else None
+
+    def run(self, m: int, lengths: list[int]) -> list[int]:
+        """Ids of the least path over m spaces. All but the last few pieces of a long run are its longest."""
+        ahead = max(0, m // lengths[0] - 3)
+        rest = m - ahead * lengths[0]
+        least, choice = [0] + [rest + 1] * rest, [0] * (rest + 1)
+        for k in range(1, rest + 1):
+            for n in lengths:
+                if n <= k and least[k - n] + 1 < least[k]:
+                    least[k], choice[k] = least[k - n] + 1, n
+        out = [self.run_ids[lengths[0]]] * ahead
+        while rest:
+            out.append(self.run_ids[choice[rest]])
+            rest -= choice[rest]
+        return out
 
     def split(self, piece: int) -> tuple[int, int] | None:
         """The two pieces whose merge makes a piece; None for a character, or if the piece is never made."""
@@ -217,16 +265,17 @@ class Transducer:
         """Packed ids of a part of a text, with spaces as they are."""
         text = part.replace(" ", SPACE)
         if self.bpe and SPACE + SPACE in text:
-            # Pieces of spaces all rank alike, which the test of neighbours does not allow: merge these by definition.
             run = len(text) - len(text.lstrip(SPACE))
-            ids = [self.number[p] for p in self.merged(text[:run])] if run == len(text) else None
-            if ids is None:
-                head = self.merged(text)
-                ids = [i for p in head for i in ([self.number[p]] if p in self.number else self.bytes_for(p))]
-            return array.array("H", ids).tobytes()
+            if self.runs is None or SPACE + SPACE in text[run:]:
+                return array.array(self.code, [i for p in self.merged(text) for i in ([self.number[p]] if p in self.number else self.bytes_for(p))]).tobytes()
+            if run == len(text):
+                return array.array(self.code, self.run(run, self.runs)).tobytes()
+            tail = array.array(self.code, self.encode_part(" " + part[run:]))
+            alone = tail[0] == self.number[SPACE]  # the last space is left to the others
+            return array.array(self.code, self.run(run if alone else run - 1, self.runs)).tobytes() + tail[alone:].tobytes()
         if len(text) > 2 and text[-1] in ".," and text[-2:] not in self.beside:
             return self.encode_part(part[:-1]) + self.encode_part(part[-1])
-        return array.array("H", self.shortest(text)).tobytes()
+        return array.array(self.code, self.shortest(text)).tobytes()
 
     def encode_part(self, part: str) -> bytes:
         found = self.known.get(part)
@@ -239,16 +288,16 @@ class Transducer:
         return found
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a text, as unsigned 16-bit integers; none for an empty one."""
+        """Ids of a text, as unsigned 16-bit integers, or 32-bit ones for more pieces than these number; none for an empty one."""
         if not text:
-            return np.zeros(0, np.uint16)
+            return np.zeros(0, self.code)
         parts = self.cut.findall(" " + text if self.prefix else text)
         known = self.known
         try:
             data = b"".join(map(known.__getitem__, parts))
         except KeyError:
             data = b"".join([known[p] if p in known else self.encode_part(p) for p in parts])
-        return np.frombuffer(data, np.uint16)
+        return np.frombuffer(data, self.code)
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are not UTF-8 become replacement signs."""
@@ -289,4 +338,4 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
                 back = [t.decode(i) == (x or "") for i, x in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends), pa.int64()), lists, pa.array(sums, pa.int64()), pa.array(back)], ["doc_id", "n_pieces", "ids", "ids_crc32", "round_trip"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(leaving_nothing(task), "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, round_trip boolean")
