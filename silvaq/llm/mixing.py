@@ -69,11 +69,11 @@ def targets(sources: DataFrame, weights=(1, 2, 3), share: float = 1.0, max_repea
     return filled.withColumn("target", target).withColumn("want", F.floor(target + F.lit(0.5)).cast("long")).select("s", "source_size", "rank", "target", "want")
 
 
-def _placed(docs: DataFrame, weights, share: float, max_repeat: int) -> DataFrame:
-    """Each row with its source's figures, its place before others in its source's stream, and what the mix takes of it."""
+def _placed(docs: DataFrame, weights, share: float, max_repeat: int, *keep: Column) -> DataFrame:
+    """Each row with its source's figures, its place before others in its source's stream, and what the mix takes of it. keep: columns that come along."""
     s = F.when(F.col("source").isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col("source")))
     place = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
-    slim = cut(docs.select("doc_id", s.alias("s"), word_count(F.col("text")).alias("size"), place.alias("place")).withColumn("part", F.shiftright("place", 36).cast("int")))
+    slim = cut(docs.select("doc_id", s.alias("s"), word_count(F.col("text")).alias("size"), place.alias("place"), *keep).withColumn("part", F.shiftright("place", 36).cast("int")))
     parts = slim.groupBy("s", "part").agg(F.sum("size").alias("part_size"))
     chain = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("part_before", F.coalesce(F.sum("part_size").over(chain), F.lit(0)))
@@ -115,18 +115,18 @@ def mix(docs: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, max_repeat: i
 def arrange(docs: DataFrame, *, weights=(1, 2, 3), share: float = 1.0, max_repeat: int = 3, schedules=SCHEDULES) -> DataFrame:
     """docs in training order, with their columns: each as often as passes touch it, at the positions of its copies.
 
-    The document that a source's last pass cuts is taken whole. Documents without words are not taken. Rows without doc_id, or
-    with one that another row has too, share the decision for the first row of that id, by size.
+    The document that a source's last pass cuts is taken whole. Documents without words (null and empty texts) are not taken. Null source: a source of its
+    own. Null and repeated doc_ids are rows like any other; rows that are equal in all columns stand for one another. Without rows the result is empty; other
+    columns come along, whatever their names.
     """
-    placed = _placed(docs, weights, share, max_repeat).where("copies > 0")
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    first = Window.partitionBy("silvaq_key").orderBy("size", "before")
-    one = placed.withColumn("silvaq_key", key).withColumn("n", F.row_number().over(first)).where("n = 1")
-    copies = one.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64(*docs.columns).cast("string"), F.md5(F.col("text").cast("binary"))))).alias("key")
+    placed = _placed(docs, weights, share, max_repeat, key).where("copies > 0")
+    copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     position = _position((F.col("copy") * F.col("source_size") + F.col("before")) / F.greatest(F.col("want"), F.lit(1)), schedules)
-    plan = copies.select("silvaq_key", position.alias("silvaq_position"), F.col("copy").alias("silvaq_copy"))
-    out = docs.withColumn("silvaq_key", key).join(plan, "silvaq_key")
-    return out.orderBy("silvaq_position", "silvaq_key", "silvaq_copy").select(*docs.columns)
+    plan = copies.select("key", position.alias("position"), F.col("copy"), "doc_id")
+    # Rows that are equal are one by the time they meet the plan, which has a row for each copy of each.
+    once = docs.select(key, F.struct(*docs.columns).alias("row")).groupBy("key").agg(F.first("row").alias("row"))
+    return once.join(plan, "key").orderBy("position", "doc_id", "copy", "key").select("row.*")
 
 
 ORACLE = r"""

@@ -177,20 +177,21 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with each secret in text replaced; spans that overlap become one. Columns stay, n_chars (if there) follows the text.
 
-    Texts without secrets, null texts among them, do not change.
+    Texts without secrets, null and empty texts among them, do not change. Repeated rows and null doc_ids are rows like any other; without rows the
+    result is empty; other columns come along, whatever their names.
     """
     model = train(stored(annotate(docs.select("text")).drop("text"), "secrets"))
-    every = annotate(docs).withColumn("silvaq_every", spans(model))
+    every = annotate(docs.select(F.struct(*docs.columns).alias("row"), "text")).withColumn("every", spans(model))
     # Before each span, what lies behind the end of all spans before it is kept; so is what lies behind the last.
-    every = every.withColumn("silvaq_ends", F.concat(F.array(F.lit(0)), _running(F.transform("silvaq_every", lambda s: s["end"]), lambda x, y: F.greatest(x, y))))
-    between = F.transform("silvaq_ends", lambda e, i: F.struct(e.alias("from"), F.coalesce(F.get("silvaq_every", i)["start"], F.char_length("text")).alias("to")))
+    every = every.withColumn("ends", F.concat(F.array(F.lit(0)), _running(F.transform("every", lambda s: s["end"]), lambda x, y: F.greatest(x, y))))
+    between = F.transform("ends", lambda e, i: F.struct(e.alias("from"), F.coalesce(F.get("every", i)["start"], F.char_length("text")).alias("to")))
     pieces = F.filter(between, lambda k: k["to"] > k["from"])
     clean = F.transform(pieces, lambda k: F.substring(F.col("text"), k["from"] + 1, k["to"] - k["from"]))
-    first_hidden = F.get("silvaq_every", F.lit(0))["start"] == 0
-    last_hidden = F.array_max("silvaq_ends") >= F.char_length("text")
+    first_hidden = F.get("every", F.lit(0))["start"] == 0
+    last_hidden = F.array_max("ends") >= F.char_length("text")
     text = F.concat(F.when(first_hidden, F.lit(mark)).otherwise(F.lit("")), F.array_join(clean, mark), F.when(last_hidden & (F.size(clean) > 0), F.lit(mark)).otherwise(F.lit("")))
-    out = every.withColumn("text", F.when(F.size("silvaq_every") > 0, text).otherwise(F.col("text")))
+    out = every.withColumn("text", F.when(F.size("every") > 0, text).otherwise(F.col("text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("silvaq_every") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
-
+        new["n_chars"] = F.when(F.size("every") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
