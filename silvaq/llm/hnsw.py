@@ -27,6 +27,18 @@ class Graph:
             self._insert(order[at : at + size], level)
             at += size
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        """What a graph is made of, for saving; from_arrays() makes it again."""
+        return {"x": self.x, "entry": np.array([self.entry if len(self.x) else -1])} | {f"layer{i}": a for i, a in enumerate(self.links)}
+
+    @classmethod
+    def from_arrays(cls, arrays: dict[str, np.ndarray]) -> Graph:
+        out = cls.__new__(cls)
+        out.x, out.entry, out.links = arrays["x"], int(arrays["entry"][0]), []
+        while (layer := arrays.get(f"layer{len(out.links)}")) is not None:
+            out.links.append(layer)
+        return out
+
     def _insert(self, new: np.ndarray, level: np.ndarray) -> None:
         near = np.full((len(new), 1), self.entry, np.int32)
         for layer in range(len(self.links) - 1, -1, -1):

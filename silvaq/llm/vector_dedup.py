@@ -1,134 +1,191 @@
 """Embedding near-dedup with small-world graphs.
 
-Equal vectors of a label become one first. The rest is dealt to shards; each has its own graph, and all vectors of a label query every
-shard. In each shard some queries are answered by brute force too, and the beam widens until what the graph finds agrees.
-Every link is verified by the cosine in double precision. A task returns sums and one link per vector to the smallest of the
-vectors it hangs together with there, never pairs; components are the union of those.
+Equal vectors of a label become one first. The rest is dealt to shards. Each shard's graph is built once, by the task that also looks for the
+links inside the shard, and written to the shared folder. Then every other shard's vectors query it: a task takes the files of two shards, and
+nothing but their names is shuffled. Each pair of shards meets once, as a link holds both ways.
+
+In each task the beam widens until an audit passes: queries for which links were found, and others drawn at random, are answered by brute force until
+enough true links were seen (a vector's likeness to itself is none), and the search must have found nearly all of these. Every link is verified by the
+cosine in double precision. A task returns sums and one link per vector to the smallest of the vectors it hangs together with there, never
+pairs; components are the union of those.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .arrays import load_arrays, save_arrays
+from .common import fresh_dir, release, stored
 from .components import components
 from .hnsw import Graph
 from .vectors import matrix, usable, with_size
 
-#: Vectors of a shard, and queries that a task answers on one.
-SHARD, QUERIES = 8192, 32768
-BEAM, AUDITED, WANTED = 48, 48, 0.995
+#: Vectors of a shard.
+SHARD = 8192
+#: The first beam; queries that are audited at a time; true links that an audit asks for, or else queries; the share of links that must be found.
+BEAM, AUDITED, LINKS, MOST, WANTED = 48, 64, 64, 512, 0.995
 #: Single precision finds; what is this much below the threshold is verified too.
 SLACK = 1e-5
-
-
-def _roots(n: int, pairs) -> np.ndarray:
-    """The smallest member of each one's component, by union."""
-    up = np.arange(n)
-
-    def find(a: int) -> int:
-        while up[a] != a:
-            up[a] = up[up[a]]
-            a = up[a]
-        return a
-
-    for a, others in pairs:
-        a = find(a)
-        for b in others:
-            b = find(b)
-            if a != b:
-                a, b = min(a, b), max(a, b)
-                up[b] = a
-    return np.array([find(i) for i in range(n)])
-
-
-def link_shard(rows: np.ndarray, queries: np.ndarray | None, least: float) -> tuple[list[np.ndarray], dict]:
-    """For each query (None: each row) the rows of cosine `least` or more that the graph finds, itself left out, and what the audit did.
+#: Links up to which they are kept as pairs while components are made.
+SPARSE = 1 << 21
+
+
+def roots_of(met: np.ndarray, same: bool) -> np.ndarray:
+    """The smallest place in each one's component. met[i, j]: query i meets row j; rows have the places before those of queries, or are the same (same)."""
+    n_queries, n_rows = met.shape
+    n = n_rows if same else n_rows + n_queries
+    shift = 0 if same else n_rows
+    label = np.arange(n)
+    few = np.count_nonzero(met) <= SPARSE
+    if few:
+        i, j = np.nonzero(met)
+        a, b = np.concatenate([i + shift, j]), np.concatenate([j, i + shift])
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.diff(a, prepend=-1))
+        heads = a[first]
+    while True:
+        least = label.copy()
+        if few:
+            if len(heads):
+                least[heads] = np.minimum(least[heads], np.minimum.reduceat(label[b], first))
+        else:
+            for at in range(0, n_queries, 512):
+                part, mine = met[at : at + 512], slice(shift + at, shift + min(at + 512, n_queries))
+                least[mine] = np.minimum(least[mine], np.where(part, label[:n_rows], n).min(1))
+                least[:n_rows] = np.minimum(least[:n_rows], np.where(part, label[mine][:, None], n).min(0))
+        new = label.copy()
+        np.minimum.at(new, label, least)  # a component's root follows the smallest that any of it meets
+        new = np.minimum(new, least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def link_shard(graph: Graph, rows: np.ndarray, queries: np.ndarray | None, least: float, seed: int = 0) -> tuple[np.ndarray, dict]:
+    """Which rows of cosine `least` or more the graph finds for each query (None: each row; a row does not meet itself), and what the audit did.
 
     rows, queries: unit vectors in double precision.
     """
     same = queries is None
     q = rows if same else queries
-    graph = Graph(rows)
-    audited = np.arange(0, len(q), max(1, len(q) // AUDITED))[:AUDITED]
-    exact = q[audited] @ rows.T >= least
-    # Besides every so many queries, those of the largest known neighbourhoods are audited.
-    beam = BEAM
+    beam, audit = min(BEAM, max(1, len(rows))), {}
     while True:
-        found = graph.within(q[audited].astype(np.float32), least - SLACK, min(beam, max(1, len(rows))))
-        hit = sum(int(e[f].sum()) for e, f in zip(exact, found, strict=True))
-        if hit >= WANTED * exact.sum() or beam >= len(rows):
-            break
-        beam *= 2
-    out = []
-    for at in range(0, len(q), 256):
-        part = q[at : at + 256]
-        for i, f in enumerate(graph.within(part.astype(np.float32), least - SLACK, min(beam, max(1, len(rows))))):
-            f = f[rows[f] @ part[i] >= least]
-            out.append(f[f != at + i] if same else f)
-    if same:  # a link found from one side holds for both
-        bits = np.zeros((len(rows), len(rows)), bool)
-        for i, f in enumerate(out):
-            bits[i, f] = True
-        bits |= bits.T
-        out = [np.flatnonzero(b) for b in bits]
-    return out, {"beam": beam, "recall": hit / max(1, exact.sum())}
-
-
-def dedup(vectors: DataFrame, *, vector: str = "embedding", label: str = "label", least: float = 0.93) -> DataFrame:
+        met = np.zeros((len(q), len(rows)), bool)
+        for at in range(0, len(q), 256):
+            part = q[at : at + 256]
+            for i, f in enumerate(graph.within(part.astype(np.float32), least - SLACK, beam)):
+                met[at + i, f[rows[f] @ part[i] >= least]] = True
+        if same:  # a link found from one side holds for both
+            np.fill_diagonal(met, False)
+            met |= met.T
+        rng = np.random.default_rng(seed)
+        order = rng.permutation(len(q))
+        first = order[met.any(1)[order]][:AUDITED]
+        order = np.concatenate([first, order[~np.isin(order, first)]])
+        true = hit = at = 0
+        while at < min(len(order), MOST) and (true < LINKS or at < 2 * AUDITED):
+            some = order[at : at + AUDITED]
+            exact = q[some] @ rows.T >= least
+            if same:
+                exact[np.arange(len(some)), some] = False
+            true, hit, at = true + int(exact.sum()), hit + int((exact & met[some]).sum()), at + len(some)
+        audit = {"beam": beam, "audited": at, "links": true, "found": hit}
+        if hit >= WANTED * true or beam >= len(rows):
+            return met, audit
+        beam = min(beam * 2, len(rows))
+
+
+@functools.lru_cache(maxsize=2)
+def _shard(folder: str, name: str) -> tuple[Graph, dict[str, np.ndarray]]:
+    """A shard's graph and arrays, mapped; a worker keeps the last ones."""
+    a = load_arrays(folder, name)
+    return Graph.from_arrays(a), a
+
+
+RESULT = "rep long, links long, root long, audited long, true_links long, found_links long"
+
+
+def _result(reps: np.ndarray, counts: np.ndarray, roots: np.ndarray, audit: dict) -> pa.RecordBatch:
+    """Rows of those that have a link, and one row of the audit, without rep."""
+    k = np.flatnonzero(counts)
+    none = [None] * len(k)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([*reps[k].tolist(), None], pa.int64()), pa.array([*counts[k].tolist(), None], pa.int64()), pa.array([*reps[roots[k]].tolist(), None], pa.int64()), *(pa.array([*none, audit[x]], pa.int64()) for x in ("audited", "links", "found"))],
+        ["rep", "links", "root", "audited", "true_links", "found_links"],
+    )
+
+
+def dedup(vectors: DataFrame, *, vector: str = "embedding", label: str = "label", least: float = 0.93, report: dict | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row.
 
     Two rows link when their labels are equal and not null and the cosine of their vectors, in double precision, is `least` or more.
     Vectors that are null, zero or hold null or non-finite components link with nothing; neither do vectors of different
     lengths, nor rows without vec_id or label. component_id: the smallest vec_id that links reach; kept: whether it is the row's own.
     Rows that repeat a vec_id are rows like any other and share its fate. Without rows the result is empty; other columns are ignored.
+    report: gets how many queries were audited, their true links, and how many of these were found.
     """
+    spark = vectors.sparkSession
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).alias("raw"))
     base = base.withColumn("v", F.when(usable(F.col("raw")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.col("raw").cast("array<double>"))).drop("raw")
     base = stored(with_size(base, "v"), "vectors")
     good = base.where(F.col("v").isNotNull())
-    one = stored(good.groupBy("label", "dims", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "distinct")
-    sizes = one.groupBy("label", "dims").agg(F.count("*").alias("n"))
-    one = one.join(sizes, ["label", "dims"]).withColumn("shards", F.ceil(F.col("n") / SHARD).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("shards")).cast("int"))
-    # Each pair of shards meets once: the higher one's vectors query the lower one's graph.
-    part = F.pmod(F.xxhash64("rep", F.lit(10)), F.ceil(F.col("n") / QUERIES)).cast("int")
-    asks = one.select("label", "dims", F.explode(F.sequence(F.lit(0), "own")).alias("shard"), "own", F.when(F.col("shards") > 1, part).otherwise(0).alias("part"), F.lit(False).alias("is_row"), "rep", "m", "v")
-    asks = asks.where("own <> shard")
-    meets = asks.select("label", "dims", "shard", "own", "part").distinct()
-    rows = one.select("label", "dims", F.col("own").alias("shard"), "rep", "m", "v")
-    at_home = rows.select("label", "dims", "shard", F.col("shard").alias("own"), F.lit(0).alias("part"), F.lit(True).alias("is_row"), "rep", "m", "v")
-    abroad = rows.join(meets, ["label", "dims", "shard"]).select("label", "dims", "shard", "own", "part", F.lit(True).alias("is_row"), "rep", "m", "v")
-
-    def task(table: pa.Table) -> pa.Table:
-        is_row = table.column("is_row").to_numpy()
+    # Vectors are numbered once, as they are written: repeated ids have numbers of their own.
+    one = good.groupBy("label", "dims", "v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("m"))
+    one = stored(one.withColumn("rep", F.monotonically_increasing_id()), "distinct")
+    sizes = one.groupBy("label", "dims").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+    shards = one.join(sizes, ["label", "dims"]).withColumn("shard", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("shards")).cast("int")).select("label", "dims", "shard", "rep", "m", "v")
+    folder = fresh_dir(spark, "graphs")
+    name_of = F.concat_ws("-", F.lit("shard"), F.md5(F.concat_ws("/", F.col("label").cast("string"), "dims").cast("binary")), F.col("shard").cast("string"))
+
+    def build(table: pa.Table) -> pa.Table:
         v, rep, m = matrix(table.column("v")), table.column("rep").to_numpy(), table.column("m").to_numpy()
+        order = np.argsort(rep, kind="stable")
+        v, rep, m = v[order], rep[order], m[order]
         v = v / np.abs(v).max(1, keepdims=True)
         v = v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
-        a, b = np.flatnonzero(is_row), np.flatnonzero(~is_row)
-        a, b = a[np.argsort(rep[a], kind="stable")], b[np.argsort(rep[b], kind="stable")]
-        links = link_shard(v[a], v[b] if len(b) else None, least)[0]
-        if len(b):
-            ids, count = np.concatenate([rep[a], rep[b]]), np.zeros(len(a) + len(b), np.int64)
-            for i, f in enumerate(links):
-                count[len(a) + i] = m[a[f]].sum()
-                np.add.at(count, f, m[b[i]])
-            order = np.argsort(ids, kind="stable")
-            place = np.empty_like(order)
-            place[order] = np.arange(len(ids))
-            roots = _roots(len(ids), ((place[len(a) + i], place[f]) for i, f in enumerate(links)))
-            return pa.table({"rep": ids, "links": count, "root": ids[order[roots[place]]]})
-        count = np.array([m[a[f]].sum() for f in links], np.int64)
-        return pa.table({"rep": rep[a], "links": count, "root": rep[a][_roots(len(a), enumerate(links))]})
-
-    met = at_home.unionByName(asks).unionByName(abroad).groupBy("label", "dims", "shard", "own", "part").applyInArrow(task, "rep long, links long, root long")
-    met = stored(met, "met")
+        graph = Graph(v)
+        met, audit = link_shard(graph, v, None, least)
+        save_arrays(folder, table.column("file")[0].as_py(), graph.arrays() | {"unit": v, "rep": rep, "m": m})
+        return pa.Table.from_batches([_result(rep, np.array([m[row].sum() for row in met], np.int64), roots_of(met, True), audit)])
+
+    # A number of partitions, so that small rows are not taken for little work.
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    at_home = stored(shards.withColumn("file", name_of).repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file").groupBy("file").applyInArrow(build, RESULT), "home")
+    manifest = sizes.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).join(shards.select("label", "dims", "shard").distinct(), ["label", "dims", "shard"]).withColumn("file", name_of)
+    lower, upper = manifest.select("label", "dims", F.col("shard").alias("a"), F.col("file").alias("rows")), manifest.select("label", "dims", F.col("shard").alias("b"), F.col("file").alias("queries"))
+    jobs = stored(lower.join(upper, ["label", "dims"]).where("a < b").select("rows", "queries"), "graph-jobs")
+
+    def meet(batches):
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                graph, x = _shard(folder, a)
+                y = load_arrays(folder, b)
+                met, audit = link_shard(graph, x["unit"], y["unit"], least)
+                counts = np.concatenate([y["m"] @ met, met @ x["m"]])
+                yield _result(np.concatenate([x["rep"], y["rep"]]), counts, roots_of(met, False), audit)
+        _shard.cache_clear()
+        release()
+
+    n_jobs = jobs.count()
+    abroad = jobs.repartition(max(1, min(n_jobs, 8 * tasks)), "rows", "queries").sortWithinPartitions("rows").mapInArrow(meet, RESULT)
+    met = stored(at_home.union(abroad), "met") if n_jobs else at_home
+    if report is not None:
+        found = met.agg(*[F.sum(c).alias(c) for c in ("audited", "true_links", "found_links")]).first()
+        report |= found.asDict()
+    met = met.where(F.col("rep").isNotNull())
     roots = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    of = one.select("label", "dims", "v", "rep", "m").join(counts, "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    copies = of.select("label", "dims", "v", (F.col("links") + F.col("m") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component"))
+    of = one.join(counts, "rep", "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    names = of.groupBy("root").agg(F.min("least_id").alias("component"))
+    copies = of.join(names, "root").select("label", "dims", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component")
     linked = good.select("vec_id", "label", "dims", "v").join(copies, ["label", "dims", "v"]).select("vec_id", "n_links", F.col("component").alias("component_id"))
     alone = base.where(F.col("v").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
