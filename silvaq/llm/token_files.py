@@ -11,6 +11,7 @@ from __future__ import annotations
 import array
 import functools
 import itertools
+import json
 import os
 import unicodedata
 import uuid
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_dir, stored
+from .common import filesystem, fresh_dir, leaving_nothing, stored
 
 LENGTH = 2048
 #: Sequences in one batch of a file.
@@ -43,12 +44,26 @@ _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SIGNS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
 
 
+def encodes_words_alone(spec: dict) -> bool:
+    """Whether a tokenizer, as its file describes it, composes and lower-cases, takes its pieces at white space, which it drops, and knows bytes by signs."""
+    steps = lambda x, key: [] if x is None else x[key] if x.get("type") == "Sequence" else [x]
+    normal = [s.get("type") for s in steps(spec.get("normalizer"), "normalizers")]
+    cuts = steps(spec.get("pre_tokenizer"), "pretokenizers")
+    cut = cuts[0] if cuts else {}
+    kinds = [c.get("type") for c in cuts]
+    return (
+        normal[:1] == ["NFC"] and normal[-1] == "Lowercase" and set(normal) <= {"NFC", "Replace", "Lowercase"}
+        and kinds == ["Split", "ByteLevel"] and cut.get("behavior") == "Removed" and cut.get("invert") is True and not cuts[1].get("add_prefix_space", True)
+    )
+
+
 class WordEncoder:
     """Encodes whole texts with a byte-level tokenizer that drops white space, a word at a time, so that each frequent word is encoded once.
 
     A new word of letters goes straight to the tokenizer's model; any other goes through its normaliser and pattern first.
 
     Words end at ASCII white space, which this kind of tokenizer always splits at and never encodes: the ids of a text are the ids of its words.
+    Whether a file is of this kind is read from it; another tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str, dtype=np.uint16):
@@ -56,6 +71,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_words = encodes_words_alone(json.load(f))
         self.code = {1: "B", 2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.known: dict[bytes, bytes] = {}
 
@@ -75,6 +92,8 @@ class WordEncoder:
             into[w] = (into[stem] if stem in into else self.known[stem]) + (into[sign] if sign in into else self.known[sign])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_words:
+            return [array.array(self.code, got.ids).tobytes() for got in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         known = self.known
         if len(known) > KEPT:  # what came first is what comes often
             self.known = known = dict(itertools.islice(known.items(), KEPT // 2))
@@ -217,13 +236,16 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int = 2, le
         fs.move(f"{temp}.docs", f"{root}/{name}.docs")
         yield pa.RecordBatch.from_pydict({"file": [name], "first": pa.array([first], pa.int64()), "docs": pa.array([n_docs], pa.int64()), "tokens": pa.array([n_tokens], pa.int64())})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(task, "file string, first long, docs long, tokens long")
+    # Rows that share an id, or have none, follow the digest of their texts, and equal rows their place in the input: no range is bound to hold them all.
+    keys = ("doc_id", "digest", "place")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.col("text").cast("binary")).alias("digest"), F.spark_partition_id().alias("place"))
+    ordered = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    return ordered.mapInArrow(leaving_nothing(task), "file string, first long, docs long, tokens long")
 
 
 def read(manifest: DataFrame, out: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
-    order = Window.orderBy(F.asc_nulls_first("first"), "file").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # files are named in the order of their ranges
     based = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
 
     def task(batches):
@@ -258,7 +280,7 @@ def read(manifest: DataFrame, out: str) -> DataFrame:
 def encode_and_read(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, length: int = LENGTH) -> DataFrame:
     """Writes all documents as token files in the shared folder and returns what read() finds there.
 
-    Null text is empty: only the end id. Documents stand in ascending order of doc_id, nulls first, repeated ids by text (null
+    Null text is empty: only the end id. Documents stand in ascending order of doc_id, nulls first, repeated ids by the digest of their text (null
     first). Without rows there are no files and no rows. Other columns are ignored.
     """
     out = fresh_dir(docs.sparkSession, "tokens")
