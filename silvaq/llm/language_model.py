@@ -6,14 +6,14 @@ look up by binary search; nothing of the model is sent to the driver but sums.
 
 Counting: tasks count their own words or pairs first and deal out sorted, packed runs by part; a part's runs are merged where they meet and
 written as one file. Pairs are dealt by their first word, so that a context's statistics meet in one part, except for the most
-frequent words, whose pairs are dealt by both words and whose statistics are added up. No group holds more than a part's distinct pairs times the runs.
+frequent words, whose pairs are dealt by both words and whose statistics are added up. There are as many parts as the texts have PART bytes, so that a
+part's size does not follow the corpus; counts are as wide as they need. Numbers of words share 64 bits in pairs: 2^32 distinct words are an error.
 """
 
 from __future__ import annotations
 
 import functools
 import json
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_dir, remainder, stored
+from .arrays import load_arrays, save_arrays
+from .common import fresh_dir, leaving_nothing, remainder, stored
 from .shingles import mix, word_hashes
 
 #: The hash of the end token; no word has it but by chance.
@@ -30,7 +31,11 @@ END = np.uint64(0xD1B54A32D192ED03)
 COUNTED, SCORED = 1 << 21, 1 << 19
 #: Words with this share of all tokens have their pairs dealt by both words.
 FREQUENT = 1 / 4096
-RUN = "part int, n long, keys binary, counts binary"
+#: Bytes of text that a part of the model is made for.
+PART = 1 << 24
+#: Files that a worker keeps mapped.
+MAPPED = 512
+RUN = "part int, n long, width int, keys binary, counts binary"
 
 
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -47,52 +52,49 @@ def _sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(counts[order], first)
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return pa.compress(steps.tobytes(), "zstd", asbytes=True), pa.compress(counts.astype(np.uint32).tobytes(), "zstd", asbytes=True)
+def _stretches(parts: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of each run of one value in sorted parts."""
+    cuts = np.flatnonzero(np.diff(parts, prepend=-1)).tolist()
+    return list(zip(cuts, [*cuts[1:], len(parts)], strict=True)) if cuts else []
 
 
-def _unpack(n: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64)
+
+
+def _pack(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes, bytes]:
+    steps, counts = np.diff(keys, prepend=np.uint64(0)), _narrow(counts)
+    return counts.itemsize, pa.compress(steps.tobytes(), "zstd", asbytes=True), pa.compress(counts.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(n: int, width: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     steps = np.frombuffer(pa.decompress(keys, n * 8, "zstd", asbytes=True), np.uint64)
-    return np.cumsum(steps, dtype=np.uint64), np.frombuffer(pa.decompress(counts, n * 4, "zstd", asbytes=True), np.uint32).astype(np.int64)
+    return np.cumsum(steps, dtype=np.uint64), np.frombuffer(pa.decompress(counts, n * width, "zstd", asbytes=True), f"<u{width}").astype(np.int64)
 
 
 def _runs(keys: np.ndarray, counts: np.ndarray, parts: np.ndarray):
     """A record batch of packed runs, a row for each part that keys (sorted) fall in."""
     order = np.argsort(parts, kind="stable")
-    cuts = np.flatnonzero(np.diff(parts[order], prepend=-1))
     rows = []
-    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+    for a, b in _stretches(parts[order]):
         k = order[a:b]
         rows.append((int(parts[k[0]]), len(k), *_pack(keys[k], counts[k])))
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "n", "keys", "counts"])
+    return _batch(rows)
 
 
-def _merge(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    found = [_unpack(*(x.as_py() for x in row)) for row in zip(*(table[c] for c in ("n", "keys", "counts")), strict=True)]
-    return _sum(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "n", "width", "keys", "counts"])
 
 
-def _save(uri: str, name: str, data: np.ndarray) -> None:
-    fs, root = filesystem(uri)
-    fs.create_dir(root, recursive=True)
-    temp = f"{root}/.{name}-{uuid.uuid4().hex}"
-    with fs.open_output_stream(temp) as f:
-        f.write(np.ascontiguousarray(data).tobytes())
-    fs.move(temp, f"{root}/{name}")
+def _merge(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    found = [_unpack(*(x.as_py() for x in row)) for row in zip(*(table[c] for c in ("n", "width", "keys", "counts")), strict=True)]
+    return _sum(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
 
 
-def _load(uri: str, name: str, dtype) -> np.ndarray:
-    """An array of a file: mapped, where the file system is local."""
-    fs, root = filesystem(uri)
-    path = f"{root}/{name}"
-    if fs.type_name == "local":
-        try:
-            return np.memmap(path, dtype, "r")
-        except ValueError:  # an empty file
-            return np.zeros(0, dtype)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+@functools.lru_cache(maxsize=MAPPED)
+def _file(uri: str, name: str) -> dict[str, np.ndarray]:
+    """A part's arrays: mapped where the file system is local, else read. Of files that are read a worker keeps MAPPED at most, too."""
+    return load_arrays(uri, name)
 
 
 @dataclass(frozen=True)
@@ -109,6 +111,8 @@ class Model:
     word_discounts: tuple[float, float, float]
     pairs: int  # distinct
     word_levels: tuple[int, int, int]  # words with 1, 2, 3 or more distinct words before them
+    pair_parts: frozenset[int]  # parts that have pairs
+    spans: frozenset[int]  # ranges of numbers that have statistics
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -131,22 +135,22 @@ class Vocabulary:
     """The mapped vocabulary: numbers of hashes, -1 for unknown ones."""
 
     def __init__(self, uri: str, parts: int, sizes: tuple[int, ...]):
-        self.parts, self.starts = parts, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.hashes = [_load(uri, f"words-{p}.u64", np.uint64) if n else np.zeros(0, np.uint64) for p, n in enumerate(sizes)]
-        self.counts = [_load(uri, f"words-{p}.u32", np.uint32) if n else np.zeros(0, np.uint32) for p, n in enumerate(sizes)]
+        self.uri, self.parts, self.sizes = uri, parts, sizes
+        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, count) of each hash."""
         distinct, back = np.unique(hashes, return_inverse=True)
         number, count = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
-        cuts = np.searchsorted(_part(distinct, self.parts), np.arange(self.parts + 1))
-        for p in range(self.parts):
-            a, b = cuts[p], cuts[p + 1]
-            if a < b and len(self.hashes[p]):
-                at = np.minimum(np.searchsorted(self.hashes[p], distinct[a:b]), len(self.hashes[p]) - 1)
-                hit = self.hashes[p][at] == distinct[a:b]
+        part = _part(distinct, self.parts)  # rises with the hash
+        for a, b in _stretches(part):
+            p = int(part[a])
+            if self.sizes[p]:
+                f = _file(self.uri, f"words-{p}")
+                at = np.minimum(np.searchsorted(f["hashes"], distinct[a:b]), self.sizes[p] - 1)
+                hit = f["hashes"][at] == distinct[a:b]
                 number[a:b] = np.where(hit, at + self.starts[p], -1)
-                count[a:b] = np.where(hit, self.counts[p][at], 0)
+                count[a:b] = np.where(hit, f["counts"][at], 0)
         return number[back], count[back]
 
 
@@ -181,12 +185,12 @@ def _before(numbers: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame) -> Model:
-    """Counts the texts of docs and writes the model to the shared folder."""
+def train(docs: DataFrame) -> tuple[Model, np.ndarray]:
+    """Counts the texts of docs and writes the model to the shared folder; also gives the numbers of the frequent words."""
     spark: SparkSession = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     uri = fresh_dir(spark, "lm")
     texts = docs.select("text")
+    parts = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART))
 
     def count_words(batches):
         held = []
@@ -204,8 +208,7 @@ def train(docs: DataFrame) -> Model:
     def write_words(key, table):
         keys, counts = _merge(table)
         p, total = key[0].as_py(), int(counts.sum())
-        _save(uri, f"words-{p}.u64", keys)
-        _save(uri, f"words-{p}.u32", counts.astype(np.uint32))
+        save_arrays(uri, f"words-{p}", {"hashes": keys, "counts": _narrow(counts)})
         end = np.flatnonzero(keys == END)
         return pa.table({"part": pa.array([p], pa.int32()), "words": pa.array([len(keys)], pa.int64()), "tokens": pa.array([total], pa.int64()), "docs": pa.array([int(counts[end].sum())], pa.int64())})
 
@@ -214,10 +217,14 @@ def train(docs: DataFrame) -> Model:
     sizes = tuple(rows[p]["words"] if p in rows else 0 for p in range(parts))
     words, tokens, n_docs = sum(sizes), sum(r["tokens"] for r in rows.values()), sum(r["docs"] for r in rows.values())
     limit = max(2, int(tokens * FREQUENT))
-
+    if words >= 2**32 - 1:
+        raise ValueError("2^32 distinct words or more have no numbers")
+    common = stored(spark.createDataFrame([(p,) for p, n in enumerate(sizes) if n], "part int").repartition(max(1, min(parts, 1000)), "part").mapInArrow(lambda batches: _often(batches, uri, limit), "part int, place long"), "lm-often")
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    frequent = np.sort(np.array([starts[r["part"]] + r["place"] for r in common.collect()] + [words], np.int64))  # 1 / FREQUENT words at most, and the start of a text
 
     def count_pairs(batches):
-        v, frequent = _vocabulary(uri, parts, sizes), _frequent(uri, parts, sizes, limit)
+        v = _vocabulary(uri, parts, sizes)
         for _, hashes, lengths in _groups(batches, 0, COUNTED):
             after = v.find(hashes)[0]
             u = _before(after, lengths, words)
@@ -231,8 +238,7 @@ def train(docs: DataFrame) -> Model:
         """Writes a part's pairs; gives its statistics of contexts and of words as runs: the key has what is counted in its upper bits."""
         keys, counts = _merge(table)
         p = key[0].as_py()
-        _save(uri, f"pairs-{p}.u64", keys)
-        _save(uri, f"pairs-{p}.u32", counts.astype(np.uint32))
+        save_arrays(uri, f"pairs-{p}", {"keys": keys, "counts": _narrow(counts)})
         packed = unmix(keys)
         u, v = packed >> np.uint64(32), packed & np.uint64(0xFFFFFFFF)
         kind = np.minimum(counts, 3).astype(np.uint64)
@@ -240,25 +246,29 @@ def train(docs: DataFrame) -> Model:
         spans = ((seen >> np.uint64(2)) * np.uint64(parts) // np.uint64(words + 1)).astype(np.int64)
         out = _runs(seen, n, spans)
         levels = _levels(counts)
-        head = pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([json.dumps(levels).encode()], pa.binary()), pa.array([b""], pa.binary())], ["part", "n", "keys", "counts"])
-        return pa.Table.from_batches([out, head])
+        return pa.Table.from_batches([out, _batch([(-1, len(keys), p, json.dumps(levels).encode(), b"")])])
 
     def write_statistics(key, table):
         keys, counts = _merge(table)
         s = key[0].as_py()
         first, last = -(-s * (words + 1) // parts), -(-(s + 1) * (words + 1) // parts)
         number, kind = (keys >> np.uint64(2)).astype(np.int64) - first, (keys & np.uint64(3)).astype(np.int64)
-        levels = np.zeros((last - first, 4), np.uint32)  # distinct words before; distinct words after seen 1, 2, 3 or more times
+        levels = np.zeros((last - first, 4), np.int64)  # distinct words before; distinct words after seen 1, 2, 3 or more times
         levels[number, kind] = counts
-        _save(uri, f"levels-{s}.u32", levels)
+        save_arrays(uri, f"levels-{s}", {"levels": levels.astype(np.uint32)})  # none is above the number of words
         return pa.table({"part": pa.array([s], pa.int32()), "levels": pa.array([json.dumps(_levels(levels[:, 0]))])})
 
     pairs = stored(texts.mapInArrow(count_pairs, RUN).groupBy("part").applyInArrow(write_pairs, RUN), "lm-pairs")
-    heads = [(r["n"], json.loads(bytes(r["keys"]))) for r in pairs.where("part = -1").collect()]
+    heads = [(r["n"], json.loads(bytes(r["keys"])), r["width"]) for r in pairs.where("part = -1").collect()]  # a row for each part
     spans = stored(pairs.where("part >= 0").groupBy("part").applyInArrow(write_statistics, "part int, levels string"), "lm-levels")
-    word_levels = np.sum([json.loads(r["levels"]) for r in spans.collect()] + [[0] * 5], axis=0)
-    pair_levels = np.sum([x for _, x in heads] + [[0] * 5], axis=0)
-    return Model(uri, parts, sizes, words, tokens, n_docs, discounts(pair_levels.tolist()), discounts(word_levels.tolist()), sum(n for n, _ in heads), (int(word_levels[0]), int(word_levels[1]), int(word_levels[4])))
+    of_spans = [(r["part"], json.loads(r["levels"])) for r in spans.collect()]
+    word_levels = np.sum([x for _, x in of_spans] + [[0] * 5], axis=0)
+    pair_levels = np.sum([x for _, x, _ in heads] + [[0] * 5], axis=0)
+    model = Model(
+        uri, parts, sizes, words, tokens, n_docs, discounts(pair_levels.tolist()), discounts(word_levels.tolist()), sum(n for n, _, _ in heads),
+        (int(word_levels[0]), int(word_levels[1]), int(word_levels[4])), frozenset(p for _, _, p in heads), frozenset(p for p, _ in of_spans),
+    )
+    return model, frequent
 
 
 def unmix(x: np.ndarray) -> np.ndarray:
@@ -272,34 +282,30 @@ def unmix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=2)
-def _frequent(uri: str, parts: int, sizes: tuple[int, ...], limit: int) -> np.ndarray:
-    """Numbers of the frequent words, at most 1 / FREQUENT, and of the start of a text."""
-    v = _vocabulary(uri, parts, sizes)
-    return np.concatenate([*(np.flatnonzero(c >= limit) + v.starts[p] for p, c in enumerate(v.counts)), [sum(sizes)]]).astype(np.int64)
+def _often(batches, uri: str, limit: int):
+    """The places of the words of parts that are seen `limit` times or more."""
+    for batch in batches:
+        for p in batch.column(0).to_pylist():
+            places = np.flatnonzero(_file(uri, f"words-{p}")["counts"] >= limit)
+            yield pa.RecordBatch.from_arrays([pa.array([p] * len(places), pa.int32()), pa.array(places, pa.int64())], ["part", "place"])
 
 
 class Scorer:
     """A model as a worker has it, mapped."""
 
-    def __init__(self, m: Model):
-        self.m = m
+    def __init__(self, m: Model, frequent: np.ndarray):
+        self.m, self.frequent = m, frequent
         self.words = _vocabulary(m.uri, m.parts, m.sizes)
-        self.frequent = _frequent(m.uri, m.parts, m.sizes, max(2, int(m.tokens * FREQUENT)))
-        fs, root = filesystem(m.uri)
-        from pyarrow import fs as pfs
-
-        have = {f.base_name for f in fs.get_file_info(pfs.FileSelector(root, allow_not_found=True))}
-        self.pairs = [(_load(m.uri, f"pairs-{p}.u64", np.uint64), _load(m.uri, f"pairs-{p}.u32", np.uint32)) if f"pairs-{p}.u64" in have else None for p in range(m.parts)]
-        self.levels = [_load(m.uri, f"levels-{s}.u32", np.uint32).reshape(-1, 4) if f"levels-{s}.u32" in have else None for s in range(m.parts)]
 
     def _levels(self, numbers: np.ndarray) -> np.ndarray:
         out = np.zeros((len(numbers), 4), np.int64)
         span = numbers * self.m.parts // (self.m.words + 1)
-        for s in np.unique(span[numbers >= 0]):
-            k = np.flatnonzero((span == s) & (numbers >= 0))
-            if self.levels[s] is not None:
-                out[k] = self.levels[s][numbers[k] - -(-s * (self.m.words + 1) // self.m.parts)]
+        known = np.flatnonzero(numbers >= 0)
+        order = known[np.argsort(span[known], kind="stable")]
+        for a, b in _stretches(span[order]):
+            k, s = order[a:b], int(span[order[a]])
+            if s in self.m.spans:
+                out[k] = _file(self.m.uri, f"levels-{s}")["levels"][numbers[k] - -(-s * (self.m.words + 1) // self.m.parts)]
         return out
 
     def _pair_counts(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -308,11 +314,11 @@ class Scorer:
         mixed = mix((u[known].astype(np.uint64) << np.uint64(32)) | v[known].astype(np.uint64))
         part = _pair_parts(u[known], mixed, self.frequent, self.m.parts)
         order = np.lexsort((mixed, part))
-        cuts = np.searchsorted(part[order], np.arange(self.m.parts + 1))
-        for p in range(self.m.parts):
-            k = order[cuts[p] : cuts[p + 1]]
-            if len(k) and self.pairs[p] is not None:
-                keys, counts = self.pairs[p]
+        for a, b in _stretches(part[order]):
+            k, p = order[a:b], int(part[order[a]])
+            if p in self.m.pair_parts:
+                f = _file(self.m.uri, f"pairs-{p}")
+                keys, counts = f["keys"], f["counts"]
                 at = np.minimum(np.searchsorted(keys, mixed[k]), len(keys) - 1)
                 out[known[k]] = np.where(keys[at] == mixed[k], counts[at], 0)
         return out
@@ -344,11 +350,6 @@ class Scorer:
         return total((count > 0).astype(np.int64)), total(base), total(np.log10(p))
 
 
-@functools.lru_cache(maxsize=1)
-def _scorer(model: Model) -> Scorer:
-    return Scorer(model)
-
-
 def score(docs: DataFrame, *, modulus: int = 5, held: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each text, whole; the model learns from rows
     whose crc32(doc_id) modulo `modulus` is not `held`.
@@ -358,10 +359,10 @@ def score(docs: DataFrame, *, modulus: int = 5, held: int = 1) -> DataFrame:
     are ignored.
     """
     held_out = remainder(F.col("doc_id"), modulus) == held
-    model = train(docs.where(~held_out))
+    model, frequent = train(docs.where(~held_out))
 
     def task(batches):
-        scorer = _scorer(model)
+        scorer = Scorer(model, frequent)
         for rows, hashes, lengths in _groups(batches, 2, SCORED):
             known, base, log10 = scorer.score(hashes, lengths)
             yield pa.RecordBatch.from_arrays(
@@ -369,4 +370,4 @@ def score(docs: DataFrame, *, modulus: int = 5, held: int = 1) -> DataFrame:
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(task, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(leaving_nothing(task), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -73,7 +73,8 @@ def test_token_files(docs, empty):
 
     t = Tokenizer.from_file(path)
     got = sorted(token_files.encode_and_read(docs, path, length=64).collect(), key=lambda r: r.start)
-    want = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+    digest = lambda t: "" if t is None else hashlib.md5(t.encode()).hexdigest()
+    want = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, digest(r.text)))
     start = 0
     for g, w in zip(got, want, strict=True):
         ids = np.array([*t.encode(w.text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -82,6 +83,16 @@ def test_token_files(docs, empty):
     assert token_files.encode_and_read(empty, path).count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    t, coder = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    given = ["Two  words\n", "", None, "naïve 漢字 x" * 50]
+    assert not coder.by_words and token_files.WordEncoder(tokenizers.path("word_bpe_49k.json")).by_words
+    assert [np.frombuffer(x, np.uint16).tolist() for x in coder.encode(given)] == [t.encode(x or "", add_special_tokens=False).ids for x in given]
+
+
 def test_sequences_are_views(tmp_path):
     with open(tmp_path / "x.ids", "wb") as f:
         w = token_files.SequenceWriter(f, 8, "uint16")
@@ -173,7 +184,7 @@ def test_random_strings_are_told_from_identifiers(spark):
     assert found[900] == "random:4:44" and found[901] == ""
 
 
-def test_language_model(docs, empty):
+def test_language_model(docs, empty, monkeypatch):
     rows = language_model.score(docs).collect()
     all_docs = [(r.doc_id, r.text) for r in docs.collect()]
     tokens = [(i, [*words(t), None]) for i, t in all_docs]
@@ -204,11 +215,23 @@ def test_language_model(docs, empty):
     want = sorted((len(t), sum(w in c for w in t), round(sum(math.log10((c.get(w, 0) + 0.5) / (n + 0.5 * (v_ + 1))) for w in t), 5), round(sum(math.log10(p(u, v)) for u, v in zip(["<"] + t[:-1], t, strict=True)), 5)) for _, t in tokens)
     assert sorted((r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in rows) == want
     assert {r.train_tokens for r in rows} == {n}
+    monkeypatch.setattr(language_model, "PART", 10_000)  # a model in many parts
+    monkeypatch.setattr(language_model, "FREQUENT", 1 / 64)
+    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in language_model.score(docs).collect()) == want
+    monkeypatch.undo()
     assert language_model.score(empty).count() == 0
     held = docs.where("crc32(cast(doc_id AS string)) % 5 = 1")
     assert all(r.n_known == 0 and r.score == 0 for r in language_model.score(held).collect())
 
 
+def test_counts_are_as_wide_as_they_need():
+    keys, counts = np.array([3, 2**63], np.uint64), np.array([1, 2**40])
+    for c in (counts, np.array([7, 2**32 - 1])):
+        k, v = language_model._unpack(2, *language_model._pack(keys, c))
+        assert k.tolist() == keys.tolist() and v.tolist() == c.tolist()
+    assert language_model._pack(keys, counts)[0] == 8 and language_model._narrow(counts).dtype == np.uint64
+
+
 def test_language_id(spark, empty):
     rng = random.Random(2)
     of = {"aa": "abcd", "bb": "efgh", "cc": "ijkl"}
