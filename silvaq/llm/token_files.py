@@ -31,7 +31,7 @@ LENGTH = 2048
 #: Sequences in one batch of a file.
 BATCH = 64
 #: Words whose ids a worker keeps, and the longest such word in bytes; text encoded at once, in code points.
-KEPT, LONGEST, TOGETHER = 400_000, 64, 1 << 20
+KEPT, LONGEST, TOGETHER = 700_000, 64, 1 << 20
 
 
 def _one_run(word: str) -> bool:
@@ -57,6 +57,10 @@ def encodes_words_alone(spec: dict) -> bool:
     )
 
 
+#: Signs that end a word; not the apostrophe, which may begin a piece of letters.
+_SIGN = b".,;:!?#$%&*+/=@^_~|-)]}>\""
+
+
 class WordEncoder:
     """Encodes whole texts with a byte-level tokenizer that drops white space, a word at a time, so that each frequent word is encoded once.
 
@@ -77,8 +81,11 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def _new(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
-        """Encodes words that are not known. A stop or comma that follows a letter or digit ends it, as the tokenizer has it, so that what is before it may be known."""
-        stems = {w: (w[:-1], w[-1:]) for w in words if w[-1:] in b".," and w[-2:-1].isalnum()}
+        """Encodes words that are not known. Signs that follow a letter or digit are a piece of their own, as the tokenizer has it, so that what is before them may be known."""
+        stems = {}
+        for w in words:
+            if w[-1] in _SIGN and (stem := w.rstrip(_SIGN))[-1:].isalnum():
+                stems[w] = stem, w[len(stem) :]
         wanted, rest = {s for pair in stems.values() for s in pair}.union(w for w in words if w not in stems).difference(self.known), []
         tokenize, code = self.tokenizer.model.tokenize, self.code
         for w in wanted:
@@ -236,10 +243,9 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int = 2, le
         fs.move(f"{temp}.docs", f"{root}/{name}.docs")
         yield pa.RecordBatch.from_pydict({"file": [name], "first": pa.array([first], pa.int64()), "docs": pa.array([n_docs], pa.int64()), "tokens": pa.array([n_tokens], pa.int64())})
 
-    # Rows that share an id, or have none, follow the digest of their texts, and equal rows their place in the input: no range is bound to hold them all.
-    keys = ("doc_id", "digest", "place")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.col("text").cast("binary")).alias("digest"), F.spark_partition_id().alias("place"))
-    ordered = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    # Rows that share an id, or have none, follow their place in the input: no range is bound to hold them all.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
+    ordered = keyed.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
     return ordered.mapInArrow(leaving_nothing(task), "file string, first long, docs long, tokens long")
 
 
@@ -280,8 +286,8 @@ def read(manifest: DataFrame, out: str) -> DataFrame:
 def encode_and_read(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, length: int = LENGTH) -> DataFrame:
     """Writes all documents as token files in the shared folder and returns what read() finds there.
 
-    Null text is empty: only the end id. Documents stand in ascending order of doc_id, nulls first, repeated ids by the digest of their text (null
-    first). Without rows there are no files and no rows. Other columns are ignored.
+    Null text is empty: only the end id. Documents stand in ascending order of doc_id, nulls first, repeated ids in the order of
+    the input. Without rows there are no files and no rows. Other columns are ignored.
     """
     out = fresh_dir(docs.sparkSession, "tokens")
     manifest = stored(write(docs, tokenizer_path, out, end_id=end_id, length=length), "manifest")
