@@ -11,7 +11,8 @@ the exact inner product in double precision.
    as wide as all projections every row is one perturbation away.
 2. Rows, once for each table, are range-sorted by group (the cells of the first projections), cell and id, so that parts are even however many rows a
    cell has, and each part is written as a file of arrays.
-3. A query goes to the files of those groups that its probes touch, by an equi-join on the group, and there looks its cells up.
+3. A query goes to the files of those groups that its probes touch, by an equi-join on the group, and there looks its cells up. A task takes a few
+   queries through FILES files that lie side by side and keeps their best rows, so that results are not as many as files.
 4. Queries that met fewer rows than they ask for, as in small or sparse tables, go through tables with cells so wide that they meet every row.
 """
 
@@ -30,8 +31,8 @@ from .arrays import load_arrays, save_arrays
 from .common import fresh_dir, leaving_nothing, stored
 from .vectors import matrix, usable, with_size
 
-#: Rows of a file, and queries that a task answers on one.
-ROWS, QUERIES = 8192, 4096
+#: Rows of a file; files that a task looks through, and queries that it answers on them.
+ROWS, FILES, QUERIES = 8192, 64, 128
 TABLES, PROJECTIONS = 4, 8
 #: Widths of a cell, in standard deviations of a projection, that are tried together; wider ones follow if none suffices.
 WIDTHS = (1.2, 1.6, 2.0, 2.6)
@@ -185,7 +186,7 @@ def neighbours_of(good: DataFrame, ids: np.ndarray, queries: np.ndarray, top: in
 
 
 def write_tables(good: DataFrame, h: Hashing, n: int, folder: str) -> DataFrame:
-    """Writes all rows, once for each table, as files below folder; gives t, grp, file of each group that a file has rows of."""
+    """Writes all rows, once for each table, as files below folder; gives t, grp, file, stretch (of FILES parts side by side) of each group that a file has rows of."""
 
     def deal(batches):
         for batch in batches:
@@ -206,7 +207,8 @@ def write_tables(good: DataFrame, h: Hashing, n: int, folder: str) -> DataFrame:
             save_arrays(folder, name, {"t": t, "grp": grp, "key": key, "ids": ids, "v": slim if (slim == v).all() else v})
             groups = sorted(set(zip(t.tolist(), grp.tolist(), strict=True)))
             number, held, size = number + 1, [], 0
-            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in groups], pa.int32()), pa.array([g[1] for g in groups], pa.int64()), pa.array([name] * len(groups))], ["t", "grp", "file"])
+            stretch = [TaskContext.get().partitionId() // FILES] * len(groups)
+            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in groups], pa.int32()), pa.array([g[1] for g in groups], pa.int64()), pa.array([name] * len(groups)), pa.array(stretch, pa.int32())], ["t", "grp", "file", "stretch"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -220,7 +222,7 @@ def write_tables(good: DataFrame, h: Hashing, n: int, folder: str) -> DataFrame:
     dealt = good.select("vec_id", "v").mapInArrow(deal, "t int, grp long, key long, vec_id long, v array<double>")
     parts = max(1, -(-n * h.tables // ROWS))
     spread = F.xxhash64("vec_id")
-    return dealt.repartitionByRange(parts, "t", "grp", "key", spread).sortWithinPartitions("t", "grp", "key", "vec_id").mapInArrow(leaving_nothing(write), "t int, grp long, file string")
+    return dealt.repartitionByRange(parts, "t", "grp", "key", spread).sortWithinPartitions("t", "grp", "key", "vec_id").mapInArrow(leaving_nothing(write), "t int, grp long, file string, stretch int")
 
 
 def _visits(asked: DataFrame, h: Hashing) -> DataFrame:
@@ -303,21 +305,33 @@ def _pass(good: DataFrame, asked: DataFrame, h: Hashing, n: int, top: int) -> Da
     folder = fresh_dir(spark, "lsh")
     files = stored(write_tables(good, h, n, folder), "lsh-files")
     visits = _visits(asked, h).join(files, ["t", "grp"])
-    # A query once for each file, with the tables it has there.
-    jobs = visits.groupBy("file", "vec_id").agg(F.collect_set("t").alias("tables"), F.first("v").alias("v"))
-    jobs = stored(jobs.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)).cast("int")), "lsh-jobs")
-    sizes = jobs.groupBy("file").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    jobs = jobs.join(sizes, "file").withColumn("part", F.pmod("part", "parts"))
+    # A query once for each stretch of files, with the tables that it has in each.
+    jobs = visits.groupBy("stretch", "vec_id").agg(F.collect_set(F.struct("file", "t")).alias("files"), F.first("v").alias("v"))
+    jobs = stored(jobs.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)).cast("int")), "lsh-jobs")
+    sizes = jobs.groupBy("stretch").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    jobs = jobs.join(sizes, "stretch").withColumn("part", F.pmod("part", "parts"))
 
     def block(table: pa.Table) -> pa.Table:
-        ids, v = table.column("vec_id").to_numpy(), matrix(table.column("v"))
-        tables = table.column("tables").to_pylist()
-        per_table = {t: np.array([i for i, x in enumerate(tables) if t in x]) for t in sorted(set().union(*tables))}
-        return pa.table(_found(search_file(load_arrays(folder, table.column("file")[0].as_py()), h, probe_order(h.k)[: h.probes], per_table, ids, v, top)[0]))
-
-    tasks = max(1, min(-(-n * h.tables // ROWS), 4 * spark.sparkContext.defaultParallelism + 1000))
-    dealt = jobs.repartition(tasks, "file", "part")  # a number, so that small rows are not taken for little work
-    return dealt.groupBy("file", "part").applyInArrow(block, "query_id long, vec_id long, score double")
+        ids, v, sets = table.column("vec_id").to_numpy(), matrix(table.column("v")), probe_order(h.k)[: h.probes]
+        wanted: dict[str, dict[int, list[int]]] = {}
+        for i, files in enumerate(table.column("files").to_pylist()):
+            for x in files:
+                wanted.setdefault(x["file"], {}).setdefault(x["t"], []).append(i)
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for name in sorted(wanted):
+            asking = np.unique(np.concatenate([np.array(x) for x in wanted[name].values()]))
+            place = {t: np.searchsorted(asking, sorted(x)) for t, x in sorted(wanted[name].items())}
+            for q, of, score in search_file(load_arrays(folder, name), h, sets, place, ids[asking], v[asking], top)[0]:
+                if q in best:
+                    of, score = np.concatenate([best[q][0], of]), np.concatenate([best[q][1], score])
+                    k = _best_ids(of, score, top)
+                    of, score = of[k], score[k]
+                best[q] = of, score
+        return pa.table(_found([(q, *found) for q, found in best.items()]))
+
+    # A number of partitions, so that small rows are not taken for little work.
+    dealt = jobs.repartition(max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "stretch", "part")
+    return dealt.groupBy("stretch", "part").applyInArrow(block, "query_id long, vec_id long, score double")
 
 
 def search(vectors: DataFrame, *, vector: str = "embedding", every: int = 20, top: int = 20, report: list | None = None) -> DataFrame:
