@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .engine import DEFAULT, MOST, Engine
 from .functions import validation
 from .operators import hits as H
-from .plans import bracketed, resolve
+from .plans import bracketed
 from .plans.parser import parse
 from .plans.sqltext import statement
 from .sources import conllu, fixtures, postings
+from .sources.fixtures import LINES
+from .sources.shared import fresh_dir
 
 GRAPHS = {"text": fixtures.text_heaps, "dialogue": fixtures.dialogues, "order": fixtures.orders, "session": fixtures.sessions}
 
@@ -48,26 +50,57 @@ PATTERNS: dict[str, tuple[str, str, dict]] = {
     "set_or": ("text", "NOUN|VERB", {}),
     "set_not": ("text", "!NOUN", {}),
     "sdr2": ("text", "_ >nsubj _ >obj _", {}),
-    "sdr3": ("order", "ORDER >N _ >N ITEM >_ Status=O".replace(">_", ">"), {}),
+    "sdr3": ("order", "ORDER >N _ >N ITEM > Status=O", {}),
     "sdr_neg": ("text", "NOUN >nsubj _ > _ !>cc _", {}),
     "dep_nested": ("text", "VERB&!Size=Big >nsubj (NOUN !>amod _) >obj _ !<cc _", {}),
     "seq_dot": ("text", "DET . NOUN . VERB", {}),
     "anchor_bgn": ("text", "^ NOUN", {}),
     "anchor_end": ("text", "VERB $", {}),
     "plus": ("text", "NOUN + (ADJ >amod _)", {}),
-    "set_eq": ("dialogue", "user == (_ <ask|!_ _)".replace("(_ <ask|!_ _)", "((_ <ask _) | (^ user))"), {}),
+    "set_eq": ("dialogue", "user == ((_ <ask _) | (^ user))", {}),
     "subset": ("text", "VERB -> (_ > _)", {}),
     "subset_or": ("text", "_ -> (_ <!@R _) | (_ !< _)", {}),
     "len_max": ("text", "NOUN {max_tree_len=20}", {}),
     "len_min": ("text", "NOUN {min_tree_len=20}", {}),
     "pattern_in_pattern": ("text", "(NOUN + VERB) >amod (ADJ -> (_ < _))", {}),
-    "bracketed": ("text", bracketed.rewrite("[dep VP [nsubj AP] [_ NOUN-Y [lin@R the]]]").replace('"NOUN-Y"', "NOUN"), {}),
 }
+#: Bracketed constructions over the text graphs, and the patterns that say the same.
+BRACKETED = {
+    "bracketed": ("[dep VP [nsubj AP] [_ XP [lin@R VP]]]", "VERB >nsubj ADJ > ((NOUN|ADJ|ADV|PRON|VERB) >lin@R VERB)"),
+    "bracketed_words": ("[dep VP [dep the of]]", 'VERB > (("the" >lin@R "of") | ("of" >lin@L "the"))'),
+    "bracketed_macro": ("[dep Cl [obj AP]]", "VERB >nsubj _ >obj ADJ"),
+}
+
+
+def _index(spark: SparkSession, sf_dir: str, graphs: str = "text") -> str:
+    """The folder of the index of a fixture, written once in a session: searches read it, as they would any corpus. Shards go by document."""
+    key = (spark.sparkContext.applicationId, sf_dir, graphs)
+    if key not in _WRITTEN:
+        path = fresh_dir(spark, "index")
+        shard = F.format_string("trees_%05d", F.floor(F.col("graph_id") / LINES) % 4) if graphs == "text" else F.lit("trees_00000")
+        conllu.write_index(GRAPHS[graphs](spark, sf_dir).withColumn("shard", shard), path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _engine(spark: SparkSession, sf_dir: str, graphs: str = "text", *, sharded: bool = False, **options) -> Engine:
+    """A written index, loaded. sharded: hits have their shard; otherwise graph_id is the only key."""
+    engine = Engine.load(spark, [_index(spark, sf_dir, graphs)], **{"symbols": None} | options)
+    if not sharded:
+        engine.graphs, engine.index = engine.graphs.drop("shard"), engine.index.drop("shard")
+    return engine
 
 
 def _search(name: str, spark: SparkSession, sf_dir: str, how: str = "nested") -> DataFrame:
     graphs, pattern, options = PATTERNS[name]
-    return Engine(GRAPHS[graphs](spark, sf_dir)).hits(pattern, how=how, **options)
+    return _engine(spark, sf_dir, graphs).hits(pattern, how=how, **options)
+
+
+def _construction(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).hits(bracketed.tree(BRACKETED[name][0]))
 
 
 def _tables(graphs: str) -> str:
@@ -86,16 +119,16 @@ def _hits_sql(graphs: str, pattern: str, **options) -> str:
 # Words without quotes.
 
 
-def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.symbols(fixtures.text_heaps(spark, sf_dir))
+def _symbols(spark: SparkSession, sf_dir: str, graphs: str = "text") -> DataFrame:
+    return spark.read.parquet(f"{_index(spark, sf_dir, graphs)}/symbols")
 
 
 def tag_value_shorthand(spark, sf_dir):
-    return Engine(fixtures.text_heaps(spark, sf_dir), symbols=resolve.load(_symbols(spark, sf_dir))).hits("Big&VERB")
+    return _engine(spark, sf_dir, symbols="own").hits("Big&VERB")
 
 
 def bare_word(spark, sf_dir):
-    return Engine(fixtures.text_heaps(spark, sf_dir), symbols=resolve.load(_symbols(spark, sf_dir))).hits("the < NOUN")
+    return _engine(spark, sf_dir, symbols="own").hits("the < NOUN")
 
 
 # Results.
@@ -104,53 +137,50 @@ QUERY = "NOUN >nsubj _ >obj VERB"
 
 
 def hit_group(spark, sf_dir):
-    return H.group(Engine(fixtures.text_heaps(spark, sf_dir)).hits(QUERY)).select("graph_id", F.array_join(F.col("toks").cast("array<string>"), ",").alias("toks"))
+    return H.group(_engine(spark, sf_dir).hits(QUERY)).select("graph_id", F.array_join(F.col("toks").cast("array<string>"), ",").alias("toks"))
 
 
 def limit_hits(spark, sf_dir):
-    return H.first(H.group(Engine(fixtures.text_heaps(spark, sf_dir)).hits(QUERY)), 500).select("graph_id", F.size("toks").cast("long").alias("hits"))
+    return H.first(H.group(_engine(spark, sf_dir).hits(QUERY)), 500).select("graph_id", F.size("toks").cast("long").alias("hits"))
 
 
 def api_retmax(spark, sf_dir):
     """A service's default limit."""
-    return H.first(H.group(Engine(fixtures.text_heaps(spark, sf_dir)).hits("NOUN")), min(DEFAULT, MOST)).select("graph_id", F.size("toks").cast("long").alias("hits"))
-
-
-def _sharded(spark, sf_dir, shards: int = 4) -> DataFrame:
-    return fixtures.text_heaps(spark, sf_dir).withColumn("shard", F.format_string("trees_%05d", F.floor(F.col("graph_id") / 100000) % shards))
+    return H.first(H.group(_engine(spark, sf_dir).hits("NOUN")), min(DEFAULT, MOST)).select("graph_id", F.size("toks").cast("long").alias("hits"))
 
 
 def hit_count(spark, sf_dir):
-    return H.counts(Engine(_sharded(spark, sf_dir)).hits(QUERY)).select(F.coalesce("shard", F.lit("all")).alias("shard"), "sentences", "tokens")
+    return H.counts(_engine(spark, sf_dir, sharded=True).hits(QUERY)).select(F.coalesce("shard", F.lit("all")).alias("shard"), "sentences", "tokens")
 
 
 def multi_shard(spark, sf_dir):
-    chosen = _sharded(spark, sf_dir).where(F.col("shard").isin("trees_00001", "trees_00003"))
-    return Engine(chosen).hits(QUERY)
+    return _engine(spark, sf_dir, sharded=True, shards=["trees_00001", "trees_00003"]).hits(QUERY)
 
 
 def shuffle(spark, sf_dir):
-    return H.shuffled(H.group(Engine(_sharded(spark, sf_dir)).hits(QUERY)), 7).select("shard", "graph_id", F.size("toks").alias("hits"))
+    """Sentences with the places that a drawn order of shards gives them."""
+    drawn = H.shuffled(H.group(_engine(spark, sf_dir, sharded=True).hits(QUERY)), 7)
+    return conllu.numbered(drawn, "place").select("place", "shard", "graph_id", F.size("toks").alias("hits"))
 
 
 def _sentences(spark, sf_dir) -> DataFrame:
     """Lines with the document as url."""
-    return fixtures.lines(spark, sf_dir).select("graph_id", F.array_join("words", " ").alias("text"), F.floor(F.col("graph_id") / 100000).cast("string").alias("url"))
+    return fixtures.lines(spark, sf_dir).select("graph_id", F.array_join("words", " ").alias("text"), F.floor(F.col("graph_id") / LINES).cast("string").alias("url"))
 
 
 def context_n(spark, sf_dir):
-    found = Engine(fixtures.text_heaps(spark, sf_dir)).hits(QUERY)
+    found = _engine(spark, sf_dir).hits(QUERY)
     return H.context(found, _sentences(spark, sf_dir), 2).select("graph_id", "place", "kind", F.char_length("text").cast("long").alias("chars"))
 
 
 def context_doc(spark, sf_dir):
-    found = Engine(fixtures.text_heaps(spark, sf_dir)).hits(QUERY)
+    found = _engine(spark, sf_dir).hits(QUERY)
     return H.context(found, _sentences(spark, sf_dir), 2, same_document=True).select("graph_id", "place", "kind", F.char_length("text").cast("long").alias("chars"))
 
 
 def _block(spark, sf_dir) -> DataFrame:
     """Lines of documents as CoNLL-U: shard, graph_id, block."""
-    g = fixtures.text_heaps(spark, sf_dir)
+    g = spark.read.parquet(f"{_index(spark, sf_dir)}/graphs").drop("shard")
     line = lambda x: F.concat_ws("\t", (x["idx"] + 1).cast("string"), x["form"], x["lemma"], x["upos"], F.lit("_"), x["feats"], F.coalesce((F.get(x["into"], F.lit(0))["u"] + 1).cast("string"), F.lit("0")), F.coalesce(F.get(x["into"], F.lit(0))["d"], F.lit("root")), F.lit("_"), F.lit("_"))
     good = F.forall("tokens", lambda x: (x["form"] != "") & ~x["form"].rlike(r"\s"))
     return g.where(good).select(F.lit("trees_00000").alias("shard"), "graph_id", F.concat(F.lit("# line\n"), F.array_join(F.transform("tokens", line), "\n")).alias("block"))
@@ -167,10 +197,10 @@ def conllu_scan(spark, sf_dir):
 
 
 def hits_conllu(spark, sf_dir):
-    """Annotated output of all hits."""
+    """Annotated output of all hits, by its digest."""
     g = conllu.graphs(_block(spark, sf_dir))
     engine = Engine(g.select("shard", "graph_id", "n", "tokens"), g.select("shard", "graph_id", "comments", "lines"))
-    return H.annotated(H.group(engine.hits(QUERY)), engine.text).select("graph_id", F.char_length("block").cast("long").alias("chars"), (F.size(F.split("block", "# hittoken:")) - 1).cast("long").alias("marks"))
+    return H.annotated(H.group(engine.hits(QUERY)), engine.text).select("graph_id", F.md5(F.col("block").cast("binary")).alias("digest"), (F.size(F.split("block", "# hittoken:")) - 1).cast("long").alias("marks"))
 
 
 def scan_skip_max(spark, sf_dir):
@@ -185,7 +215,8 @@ def len_guard(spark, sf_dir):
 
 
 def load_graphs(spark, sf_dir):
-    return fixtures.text_heaps(spark, sf_dir).select("graph_id", F.col("n").cast("long").alias("n"))
+    """The sentences of a written index."""
+    return _engine(spark, sf_dir).graphs.select("graph_id", F.col("n").cast("long").alias("n"))
 
 
 def null_nodes(spark, sf_dir):
@@ -208,12 +239,13 @@ def doc_context(spark, sf_dir):
     row = lambda form: F.concat(F.lit("1\t"), form, F.lit("\t_\tX\t_\t_\t0\troot\t_\t_"))
     mark = docs.select("source", "doc_id", F.lit(-1).alias("ln"), row(F.concat(F.lit("####FIPBANK-BEGIN-MARKER:u"), F.col("doc_id").cast("string"))).alias("block"))
     marked = mark.union(each.select("source", "doc_id", "ln", row(F.concat(F.lit("w"), F.col("ln").cast("string"))).alias("block")))
-    blocks = marked.select(F.col("source").alias("shard"), (F.col("doc_id") * 100000 + F.col("ln") + 1).alias("graph_id"), "block")
+    blocks = marked.select(F.col("source").alias("shard"), (F.col("doc_id") * LINES + F.col("ln") + 1).alias("graph_id"), "block")
     return conllu.with_documents(blocks).select("shard", "graph_id", "url", F.col("doc").cast("long").alias("doc"), F.col("sent").cast("long").alias("sent"))
 
 
 def _postings(kind: str, spark, sf_dir) -> DataFrame:
-    p = postings.postings(fixtures.text_heaps(spark, sf_dir)).where(F.col("kind") == kind)
+    """The postings of a written index, by term."""
+    p = _engine(spark, sf_dir).index.where(F.col("kind") == kind)
     return p.groupBy("term", "norm").agg(F.count("*").alias("sentences"), F.sum(F.size("positions")).cast("long").alias("occurrences"))
 
 
@@ -222,7 +254,7 @@ def symbol_stats(spark, sf_dir):
 
 
 def symbol_merge(spark, sf_dir):
-    return postings.merge(_symbols(spark, sf_dir), postings.symbols(fixtures.dialogues(spark, sf_dir)))
+    return postings.merge(_symbols(spark, sf_dir), _symbols(spark, sf_dir, "dialogue"))
 
 
 def symbol_argmax(spark, sf_dir):
@@ -237,13 +269,16 @@ def custom_query(spark, sf_dir):
         nsubj = engine.hits("VERB >nsubj (NOUN&Size=Big !>cc !Size=Big)")
         return obj.join(nsubj, ["graph_id", "tok"], "left_semi").join(engine.hits("_ <cc|<amod _"), ["graph_id", "tok"], "left_anti")
 
-    return Engine(fixtures.text_heaps(spark, sf_dir)).hits(search)
+    return _engine(spark, sf_dir).hits(search)
 
 
 def pruned_search(spark, sf_dir):
-    """A search that visits only sentences that the index names for all required terms."""
-    g = _sharded(spark, sf_dir)
-    return Engine(g, index=postings.postings(g)).hits("worthless|NOUN >nsubj \"the\" !>cc _", pruned=True).select("graph_id", "tok")
+    """A search that visits only sentences that the written index names for all required terms."""
+    return _engine(spark, sf_dir, sharded=True).hits("worthless|NOUN >nsubj \"the\" !>cc _", pruned=True).select("graph_id", "tok")
+
+
+def pruned_insensitive(spark, sf_dir):
+    return _engine(spark, sf_dir).hits('"the" > L=of', insensitive=True, pruned=True)
 
 
 # Checks of CoNLL-U rows, on lines with planted faults.
@@ -252,7 +287,7 @@ def pruned_search(spark, sf_dir):
 def _faulty(spark, sf_dir) -> DataFrame:
     """Lines of three words or more. A line of 99 words has the planted head, one of 77 the planted DEPS: there these are no faults."""
     words = fixtures.lines(spark, sf_dir).where((F.size("words") >= 3) & F.forall("words", lambda w: (w != "") & ~w.rlike(r"\s")))
-    k = F.floor(F.col("graph_id") / 100000) % 5
+    k = F.floor(F.col("graph_id") / LINES) % 5
     line = lambda w, i: F.concat_ws(
         "\t", F.when((k == 1) & (i == 2), "2").otherwise((i + 1).cast("string")), w, w, F.lit("X"), F.lit("_"),
         F.when((k == 2) & (i == 1), "B=1|A=2").when(i == 1, "A=1,2|B=3").otherwise("_"), F.when((k == 3) & (i == 1), "99").when(i == 0, "0").otherwise("1"), F.lit("d"),
@@ -264,7 +299,7 @@ def _faulty(spark, sf_dir) -> DataFrame:
 
 
 def _faulty_sql(select: str) -> str:
-    return f"""WITH {fixtures.SQL["text"]}, f AS (SELECT graph_id, tok, form, n, (graph_id // 100000) % 5 AS k FROM t0 WHERE graph_id % 100000 = 0 AND n BETWEEN 3 AND 40
+    return f"""WITH {fixtures.SQL["text"]}, f AS (SELECT graph_id, tok, form, n, (graph_id // {LINES}) % 5 AS k FROM t0 WHERE n >= 3
       AND graph_id NOT IN (SELECT graph_id FROM t0 WHERE form = '' OR regexp_matches(form, '[ \\t\\n\\x0B\\f\\r]')))
 {select}"""
 
@@ -307,7 +342,7 @@ def conllu_styles(spark, sf_dir):
 
 _FUNCTIONS = (
     tag_value_shorthand, bare_word, hit_group, limit_hits, api_retmax, hit_count, multi_shard, shuffle, context_n, context_doc, conllu_scan, hits_conllu, scan_skip_max, len_guard,
-    load_graphs, null_nodes, doc_context, symbol_stats, symbol_merge, symbol_argmax, custom_query, pruned_search, conllu_rows, conllu_surface, conllu_sentence_issues,
+    load_graphs, null_nodes, doc_context, symbol_stats, symbol_merge, symbol_argmax, custom_query, pruned_search, pruned_insensitive, conllu_rows, conllu_surface, conllu_sentence_issues,
     conllu_field_issues, conllu_repaired, conllu_features, conllu_dependencies, conllu_spans, conllu_styles,
 )
 #: Patterns that are also run by joins.
@@ -318,7 +353,8 @@ def queries() -> dict:
     """name: function of (spark, sf_dir)."""
     out = {name: partial(_search, name) for name in PATTERNS}
     out |= {f"{name}_by_joins": partial(_search, name, how="relational") for name in _BY_JOINS}
-    out |= {f"postings_{kind}": partial(_postings, kind) for kind in ("token", "lemma", "tag", "rel")}
+    out |= {name: partial(_construction, name) for name in BRACKETED}
+    out |= {f"postings_{kind}": partial(_postings, kind) for kind in postings.ALL}
     return out | {f.__name__: f for f in _FUNCTIONS}
 
 
@@ -346,15 +382,15 @@ def _symbols_sql(tables: tuple[str, ...]) -> str:
 
 def _context_sql(same: bool) -> str:
     found = _hits_sql("text", QUERY)
-    return f"""WITH h AS (SELECT DISTINCT graph_id FROM ({found}) WHERE graph_id % 100000 < 3),
-s AS (SELECT doc_id * 100000 + unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS graph_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+    return f"""WITH h AS (SELECT DISTINCT graph_id FROM ({found})),
+s AS (SELECT doc_id * {LINES} + unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS graph_id, unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT h.graph_id, (s.graph_id - h.graph_id)::INT AS place, CASE WHEN s.graph_id < h.graph_id THEN 'context-before' WHEN s.graph_id = h.graph_id THEN 'context-hit' ELSE 'context-after' END AS kind, length(line)::BIGINT AS chars
-FROM h JOIN s ON s.graph_id BETWEEN h.graph_id - 2 AND h.graph_id + 2{" AND s.graph_id // 100000 = h.graph_id // 100000" if same else ""}"""
+FROM h JOIN s ON s.graph_id BETWEEN h.graph_id - 2 AND h.graph_id + 2{f" AND s.graph_id // {LINES} = h.graph_id // {LINES}" if same else ""}"""
 
 
-def _lines_sql(select: str, where: str = "true") -> str:
+def _lines_sql(select: str) -> str:
     row = "(tok + 1)::VARCHAR || chr(9) || form || chr(9) || lemma || chr(9) || upos || chr(9) || '_' || chr(9) || feats || chr(9) || (head + 1)::VARCHAR || chr(9) || CASE WHEN head < 0 THEN 'root' ELSE deprel END || chr(9) || '_' || chr(9) || '_'"
-    return f"""WITH {_tables("text")}, {_GOOD}, r AS (SELECT graph_id, tok, {row} AS line FROM t WHERE graph_id IN (SELECT graph_id FROM good) AND {where}),
+    return f"""WITH {_tables("text")}, {_GOOD}, r AS (SELECT graph_id, tok, {row} AS line FROM t WHERE graph_id IN (SELECT graph_id FROM good)),
 b AS (SELECT graph_id, '# line' || chr(10) || string_agg(line, chr(10) ORDER BY tok) AS block, count(*) AS n FROM r GROUP BY graph_id)
 {select}"""
 
@@ -363,45 +399,48 @@ def oracle_sql() -> dict[str, str]:
     """name: DuckDB SQL with the same rows."""
     out = {name: _statement(name) for name in PATTERNS}
     out |= {f"{name}_by_joins": _statement(name) for name in _BY_JOINS}
-    out |= {f"postings_{kind}": _postings_sql(kind) for kind in ("token", "lemma", "tag", "rel")}
+    out |= {name: _hits_sql("text", pattern) for name, (_, pattern) in BRACKETED.items()}
+    out |= {f"postings_{kind}": _postings_sql(kind) for kind in postings.ALL}
     hits = _hits_sql("text", QUERY)
     out["tag_value_shorthand"] = _hits_sql("text", "Size=Big&VERB")
     out["bare_word"] = _hits_sql("text", '"the" < NOUN')
     out["hit_group"] = f"SELECT graph_id, string_agg(tok::VARCHAR, ',' ORDER BY tok) AS toks FROM ({hits}) GROUP BY graph_id"
     out["limit_hits"] = f"SELECT graph_id, count(*) AS hits FROM ({hits}) GROUP BY graph_id ORDER BY graph_id LIMIT 500"
     out["api_retmax"] = f"SELECT graph_id, count(*) AS hits FROM ({_hits_sql('text', 'NOUN')}) GROUP BY graph_id ORDER BY graph_id LIMIT 1000"
-    shard = "printf('trees_%05d', (graph_id // 100000) % 4)"
+    shard = f"printf('trees_%05d', (graph_id // {LINES}) % 4)"
     out["hit_count"] = f"SELECT coalesce(shard, 'all') AS shard, count(*) AS sentences, sum(k)::BIGINT AS tokens FROM (SELECT {shard} AS shard, graph_id, count(*) AS k FROM ({hits}) GROUP BY ALL) GROUP BY ROLLUP (shard)"
-    out["multi_shard"] = f"SELECT {shard} AS shard, * FROM ({hits}) WHERE (graph_id // 100000) % 4 IN (1, 3)"
-    out["shuffle"] = f"SELECT {shard} AS shard, graph_id, count(*)::INT AS hits FROM ({hits}) GROUP BY ALL"
+    out["multi_shard"] = f"SELECT {shard} AS shard, * FROM ({hits}) WHERE (graph_id // {LINES}) % 4 IN (1, 3)"
+    out["shuffle"] = f"SELECT row_number() OVER (ORDER BY md5(shard || '/7'), shard, graph_id) - 1 AS place, * FROM (SELECT {shard} AS shard, graph_id, count(*)::INT AS hits FROM ({hits}) GROUP BY ALL)"
     out["context_n"], out["context_doc"] = _context_sql(False), _context_sql(True)
     out["conllu_scan"] = f"WITH {_tables('text')}, {_GOOD} SELECT graph_id, tok, form, upos, head FROM t WHERE graph_id IN (SELECT graph_id FROM good)"
-    out["scan_skip_max"] = _lines_sql("SELECT printf('trees_%05d', p // 60) AS shard, p % 60 AS graph_id, length(block)::BIGINT AS chars FROM (SELECT block, row_number() OVER (ORDER BY graph_id) - 51 AS p FROM b) WHERE p BETWEEN 0 AND 149", "graph_id % 100000 = 0")
+    out["scan_skip_max"] = _lines_sql("SELECT printf('trees_%05d', p // 60) AS shard, p % 60 AS graph_id, length(block)::BIGINT AS chars FROM (SELECT block, row_number() OVER (ORDER BY graph_id) - 51 AS p FROM b) WHERE p BETWEEN 0 AND 149")
     out["hits_conllu"] = _lines_sql(
-        f"""SELECT b.graph_id, (length('# db-name: trees_00000') + 1 + length('# graph id: ' || b.graph_id) + 1 + sum(length('# visual-style' || chr(9) || (r.tok + 1) || chr(9) || 'bgColor:lightgreen') + 1 + length('# hittoken:' || chr(9) || r.line) + 1) + length(any_value(block)) + 1)::BIGINT AS chars, count(*) AS marks
-FROM b JOIN ({hits}) h ON h.graph_id = b.graph_id JOIN r ON r.graph_id = h.graph_id AND r.tok = h.tok GROUP BY b.graph_id""", "graph_id % 100000 = 0"
+        f"""SELECT b.graph_id, md5('# db-name: trees_00000' || chr(10) || '# graph id: ' || b.graph_id || chr(10)
+  || string_agg('# visual-style' || chr(9) || (r.tok + 1) || chr(9) || 'bgColor:lightgreen' || chr(10) || '# hittoken:' || chr(9) || r.line, chr(10) ORDER BY r.tok) || chr(10) || any_value(block) || chr(10)) AS digest, count(*) AS marks
+FROM b JOIN ({hits}) h ON h.graph_id = b.graph_id JOIN r ON r.graph_id = h.graph_id AND r.tok = h.tok GROUP BY b.graph_id"""
     )
     out["len_guard"] = f"WITH {fixtures.SQL['text']} SELECT count(DISTINCT graph_id) AS sentences, count(*) AS tokens, max(n)::BIGINT AS longest FROM t"
     out["load_graphs"] = f"WITH {fixtures.SQL['text']} SELECT DISTINCT graph_id, n::BIGINT AS n FROM t"
-    out["null_nodes"] = f"""WITH {fixtures.SQL["text"]}, g AS (SELECT graph_id, any_value(n) AS n FROM t0 GROUP BY graph_id HAVING any_value(n) BETWEEN 2 AND 50 AND bool_and(form <> '' AND NOT regexp_matches(form, '[ \\t\\n\\x0B\\f\\r]')))
+    out["null_nodes"] = f"""WITH {fixtures.SQL["text"]}, g AS (SELECT graph_id, any_value(n) AS n FROM t0 GROUP BY graph_id HAVING any_value(n) >= 2 AND bool_and(form <> '' AND NOT regexp_matches(form, '[ \\t\\n\\x0B\\f\\r]')))
 SELECT graph_id, n::BIGINT + 1 AS n, 0 AS gov, unnest(generate_series(1, n - 2))::INT AS dep, 'a-b' AS dtype, true AS basic FROM g
 UNION ALL SELECT graph_id, n::BIGINT + 1, n - 1, n, 'a-b', true FROM g UNION ALL SELECT graph_id, n::BIGINT + 1, 0, n, 'c-d', false FROM g"""
-    out["doc_context"] = """WITH d AS (SELECT source, doc_id, len(string_split(text, chr(10))) AS k FROM documents WHERE doc_id % 20 < 10),
+    out["doc_context"] = """WITH d AS (SELECT source, doc_id, len(string_split(text, chr(10))) AS k FROM documents),
 s AS (SELECT source, doc_id, unnest(generate_series(0, k - 1)) AS sent FROM d), o AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS doc FROM d)
 SELECT source AS shard, row_number() OVER (PARTITION BY source ORDER BY s.doc_id, sent) - 1 AS graph_id, 'u' || s.doc_id AS url, doc, sent FROM s JOIN o USING (source, doc_id)"""
     out["symbol_stats"] = _symbols_sql(("text",))
     out["symbol_merge"] = _symbols_sql(("text", "dialogue"))
     out["symbol_argmax"] = f"SELECT symbol, arg_min(full_form, -cnt) AS full_form FROM ({_symbols_sql(('text', 'dialogue'))}) WHERE s_type = 'VAL' GROUP BY symbol"
     out["custom_query"] = f"({_hits_sql('text', 'VERB >obj Size=Big')}) INTERSECT ({_hits_sql('text', 'VERB >nsubj (NOUN&Size=Big !>cc !Size=Big)')}) EXCEPT ({_hits_sql('text', '_ <cc|<amod _')})"
+    out["pruned_insensitive"] = _hits_sql("text", '"the" > L=of', insensitive=True)
     out["pruned_search"] = _hits_sql("text", "worthless|NOUN >nsubj \"the\" !>cc _")
     mw = "SELECT graph_id, '1-2' AS id, 'MW' AS form FROM f WHERE k = 0 AND tok = 0"
     ids = "CASE WHEN k = 1 AND tok = 2 THEN '2' ELSE (tok + 1)::VARCHAR END"
     head = "CASE WHEN k = 3 AND tok = 1 THEN '99' WHEN tok = 0 THEN '0' ELSE '1' END"
     out["conllu_rows"] = _faulty_sql(f"SELECT graph_id, (tok + (k = 0)::INT)::INT AS row, {ids} AS id, form, {head} AS head FROM f UNION ALL SELECT graph_id, 0, '1-2', 'MW', '_' FROM f WHERE k = 0 AND tok = 0")
     out["conllu_surface"] = _faulty_sql(f"SELECT graph_id, {ids} AS id, form FROM f WHERE NOT (k = 0 AND tok < 2) UNION ALL {mw}")
-    out["conllu_sentence_issues"] = _faulty_sql("""SELECT DISTINCT graph_id, unnest(CASE k WHEN 1 THEN ['repeated id', 'words out of sequence'] WHEN 3 THEN ['unknown head'] WHEN 4 THEN ['unknown deps'] ELSE [] END) AS issue FROM f WHERE tok = 0""")
+    out["conllu_sentence_issues"] = _faulty_sql("""SELECT DISTINCT graph_id, unnest(CASE k WHEN 1 THEN ['repeated id', 'words out of sequence'] WHEN 3 THEN CASE WHEN n < 99 THEN ['unknown head'] ELSE [] END WHEN 4 THEN CASE WHEN n < 77 THEN ['unknown deps'] ELSE [] END ELSE [] END) AS issue FROM f WHERE tok = 0""")
     out["conllu_field_issues"] = _faulty_sql("SELECT graph_id, unnest(CASE k WHEN 2 THEN ['feats order'] WHEN 4 THEN ['deps order'] ELSE [] END) AS issue FROM f WHERE tok = 0")
-    out["conllu_repaired"] = _faulty_sql("SELECT graph_id, (tok + 1)::VARCHAR AS id, CASE WHEN k = 3 AND tok = 1 THEN '_' WHEN tok = 0 THEN '0' ELSE '1' END AS head, CASE WHEN tok = 1 THEN '1:y' ELSE '_' END AS deps FROM f WHERE NOT (k = 1 AND tok = 2) UNION ALL SELECT graph_id, '1-2', '_', '_' FROM f WHERE k = 0 AND tok = 0")
+    out["conllu_repaired"] = _faulty_sql("SELECT graph_id, (tok + 1)::VARCHAR AS id, CASE WHEN k = 3 AND tok = 1 THEN CASE WHEN n < 99 THEN '_' ELSE '99' END WHEN tok = 0 THEN '0' ELSE '1' END AS head, CASE WHEN tok <> 1 THEN '_' WHEN k = 4 AND n >= 77 THEN '77:x|1:y' ELSE '1:y' END AS deps FROM f WHERE NOT (k = 1 AND tok = 2) UNION ALL SELECT graph_id, '1-2', '_', '_' FROM f WHERE k = 0 AND tok = 0")
     out["conllu_features"] = _faulty_sql("SELECT graph_id, unnest(CASE WHEN k = 2 THEN ['B', 'A'] ELSE ['A', 'A', 'B'] END) AS name, unnest(CASE WHEN k = 2 THEN ['1', '2'] ELSE ['1', '2', '3'] END) AS value FROM f WHERE tok = 1")
     out["conllu_dependencies"] = _faulty_sql("SELECT graph_id, (count(*) + CASE WHEN any_value(k) = 4 THEN 2 ELSE 1 END)::BIGINT AS n FROM f GROUP BY graph_id")
     out["conllu_spans"] = _faulty_sql("""SELECT graph_id, (sum(length(form) + 1) OVER (PARTITION BY graph_id ORDER BY o) - length(form) - 1)::INT AS start, (sum(length(form) + 1) OVER (PARTITION BY graph_id ORDER BY o) - 1)::INT AS "end", form

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
+from . import postings
 
 #: Sentences of a shard, and tokens of the longest sentence that is searched.
 SHARD, LONGEST = 500_000, 256
@@ -20,26 +21,32 @@ def numbered(df: DataFrame, name: str = "pos") -> DataFrame:
     """df with the place of each row in the order of its partitions, from 0. A count of each partition comes first; no row moves."""
     marked = df.withColumn("_id", F.monotonically_increasing_id())
     part, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = marked.groupBy(part.cast("int").alias("p")).count().orderBy("p").collect()  # a row for each partition
-    before, total = {}, 0
+    counts = marked.groupBy(part.cast("int").alias("_part")).count().orderBy("_part").collect()  # a row for each partition
+    starts, total = [], 0
     for r in counts:
-        before[r["p"]] = total
+        starts.append((r["_part"], total))
         total += r["count"]
-    if not before:
-        return marked.withColumn(name, F.lit(0).cast("long")).drop("_id")
-    start = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    return marked.withColumn(name, F.element_at(start, part.cast("int")).cast("long") + row).drop("_id")
+    table = df.sparkSession.createDataFrame(starts, "_part int, _start long")  # as many rows as tasks, which the driver keeps anyway
+    return marked.withColumn("_part", part.cast("int")).join(F.broadcast(table), "_part").withColumn(name, F.col("_start") + row).drop("_id", "_part", "_start")
 
 
 def read_blocks(spark: SparkSession, paths, *, most: int = 0, skip: int = 0, shard_size: int = SHARD, prefix: str = "trees") -> DataFrame:
     """shard, graph_id, block: the sentences of CoNLL-U files, as text, in their order.
 
-    Sentences are separated by empty lines. most (0: all) counts before skip: most - skip sentences are left, as the first ones go.
+    Sentences end at lines that are empty or blank; lines may end with carriage returns. most (0: all) counts before skip: most - skip sentences are
+    left, as the first ones go. Files with carriage returns are told by their first lines, so that they are read in pieces, too.
     """
-    text = spark.read.option("lineSep", "\n\n").text(paths).select(F.col("value").alias("block"))
+    start = spark.read.option("lineSep", "\n").text(paths).limit(20).collect()
+    returns = bool(start) and all(r["value"].endswith("\r") for r in start)
+    text = spark.read.option("lineSep", "\n\r\n" if returns else "\n\n").text(paths)
     # Comments without a sentence belong to the next one, so blocks are numbered first and sentences then.
-    blocks = numbered(text.where(F.col("block").rlike(r"\S")))
-    return cut_shards(blocks, most=most, skip=skip, shard_size=shard_size, prefix=prefix)
+    return cut_shards(numbered(sentences_of(text)), most=most, skip=skip, shard_size=shard_size, prefix=prefix)
+
+
+def sentences_of(text: DataFrame) -> DataFrame:
+    """block: the sentences of pieces of text (value), cut at blank lines, without carriage returns."""
+    each = text.select(F.explode(F.split(F.regexp_replace("value", "\r", ""), r"\n[ \t\f\x0B]*(?=\n)")).alias("block"))
+    return each.where(F.col("block").rlike(r"\S")).select(F.regexp_replace("block", r"^\n+|\n+$", "").alias("block"))
 
 
 def cut_shards(blocks: DataFrame, *, most: int = 0, skip: int = 0, shard_size: int = SHARD, prefix: str = "trees") -> DataFrame:
@@ -167,10 +174,21 @@ def with_documents(blocks: DataFrame) -> DataFrame:
     return p.select("shard", F.col("_new").alias("graph_id"), "block", "url", F.concat("_p.comments", more).alias("comments"), F.col("_doc").alias("doc"), F.col("_sent").alias("sent"))
 
 
-def write_index(spark_graphs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Writes sentences for searching and their text apart, by shard: matching reads no text."""
-    searchable(spark_graphs).drop("lines", "comments").write.mode(mode).partitionBy("shard").parquet(f"{path}/graphs")
-    spark_graphs.select("shard", "graph_id", "comments", "lines").write.mode(mode).partitionBy("shard").parquet(f"{path}/text")
+def write_index(sentences: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Writes an index: sentences for searching, by shard; their texts (if there) apart, so that matching reads none; postings, by kind and sorted by
+    term, with a bloom filter of terms in each file, so that a term's postings are found without reading others'; and symbols.
+
+    Postings and symbols are made from what has been written, not from the input again.
+    """
+    spark = sentences.sparkSession
+    searchable(sentences).drop("lines", "comments", "edges").write.mode(mode).partitionBy("shard").parquet(f"{path}/graphs")
+    if "lines" in sentences.columns:
+        sentences.select("shard", "graph_id", "comments", "lines").write.mode(mode).partitionBy("shard").parquet(f"{path}/text")
+    graphs = spark.read.parquet(f"{path}/graphs")
+    found = postings.postings(graphs).withColumn("shard", F.col("shard").cast("string"))
+    ordered = found.repartitionByRange("kind", "term", "graph_id").sortWithinPartitions("kind", "term", "norm", "shard", "graph_id")
+    ordered.write.mode(mode).partitionBy("kind").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
+    postings.symbols(graphs).coalesce(1).write.mode(mode).parquet(f"{path}/symbols")
 
 
 def to_conllu(lines: Column, comments: Column) -> Column:

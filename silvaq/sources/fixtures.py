@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .conllu import EDGE, LONGEST, link, token
 
+#: Lines that a document has room for among the ids of graphs; one with more is an error.
+LINES = 10_000_000
 UPOS = ("NOUN", "VERB", "ADJ", "DET")
 DEPREL = ("nsubj", "obj", "amod", "cc")
 
@@ -19,10 +21,14 @@ def _pick(names, at: Column) -> Column:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """graph_id, words: the lines of documents as lists of words between single spaces."""
+    """graph_id, words: the lines of documents as lists of words between single spaces. Few pieces of input are dealt out to all cores."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    return each.select((F.col("doc_id") * 100000 + F.col("ln")).alias("graph_id"), F.split("line", " ").alias("words"))
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        each = each.repartition(cores, "doc_id", "ln")
+    place = F.when(F.col("ln") < LINES, F.col("doc_id") * LINES + F.col("ln")).otherwise(F.raise_error(F.lit(f"a document has more than {LINES} lines")).cast("long"))
+    return each.select(place.alias("graph_id"), F.split("line", " ").alias("words"))
 
 
 def text_heaps(spark: SparkSession, sf_dir: str, longest: int | None = LONGEST) -> DataFrame:
@@ -103,8 +109,8 @@ def flat(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # The same derivations for DuckDB: tokens t (graph_id, tok, n, form, lemma, upos, feats, head, deprel).
 SQL = {
-    "text": """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM documents),
-w AS (SELECT doc_id * 100000 + ln AS graph_id, unnest(string_split(line, ' ')) AS form, (generate_subscripts(string_split(line, ' '), 1) - 1)::INT AS tok, len(string_split(line, ' '))::INT AS n FROM l),
+    "text": f"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM documents),
+w AS (SELECT doc_id * {LINES} + ln AS graph_id, unnest(string_split(line, ' ')) AS form, (generate_subscripts(string_split(line, ' '), 1) - 1)::INT AS tok, len(string_split(line, ' '))::INT AS n FROM l),
 t0 AS (SELECT graph_id, tok, n, form, lower(form) AS lemma, CASE length(form) % 4 WHEN 0 THEN 'NOUN' WHEN 1 THEN 'VERB' WHEN 2 THEN 'ADJ' ELSE 'DET' END AS upos,
   CASE WHEN length(form) > 5 THEN 'Size=Big' ELSE 'Size=Small' END AS feats, CASE WHEN tok = 0 THEN -1 ELSE (tok - 1) // 2 END::INT AS head,
   CASE (length(form) + tok) % 4 WHEN 0 THEN 'nsubj' WHEN 1 THEN 'obj' WHEN 2 THEN 'amod' ELSE 'cc' END AS deprel FROM w),

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ("shard", "graph_id")
 
 
-def postings(graphs: DataFrame) -> DataFrame:
+#: What an index is made of.
+ALL = ("token", "lemma", "tag", "rel")
+
+
+def postings(graphs: DataFrame, kinds=ALL) -> DataFrame:
     """kind, term, norm, shard, graph_id, positions: where each form, lemma, tag and relation (by governor) stands in each sentence.
 
-    norm 1: a lower-cased form or cleaned lemma, only where it differs. Groups are as large as a sentence at most.
+    norm 1: a lower-cased form or cleaned lemma, only where it differs. Groups are as large as a sentence at most. kinds: others are not made.
     """
     keys = [k for k in KEYS if k in graphs.columns]
     entry = lambda kind, term, norm, idx: F.struct(F.lit(kind).alias("kind"), term.alias("term"), F.lit(norm).alias("norm"), idx.alias("idx"))
-    words = lambda x: F.array(entry("token", x["form"], 0, x["idx"]), entry("token", x["form_norm"], 1, x["idx"]), entry("lemma", x["lemma"], 0, x["idx"]), entry("lemma", x["lemma_norm"], 1, x["idx"]))
+    words = lambda kind, field: lambda x: F.array(entry(kind, x[field], 0, x["idx"]), entry(kind, x[f"{field}_norm"], 1, x["idx"]))
     tags = lambda x: F.transform(x["tags"], lambda t: entry("tag", t, 0, x["idx"]))
     relations = lambda x: F.flatten(F.transform(x["out"], lambda e: F.when(e["basic"], F.array(entry("rel", e["d"], 0, x["idx"]), entry("rel", F.lit("anyrel"), 0, x["idx"]))).otherwise(F.array(entry("rel", e["d"], 0, x["idx"])))))
-    every = F.filter(F.flatten(F.transform("tokens", lambda x: F.concat(words(x), tags(x), relations(x)))), lambda e: e["term"].isNotNull())
+    made = {"token": words("token", "form"), "lemma": words("lemma", "lemma"), "tag": tags, "rel": relations}
+    every = F.filter(F.flatten(F.transform("tokens", lambda x: F.concat(*[made[k](x) for k in kinds]))), lambda e: e["term"].isNotNull())
     # Exploded as an expression: a column of its own would be computed for a filter on its size once more.
     each = graphs.select(*keys, F.explode(every).alias("e")).select(*keys, "e.*")
     return each.groupBy("kind", "term", "norm", *keys).agg(F.sort_array(F.collect_set("idx")).alias("positions"))
@@ -55,16 +62,17 @@ def argmax(stats: DataFrame) -> DataFrame:
     return stats.where("s_type = 'VAL'").groupBy("symbol").agg(F.min(F.struct((-F.col("cnt")).alias("neg"), "full_form")).alias("b")).select("symbol", "b.full_form")
 
 
-def candidates(graphs: DataFrame, index: DataFrame, terms) -> DataFrame:
-    """Sentences that have all terms (kind, term), by semi-joins with the index, the rarest term first.
+def candidates(graphs: DataFrame, index: DataFrame, terms, *, insensitive: bool = False) -> DataFrame:
+    """Sentences that have all terms (kind, term), by semi-joins with the index, the rarest term first. insensitive: in either spelling.
 
-    Sizes decide: the terms' numbers of sentences are counted in one pass over the index, and joins go in their order.
+    Sizes decide: the terms' numbers of sentences are counted in one pass over the terms' postings, and joins go in their order.
     """
     if not terms:
         return graphs
     keys = [k for k in KEYS if k in graphs.columns]
-    wanted = F.struct("kind", "term").isin([F.struct(F.lit(k), F.lit(t)) for k, t in terms])
-    found = index.where(wanted)
+    # Plain comparisons, which reach the files' statistics and bloom filters.
+    wanted = reduce(lambda a, b: a | b, ((F.col("kind") == k) & (F.col("term") == t) for k, t in terms))
+    found = index.where(wanted if insensitive else wanted & (F.col("norm") == 0))
     counts = {(r["kind"], r["term"]): r["count"] for r in found.groupBy("kind", "term").count().collect()}
     for kind, term in sorted(terms, key=lambda t: counts.get(t, 0)):
         graphs = graphs.join(found.where((F.col("kind") == kind) & (F.col("term") == term)).select(*keys), keys, "left_semi")

@@ -13,10 +13,10 @@ def follow(spark: SparkSession, source: str, index: str, checkpoint: str):
 
     A batch that runs again after a failure overwrites its shard, so that no sentence is counted twice.
     """
-    lines = spark.readStream.option("lineSep", "\n\n").text(source).select(F.col("value").alias("block"))
+    lines = spark.readStream.option("lineSep", "\n\n").text(source)
 
     def batch(df: DataFrame, number: int) -> None:
-        blocks = conllu.numbered(df.where(F.col("block").rlike(r"\S"))).select(F.format_string("batch_%08d", F.lit(number)).alias("shard"), F.col("pos").alias("graph_id"), "block")
-        conllu.write_index(conllu.graphs(blocks).drop("edges"), f"{index}/batch={number:08d}")
+        blocks = conllu.numbered(conllu.sentences_of(df)).select(F.format_string("batch_%08d", F.lit(number)).alias("shard"), F.col("pos").alias("graph_id"), "block")
+        conllu.write_index(conllu.graphs(blocks), f"{index}/batch={number:08d}")
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -85,3 +85,33 @@ def test_catalog():
     assert sorted(c) == ["En-v1", "Fi-v1", "X"] and c["Fi-v1"].name == "Fi (v1)" and c["X"].shards == ["/x"]
     assert [x.id for x in corpora.groups(c, [{"name": "all", "corpora": ".*-v1 X"}])["all"]] == ["En-v1", "Fi-v1", "X"]
     assert [x.id for x in corpora.find(c, ["ex", "Fi-v1", "no"])] == ["X", "Fi-v1"]
+
+
+def test_reader_ends_sentences_at_blank_lines(spark, tmp_path):
+    """Carriage returns, blank lines with spaces in them, several in a row, none at the end."""
+    one = "1\tw{}\tw\tN\t_\t_\t0\troot\t_\t_"
+    (tmp_path / "a.conllu").write_bytes("\r\n\r\n".join(one.format(i) for i in range(4)).encode())
+    (tmp_path / "b.conllu").write_text("\n" + one.format(4) + "\n \t\n" + one.format(5) + "\n\n\n" + one.format(6) + "\n  \n\n")
+    for name, want in (("a", ["w0", "w1", "w2", "w3"]), ("b", ["w4", "w5", "w6"])):
+        blocks = conllu.read_blocks(spark, str(tmp_path / f"{name}.conllu"))
+        assert [r.block.split("\t")[1] for r in blocks.orderBy("graph_id").collect()] == want
+        assert [t.form for r in conllu.graphs(blocks).orderBy("graph_id").collect() for t in r.tokens] == want
+    both = conllu.read_blocks(spark, [str(tmp_path / "a.conllu"), str(tmp_path / "b.conllu")])
+    assert conllu.graphs(both).count() == 7
+
+
+def test_written_index_prunes(spark, tmp_path):
+    one = "1\t{0}\t{0}\tN\t_\tCase=Nom\t0\troot\t_\t_\n2\tb\tb\tV\t_\t_\t1\tx\t_\t_"
+    g = conllu.graphs(rows(spark, *[one.format(w) for w in ("Dog", "dog", "cat", "Dog")]))
+    conllu.write_index(g, str(tmp_path / "i"))
+    engine = Engine.load(spark, [str(tmp_path / "i")])
+    assert engine.symbols.values == {"Nom": "Case=Nom"} and {r.kind for r in engine.index.select("kind").distinct().collect()} == set(postings.ALL)
+    ids = lambda *a, **k: sorted(r.graph_id for r in engine.hits(*a, **k).collect())
+    assert ids('"Dog" >x V') == [0, 3] and ids('"dog"', insensitive=True) == [0, 1, 3] and ids("dog & Nom") == [1]
+    assert ids('"Dog"') == ids('"Dog"', pruned=False) and ids("!N") == [0, 1, 2, 3]
+    plan = engine.hits('"Dog" >x V')._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "EqualTo(term,Dog)" in plan and "kind" in plan.split("PartitionFilters: [", 1)[1]
+    with pytest.raises(ValueError):
+        Engine(engine.graphs).hits("N", pruned=True)
+    assert "# graph id: 1" in engine.search("dog").collect()[0].block
+    assert [(n, df.count()) for n, df in engine.batch(["all", "[dep Dog [x b]]", "[dep nothing]"], limit=1)] == [("all", 1), ("all", 0)]

@@ -7,7 +7,7 @@ import pytest
 from silvaq.engine import Engine
 from silvaq.plans import ast, bracketed
 from silvaq.plans.parser import parse
-from silvaq.plans.prune import required
+from silvaq.plans.prune import levels, required
 from silvaq.plans.resolve import Symbols, resolve
 from silvaq.sources import conllu, postings
 
@@ -57,12 +57,38 @@ def test_bare_words():
     assert ast.show(resolve(parse("NOUN & Nom > word"), symbols)) == '(where (and NOUN Case=Nom) [governs any "word"])'
 
 
-def test_constructions():
-    assert bracketed.rewrite("[dep NP-Nom [amod big] [_ VP]]") == '( (NOUN&Nom) >amod ( "big" ) > ( VERB ) )'
-    assert bracketed.rewrite("[dep a b]") == '(("a" >lin@R "b") | ("b" >lin@L "a"))'
+CONSTRUCTIONS = {
+    "[dep NP-Nom [amod big] [_ VP]]": '(where (and NOUN Nom) [governs amod "big"] [governs any VERB])',
+    "[dep a b]": '(or (where "a" [near 1..1@R "b"]) (where "b" [near 1..1@L "a"]))',
+    "[x  a]": '"a"',
+    "[dep Cl [obj [dep a]]]": None,
+    "[dep Cl [obj _]]": "(where VERB [governs nsubj _] [governs obj _])",
+    "[dep [nsubj@L a [dep b c]] VP]": '(where VERB [governs nsubj@L (where "a" [governs any (or (where "b" [near 1..1@R "c"]) (where "c" [near 1..1@L "b"]))])])',
+}
+
+
+@pytest.mark.parametrize("text", CONSTRUCTIONS)
+def test_constructions(text):
+    if CONSTRUCTIONS[text] is None:
+        with pytest.raises(ValueError):
+            bracketed.tree(text)
+    else:
+        assert ast.show(bracketed.tree(text)) == CONSTRUCTIONS[text]
+
+
+@pytest.mark.parametrize("text", ["", "a", "[dep]", "[dep a", "[dep a] b", "[ [x a]]", "[dep a]]", "[dep a b [x c]]"])
+def test_wrong_constructions(text):
     with pytest.raises(ValueError):
-        bracketed.rewrite("[dep a b [x c]]")
-    assert bracketed.read_batch(["one", "[dep a]", ""]) == [("one", '( "a" )')]
+        bracketed.tree(text)
+
+
+def test_batches_of_constructions():
+    assert [(n, ast.show(t)) for n, t in bracketed.read_batch(["one", "[dep a]", "", "[dep VP]", "two", "three", "[dep b]"])] == [("one", '"a"'), ("one", "VERB"), ("three", '"b"')]
+
+
+def test_levels_of_a_plan():
+    got = levels(parse("A|B >d (C !>e D)"))
+    assert got[0][:2] == (2, True) and (2, False, "D") in got and (2, True, "C") in got and (1, True, "governs d") in got and got[-1][:2] == (0, True)
 
 
 # A plain evaluator.
@@ -157,7 +183,7 @@ def test_compilers_agree_with_plain_sets(spark):
         tree = parse(text)
         keep = [c for c in tree.comments]
         want = {(g, t) for g, s in enumerate(sentences) if not keep or (len(s["form"]) < 5 if "max" in keep[0] else len(s["form"]) > 4) for t in plain(s, tree)}
-        ways = [{"how": "nested"}] + ([{"how": "relational"}] if i % 3 == 0 else []) + ([{"pruned": True}] if i % 4 == 0 else [])
+        ways = [{"how": "nested"}] + ([{"how": "relational"}] if i % 3 == 0 else []) + ([{"pruned": False}, {"pruned": True, "insensitive": True}] if i % 4 == 0 else [])
         for way in ways:
             got = {(r.graph_id, r.tok) for r in engine.hits(text, require_edge=False, **way).collect()}
             assert got == want, (text, way)
