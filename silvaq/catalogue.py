@@ -72,7 +72,7 @@ BRACKETED = {
 }
 
 
-def _index(spark: SparkSession, sf_dir: str, graphs: str = "text") -> str:
+def index(spark: SparkSession, sf_dir: str, graphs: str = "text") -> str:
     """The folder of the index of a fixture, written once in a session: searches read it, as they would any corpus. Shards go by document."""
     key = (spark.sparkContext.applicationId, sf_dir, graphs)
     if key not in _WRITTEN:
@@ -88,7 +88,7 @@ _WRITTEN: dict[tuple, str] = {}
 
 def _engine(spark: SparkSession, sf_dir: str, graphs: str = "text", *, sharded: bool = False, **options) -> Engine:
     """A written index, loaded. sharded: hits have their shard; otherwise graph_id is the only key."""
-    engine = Engine.load(spark, [_index(spark, sf_dir, graphs)], **{"symbols": None} | options)
+    engine = Engine.load(spark, [index(spark, sf_dir, graphs)], **{"symbols": None} | options)
     if not sharded:
         engine.graphs, engine.index = engine.graphs.drop("shard"), engine.index.drop("shard")
     return engine
@@ -120,7 +120,7 @@ def _hits_sql(graphs: str, pattern: str, **options) -> str:
 
 
 def _symbols(spark: SparkSession, sf_dir: str, graphs: str = "text") -> DataFrame:
-    return spark.read.parquet(f"{_index(spark, sf_dir, graphs)}/symbols")
+    return spark.read.parquet(f"{index(spark, sf_dir, graphs)}/symbols")
 
 
 def tag_value_shorthand(spark, sf_dir):
@@ -180,7 +180,7 @@ def context_doc(spark, sf_dir):
 
 def _block(spark, sf_dir) -> DataFrame:
     """Lines of documents as CoNLL-U: shard, graph_id, block."""
-    g = spark.read.parquet(f"{_index(spark, sf_dir)}/graphs").drop("shard")
+    g = spark.read.parquet(f"{index(spark, sf_dir)}/graphs").drop("shard")
     line = lambda x: F.concat_ws("\t", (x["idx"] + 1).cast("string"), x["form"], x["lemma"], x["upos"], F.lit("_"), x["feats"], F.coalesce((F.get(x["into"], F.lit(0))["u"] + 1).cast("string"), F.lit("0")), F.coalesce(F.get(x["into"], F.lit(0))["d"], F.lit("root")), F.lit("_"), F.lit("_"))
     good = F.forall("tokens", lambda x: (x["form"] != "") & ~x["form"].rlike(r"\s"))
     return g.where(good).select(F.lit("trees_00000").alias("shard"), "graph_id", F.concat(F.lit("# line\n"), F.array_join(F.transform("tokens", line), "\n")).alias("block"))

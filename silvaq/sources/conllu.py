@@ -175,8 +175,8 @@ def with_documents(blocks: DataFrame) -> DataFrame:
 
 
 def write_index(sentences: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Writes an index: sentences for searching, by shard; their texts (if there) apart, so that matching reads none; postings, by kind and sorted by
-    term, with a bloom filter of terms in each file, so that a term's postings are found without reading others'; and symbols.
+    """Writes an index: sentences for searching, by shard; their texts (if there) apart, so that matching reads none; postings, by kind, in files sorted by
+    term with a bloom filter of terms, so that a term's postings are found without reading others'; and symbols.
 
     Postings and symbols are made from what has been written, not from the input again.
     """
@@ -186,7 +186,7 @@ def write_index(sentences: DataFrame, path: str, mode: str = "overwrite") -> Non
         sentences.select("shard", "graph_id", "comments", "lines").write.mode(mode).partitionBy("shard").parquet(f"{path}/text")
     graphs = spark.read.parquet(f"{path}/graphs")
     found = postings.postings(graphs).withColumn("shard", F.col("shard").cast("string"))
-    ordered = found.repartitionByRange("kind", "term", "graph_id").sortWithinPartitions("kind", "term", "norm", "shard", "graph_id")
+    ordered = found.sortWithinPartitions("kind", "term", "norm", "shard", "graph_id")  # each file by term; nothing is shuffled
     ordered.write.mode(mode).partitionBy("kind").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
     postings.symbols(graphs).coalesce(1).write.mode(mode).parquet(f"{path}/symbols")
 

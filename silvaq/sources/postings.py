@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
+
 KEYS = ("shard", "graph_id")
+#: Share of sentences from which a term is too frequent to choose sentences by.
+FREQUENT = 0.2
 
 
 #: What an index is made of.
@@ -17,30 +21,40 @@ ALL = ("token", "lemma", "tag", "rel")
 def postings(graphs: DataFrame, kinds=ALL) -> DataFrame:
     """kind, term, norm, shard, graph_id, positions: where each form, lemma, tag and relation (by governor) stands in each sentence.
 
-    norm 1: a lower-cased form or cleaned lemma, only where it differs. Groups are as large as a sentence at most. kinds: others are not made.
+    norm 1: a lower-cased form or cleaned lemma, only where it differs. kinds: others are not made. A sentence's entries are grouped in its row, so nothing is shuffled.
     """
     keys = [k for k in KEYS if k in graphs.columns]
-    entry = lambda kind, term, norm, idx: F.struct(F.lit(kind).alias("kind"), term.alias("term"), F.lit(norm).alias("norm"), idx.alias("idx"))
-    words = lambda kind, field: lambda x: F.array(entry(kind, x[field], 0, x["idx"]), entry(kind, x[f"{field}_norm"], 1, x["idx"]))
-    tags = lambda x: F.transform(x["tags"], lambda t: entry("tag", t, 0, x["idx"]))
-    relations = lambda x: F.flatten(F.transform(x["out"], lambda e: F.when(e["basic"], F.array(entry("rel", e["d"], 0, x["idx"]), entry("rel", F.lit("anyrel"), 0, x["idx"]))).otherwise(F.array(entry("rel", e["d"], 0, x["idx"])))))
-    made = {"token": words("token", "form"), "lemma": words("lemma", "lemma"), "tag": tags, "rel": relations}
-    every = F.filter(F.flatten(F.transform("tokens", lambda x: F.concat(*[made[k](x) for k in kinds]))), lambda e: e["term"].isNotNull())
-    # Exploded as an expression: a column of its own would be computed for a filter on its size once more.
-    each = graphs.select(*keys, F.explode(every).alias("e")).select(*keys, "e.*")
-    return each.groupBy("kind", "term", "norm", *keys).agg(F.sort_array(F.collect_set("idx")).alias("positions"))
+    pair = lambda term, idx: F.struct(term.alias("term"), idx.alias("idx"))
+    field = lambda name: F.filter(F.transform("tokens", lambda x: pair(x[name], x["idx"])), lambda p: p["term"].isNotNull())
+    tags = F.flatten(F.transform("tokens", lambda x: F.transform(x["tags"], lambda t: pair(t, x["idx"]))))
+    out = lambda edges, x: F.transform(edges, lambda e: pair(e["d"], x["idx"]))
+    relations = F.flatten(F.transform("tokens", lambda x: out(x["out"], x)))
+    basic = F.transform(F.filter("tokens", lambda x: F.exists(x["out"], lambda e: e["basic"])), lambda x: pair(F.lit("anyrel"), x["idx"]))
+    made = {"token": [(field("form"), 0), (field("form_norm"), 1)], "lemma": [(field("lemma"), 0), (field("lemma_norm"), 1)], "tag": [(tags, 0)], "rel": [(relations, 0), (basic, 0)]}
+
+    def grouped(pairs: Column, kind: str, norm: int) -> Column:
+        places = lambda all_, term: F.array_distinct(F.transform(F.filter(all_, lambda p: p["term"] == term), lambda p: p["idx"]))
+        return let(pairs, lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda p: p["term"])), lambda term: F.struct(F.lit(kind).alias("kind"), term.alias("term"), F.lit(norm).alias("norm"), places(all_, term).alias("positions"))))
+
+    every = F.concat(*[grouped(pairs, kind, norm) for kind in kinds for pairs, norm in made[kind]])
+    return graphs.select(*keys, F.explode(every).alias("e")).select("e.kind", "e.term", "e.norm", *keys, "e.positions")
 
 
 def symbols(graphs: DataFrame) -> DataFrame:
-    """symbol, s_type, full_form, cnt: how often each tag, category, value and relation occurs."""
+    """symbol, s_type, full_form, cnt: how often each tag, category, value and relation occurs.
+
+    Tokens are counted by tag and features first, and what these stand for is added up from the counts.
+    """
     entry = lambda symbol, kind, full=None: F.struct(symbol.alias("symbol"), F.lit(kind).alias("s_type"), (F.lit(None).cast("string") if full is None else full).alias("full_form"))
-    tag = lambda x: F.when(x["upos"] != "_", F.array(entry(x["upos"], "TAG")))
     feature = lambda f: F.when(f.contains("="), F.array(entry(F.substring_index(f, "=", 1), "CAT"), entry(F.regexp_replace(f, "^[^=]*=", ""), "VAL", f), entry(f, "CAT=VAL"))).otherwise(F.array(entry(f, "CAT=VAL")))
-    features = lambda x: F.when(x["feats"] != "_", F.flatten(F.transform(F.split(x["feats"], r"\|"), feature)))
-    relation = lambda x: F.transform(x["out"], lambda e: entry(e["d"], "DTYPE"))
     none = F.array().cast("array<struct<symbol:string,s_type:string,full_form:string>>")
-    each = F.flatten(F.transform("tokens", lambda x: F.concat(F.coalesce(tag(x), none), F.coalesce(features(x), none), relation(x))))
-    return graphs.select(F.explode(each).alias("s")).groupBy("s.symbol", "s.s_type", "s.full_form").agg(F.count("*").alias("cnt"))
+    tag = F.when(F.col("upos") != "_", F.array(entry(F.col("upos"), "TAG")))
+    features = F.when(F.col("feats") != "_", F.flatten(F.transform(F.split("feats", r"\|"), feature)))
+    kinds = graphs.select(F.explode(F.transform("tokens", lambda x: F.struct(x["upos"].alias("upos"), x["feats"].alias("feats")))).alias("x")).groupBy("x.upos", "x.feats").agg(F.count("*").alias("k"))
+    tags = kinds.select("k", F.explode(F.concat(F.coalesce(tag, none), F.coalesce(features, none))).alias("s")).select("s.*", "k")
+    names = graphs.select(F.explode(F.flatten(F.transform("tokens", lambda x: F.transform(x["out"], lambda e: e["d"])))).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("k"))
+    relations = names.select("symbol", F.lit("DTYPE").alias("s_type"), F.lit(None).cast("string").alias("full_form"), "k")
+    return tags.union(relations).groupBy("symbol", "s_type", "full_form").agg(F.sum("k").alias("cnt"))
 
 
 def merge(*stats: DataFrame) -> DataFrame:
@@ -65,7 +79,8 @@ def argmax(stats: DataFrame) -> DataFrame:
 def candidates(graphs: DataFrame, index: DataFrame, terms, *, insensitive: bool = False) -> DataFrame:
     """Sentences that have all terms (kind, term), by semi-joins with the index, the rarest term first. insensitive: in either spelling.
 
-    Sizes decide: the terms' numbers of sentences are counted in one pass over the terms' postings, and joins go in their order.
+    Sizes decide: the terms' numbers of sentences are counted in one pass over the terms' postings, and joins go in their order. Terms that more than
+    FREQUENT of all sentences have spare less than their join costs; these are left to the evaluation.
     """
     if not terms:
         return graphs
@@ -74,6 +89,8 @@ def candidates(graphs: DataFrame, index: DataFrame, terms, *, insensitive: bool
     wanted = reduce(lambda a, b: a | b, ((F.col("kind") == k) & (F.col("term") == t) for k, t in terms))
     found = index.where(wanted if insensitive else wanted & (F.col("norm") == 0))
     counts = {(r["kind"], r["term"]): r["count"] for r in found.groupBy("kind", "term").count().collect()}
+    most = FREQUENT * graphs.count() if max(counts.values(), default=0) else 0  # the number of rows is in the files' footers
+    terms = [t for t in terms if counts.get(t, 0) <= most]
     for kind, term in sorted(terms, key=lambda t: counts.get(t, 0)):
         graphs = graphs.join(found.where((F.col("kind") == kind) & (F.col("term") == term)).select(*keys), keys, "left_semi")
     return graphs

@@ -100,7 +100,8 @@ def test_reader_ends_sentences_at_blank_lines(spark, tmp_path):
     assert conllu.graphs(both).count() == 7
 
 
-def test_written_index_prunes(spark, tmp_path):
+def test_written_index_prunes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "FREQUENT", 1.0)
     one = "1\t{0}\t{0}\tN\t_\tCase=Nom\t0\troot\t_\t_\n2\tb\tb\tV\t_\t_\t1\tx\t_\t_"
     g = conllu.graphs(rows(spark, *[one.format(w) for w in ("Dog", "dog", "cat", "Dog")]))
     conllu.write_index(g, str(tmp_path / "i"))
