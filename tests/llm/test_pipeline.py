@@ -55,3 +55,37 @@ def test_null_and_repeated_ids_keep_each_group(spark):
     kept = [(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs, "").collect()]
     want = [(None, a), (None, b), (1, c), (1, d), (3, ""), (3, e), (4, None), (4, ""), (None, " ")]
     assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_odd_rows_and_columns(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, rows that repeat, and columns whose names the operators use."""
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    names = ["score", "row", "key", "mark", "every", "ends", "silvaq_assign", "position", "node", "part", "n"]
+    rows = [(i, text(40), "s0") for i in range(30)]
+    rows += [(None, text(30), "s1"), (None, text(30), None), (5, text(30), "s1"), (5, rows[5][1], "s0"), (40, None, "s0"), (41, "", "s1"), (42, " \n", None), (43, text(60_000), "s1"), (44, "z" * 300_000, "s0")]
+    rows += [rows[7]] * 3
+    full = [(i, t, "en", s, 1, *["clash"] * len(names)) for i, t, s in rows]
+    spark.createDataFrame(full, SCHEMA + "".join(f", `{n}` string" for n in names)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(10)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == columns and all(r[n] == "clash" for r in docs.collect() for n in names)
+        seen[name] = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+    assert seen["toxicity"] == sorted(((i, t) for i, t, _ in rows), key=repr)
+    once = {(i, t) for i, t, _ in rows}
+    assert seen["ngram_join"] == seen["secrets"] == sorted(once, key=repr)
+    assert set(seen["mixing"]) <= {(i, t) for i, t in once if t and t.strip()}
+    last = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(last) == len(seen["mixing"]) and all(r.round_trip for r in last)
