@@ -258,3 +258,18 @@ def distinct(docs: DataFrame, *, width: int = 3, share: int = 90, nameless: bool
     # Rows that repeat id and text first, where they are read: many copies are few by the time they meet.
     one = keyed.groupBy("z", "d", "m").agg(F.min_by("row", F.xxhash64("row")).alias("row")).join(kept, ["z", "d", "m"], "left_semi")
     return one.select("row.*").union(whole.where(~wordy).select("row.*"))
+
+
+#: The same of `group` by plain SQL: every pair of sets that share a shingle is counted.
+ORACLE = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS grams FROM t),
+e AS MATERIALIZED (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+l AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT s.doc_id, len(s.grams)::BIGINT AS n_shingles, c.component_id FROM s JOIN c ON s.doc_id = c.x
+"""

@@ -80,7 +80,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    from . import mixing
+    from . import mixing, ngram_join, vector_dedup
 
-    found = {"op2_mixing": mixing.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op2_mixing": mixing.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op5_vector_dedup": vector_dedup.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in found.items() if sql}
