@@ -1,13 +1,15 @@
-"""LM scoring: an interpolated modified Kneser-Ney model of word pairs, counted in Spark, stored as sorted hash arrays.
-
-The vocabulary is the sorted array of the hashes of all training words; a word's number is its place there. A pair of numbers is
-packed into 64 bits and mixed (a bijection), and the mixed pairs are sorted arrays again. Workers map these files into memory and
-look up by binary search; nothing of the model is sent to the driver but sums.
-
-Counting: tasks count their own words or pairs first and deal out sorted, packed runs by part; a part's runs are merged where they meet and
-written as one file. Pairs are dealt by their first word, so that a context's statistics meet in one part, except for the most
-frequent words, whose pairs are dealt by both words and whose statistics are added up. There are as many parts as the texts have PART bytes, so that a
-part's size does not follow the corpus; counts are as wide as they need. Numbers of words share 64 bits in pairs: 2^32 distinct words are an error.
+"""LM scoring: an interpolated modified Kneser-Ney model of words, pairs and triples, counted in Spark, stored as sorted hash arrays.
+
+The vocabulary is the sorted array of the hashes of all training words; a word's number is its place there. Pairs and triples of numbers are hashed
+again, and a table of them is a sorted array of 46 bits of each hash: 32 bits, and an index by the 14 above. (A triple that was never seen is taken for
+another once in 20 million times; counting itself is exact.) Workers map these files into memory and look up by binary search; nothing of the model is
+sent to the driver but sums.
+
+Counting: tasks count their own words or triples first and deal out sorted, packed runs by part; a part's runs are merged where they meet and
+written as one file. Triples are dealt by their middle word v, so that all that is counted of them meets in one part: the triples, what follows (u, v), and
+how many words precede (v, w). Triples of a middle word that is seen OFTEN are dealt by all three words, and their partial statistics are added up in
+a second step. There are as many parts as the texts have PART bytes, so that a part's size does not follow the corpus; counts are as wide as they
+need. Numbers have 32 bits: 2^32 - 2 distinct words or more are an error.
 """
 
 from __future__ import annotations
@@ -29,27 +31,57 @@ from .shingles import mix, word_hashes
 END = np.uint64(0xD1B54A32D192ED03)
 #: Tokens that are counted, and that are scored, together.
 COUNTED, SCORED = 1 << 21, 1 << 19
-#: Words with this share of all tokens have their pairs dealt by both words.
-FREQUENT = 1 / 4096
+#: Triples whose middle word is seen this often are dealt by all three words.
+OFTEN = 1 << 20
 #: Bytes of text that a part of the model is made for.
-PART = 1 << 24
+PART = 1 << 23
 #: Files that a worker keeps mapped.
 MAPPED = 512
-RUN = "part int, n long, width int, keys binary, counts binary"
+#: Bits of a hash by which a table's index goes.
+INDEX = 14
+#: What a run holds: words, triples of rare and of frequent middle words, contexts and pairs to be added up, statistics of words, a part's sums.
+WORDS, RARE, HOT, CONTEXTS, PAIRS, STATISTICS, HEAD = range(7)
+RUN = "kind int, part int, n long, widths string, data binary"
+_RUN = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("widths", pa.string()), ("data", pa.binary())])
 
 
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys and their sums."""
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where each run of equal rows of sorted columns begins."""
+    turn = np.zeros(len(columns[0]), bool)
+    turn[:1] = True
+    for c in columns:
+        turn[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(turn)
+
+
+def _sum(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct sorted keys and the sums of values."""
     if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
+        return keys, *values
+    order = np.argsort(keys)
     keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts[order], first)
+    first = _starts(keys)
+    return keys[first], *(np.add.reduceat(v[order], first) for v in values)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+
+
+def _halves(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _sum_triples(vu: np.ndarray, w: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (vu, w) in their order, and sums."""
+    pairs, place = np.unique(vu, return_inverse=True)
+    keys, counts = _sum(_joined(place, w), counts)
+    place, w = _halves(keys)
+    return pairs[place], w, counts
 
 
 def _stretches(parts: np.ndarray) -> list[tuple[int, int]]:
@@ -62,33 +94,83 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64)
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes, bytes]:
-    steps, counts = np.diff(keys, prepend=np.uint64(0)), _narrow(counts)
-    return counts.itemsize, pa.compress(steps.tobytes(), "zstd", asbytes=True), pa.compress(counts.tobytes(), "zstd", asbytes=True)
+def _pack(columns: list[np.ndarray]) -> tuple[int, str, bytes]:
+    """(rows, widths, bytes) of columns; sorted first columns as differences, each column byte by byte of its values."""
+    columns = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
+    columns = [c.astype(np.uint64) if c.dtype == np.uint64 else _narrow(c) for c in columns]
+    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.itemsize).T).tobytes() for c in columns)
+    return len(columns[0]), ",".join(str(c.itemsize) for c in columns), pa.compress(planes, "zstd", asbytes=True)
 
 
-def _unpack(n: int, width: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    steps = np.frombuffer(pa.decompress(keys, n * 8, "zstd", asbytes=True), np.uint64)
-    return np.cumsum(steps, dtype=np.uint64), np.frombuffer(pa.decompress(counts, n * width, "zstd", asbytes=True), f"<u{width}").astype(np.int64)
+def _unpack(n: int, widths: str, data: bytes) -> list[np.ndarray]:
+    """The columns of _pack: the first as it was, the others as int64."""
+    sizes = [int(w) for w in widths.split(",")]
+    planes, at, out = np.frombuffer(pa.decompress(data, n * sum(sizes), "zstd", asbytes=True), np.uint8), 0, []
+    for w in sizes:
+        out.append(np.ascontiguousarray(planes[at : at + n * w].reshape(w, n).T).view(f"<u{w}").reshape(n))
+        at += n * w
+    return [np.cumsum(out[0], dtype=np.uint64), *(c.astype(np.int64) for c in out[1:])]
 
 
-def _runs(keys: np.ndarray, counts: np.ndarray, parts: np.ndarray):
-    """A record batch of packed runs, a row for each part that keys (sorted) fall in."""
+def _runs(kind: int, parts: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """A record batch of packed runs, a row for each part that rows (sorted by the first column) fall in."""
     order = np.argsort(parts, kind="stable")
     rows = []
     for a, b in _stretches(parts[order]):
         k = order[a:b]
-        rows.append((int(parts[k[0]]), len(k), *_pack(keys[k], counts[k])))
+        rows.append((kind, int(parts[k[0]]), *_pack([c[k] for c in columns])))
     return _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "n", "width", "keys", "counts"])
+    columns = zip(*rows, strict=True) if rows else [()] * len(_RUN)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _RUN, strict=True)], schema=_RUN)
+
+
+def _columns(table: pa.Table, kind: int, width: int) -> list[np.ndarray]:
+    """The columns of all runs of a kind, one after the other."""
+    found = [_unpack(n, w, d) for k, n, w, d in zip(*(table[c].to_pylist() for c in ("kind", "n", "widths", "data")), strict=True) if k == kind]
+    if not found:
+        return [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * (width - 1)]
+    return [np.concatenate(c) for c in zip(*found, strict=True)]
+
+
+def table_of(name: str, hashes: np.ndarray, **values: np.ndarray) -> dict[str, np.ndarray]:
+    """The arrays of a table: hashes in their order, values in bytes; values of 255 or more apart."""
+    bits = hashes & np.uint64((1 << (32 + INDEX)) - 1)
+    order = np.argsort(bits)
+    bits = bits[order]
+    out = {f"{name}.index": np.searchsorted(bits, np.arange((1 << INDEX) + 1, dtype=np.uint64) << np.uint64(32)).astype(np.int64), f"{name}.low": (bits & np.uint64(0xFFFFFFFF)).astype(np.uint32)}
+    for key, v in values.items():
+        v = v[order]
+        big = np.flatnonzero(v >= 255)
+        out |= {f"{name}.{key}": np.minimum(v, 255).astype(np.uint8), f"{name}.{key}.at": big, f"{name}.{key}.big": v[big]}
+    return out
 
 
-def _merge(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    found = [_unpack(*(x.as_py() for x in row)) for row in zip(*(table[c] for c in ("n", "width", "keys", "counts")), strict=True)]
-    return _sum(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
+def look_up(file: dict[str, np.ndarray], name: str, hashes: np.ndarray, *keys: str) -> list[np.ndarray]:
+    """The values of hashes, 0 for those that are not there."""
+    low, index = file[f"{name}.low"], file[f"{name}.index"]
+    want, bucket = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32), (hashes >> np.uint64(32) & np.uint64((1 << INDEX) - 1)).astype(np.int64)
+    if not len(low):
+        return [np.zeros(len(hashes), np.int64) for _ in keys]
+    first, end = index[bucket], index[bucket + 1]
+    last = end.copy()
+    for _ in range(int((end - first).max(initial=0)).bit_length()):
+        middle = (first + end) >> 1
+        less = (low[np.minimum(middle, len(low) - 1)] < want) & (first < end)
+        first, end = np.where(less, middle + 1, first), np.where(less, end, middle)
+    hit = np.flatnonzero((first < last) & (low[np.minimum(first, len(low) - 1)] == want))
+    out = []
+    for key in keys:
+        found = np.zeros(len(hashes), np.int64)
+        v = file[f"{name}.{key}"][first[hit]].astype(np.int64)
+        big = np.flatnonzero(v == 255)
+        if len(big):
+            v[big] = file[f"{name}.{key}.big"][np.searchsorted(file[f"{name}.{key}.at"], first[hit][big])]
+        found[hit] = v
+        out.append(found)
+    return out
 
 
 @functools.lru_cache(maxsize=MAPPED)
@@ -107,11 +189,13 @@ class Model:
     words: int  # V
     tokens: int  # N
     docs: int
-    pair_discounts: tuple[float, float, float]
-    word_discounts: tuple[float, float, float]
+    order: int
+    often: int  # triples of middle words that are seen so often are dealt by all three words
+    discounts: tuple[tuple[float, float, float], ...]  # of words, pairs, triples
     pairs: int  # distinct
     word_levels: tuple[int, int, int]  # words with 1, 2, 3 or more distinct words before them
-    pair_parts: frozenset[int]  # parts that have pairs
+    files: frozenset[int]  # parts that have triples
+    hot_files: frozenset[int]  # parts that have what was added up
     spans: frozenset[int]  # ranges of numbers that have statistics
 
 
@@ -172,133 +256,160 @@ def _groups(batches, column: int, most: int):
             yield batch.slice(first, at - first), np.concatenate(each), np.array([len(e) for e in each], np.int64)
 
 
-def _pair_parts(u: np.ndarray, mixed: np.ndarray, frequent: np.ndarray, parts: int) -> np.ndarray:
-    """The part that has a pair: by its first word, or by both if the first is frequent."""
-    return _part(np.where(np.isin(u, frequent), mixed, mix(u.astype(np.uint64))), parts)
-
-
-def _before(numbers: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
-    """The word before each token; `start` before the first of a text."""
+def _before(numbers: np.ndarray, lengths: np.ndarray, *starts: int) -> np.ndarray:
+    """What is as many places before each token as there are starts; those stand for what precedes a text, the first for the first token."""
+    k = len(starts)
     out = np.empty_like(numbers)
-    out[1:] = numbers[:-1]
-    out[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = start
+    out[k:] = numbers[: len(numbers) - k]
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    for i, start in enumerate(starts):
+        out[first[lengths > i] + i] = start
     return out
 
 
-def train(docs: DataFrame) -> tuple[Model, np.ndarray]:
-    """Counts the texts of docs and writes the model to the shared folder; also gives the numbers of the frequent words."""
+def _pair_hash(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return mix(_joined(x, y))
+
+
+def _triple_hash(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(_pair_hash(u, v) + mix(w.astype(np.uint64) + np.uint64(1)))
+
+
+def _triple_parts(u, v, w, hot: np.ndarray, parts: int) -> np.ndarray:
+    """The part that has a triple: by its middle word, or by all if that is frequent."""
+    return _part(np.where(hot, _triple_hash(u, v, w), mix(v.astype(np.uint64))), parts)
+
+
+def _contexts(vu: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct vu, and of their triples the sum and how many are seen 1, 2, 3 or more times. Sorted by vu."""
+    first = _starts(vu)
+    if not len(first):
+        return vu, *[counts] * 4
+    return vu[first], np.add.reduceat(counts, first), *(np.add.reduceat((np.minimum(counts, 3) == k).astype(np.int64), first) for k in (1, 2, 3))
+
+
+def _word_statistics(vw: np.ndarray, a: np.ndarray, words: int, parts: int) -> pa.RecordBatch:
+    """Statistics of words as runs, from pairs and their counts: the key is the word and what is counted: pairs that end in it, the sum of those that begin with it, and how
+    many of these count 1, 2, 3 or more."""
+    v, w = (x.astype(np.uint64) << np.uint64(3) for x in _halves(vw))
+    keys, n = _sum(np.concatenate([w, v | np.uint64(1), v | (np.minimum(a, 3) + 1).astype(np.uint64)]), np.concatenate([np.ones(len(a), np.int64), a, np.ones(len(a), np.int64)]))
+    spans = ((keys >> np.uint64(3)) * np.uint64(parts) // np.uint64(words + 1)).astype(np.int64)
+    return _runs(STATISTICS, spans, keys, n)
+
+
+def train(docs: DataFrame, order: int = 3) -> Model:
+    """Counts the texts of docs and writes the model to the shared folder. order: 2 (words and pairs) or 3 (triples, too)."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark: SparkSession = docs.sparkSession
     uri = fresh_dir(spark, "lm")
     texts = docs.select("text")
     parts = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART))
+    often = OFTEN
 
     def count_words(batches):
         held = []
         for _, hashes, _lengths in _groups(batches, 0, COUNTED):
             held.append(np.unique(hashes, return_counts=True))
             if sum(len(k) for k, _ in held) > COUNTED:
-                held = [_sum(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+                held = [_sum(*(np.concatenate(c) for c in zip(*held, strict=True)))]
                 if len(held[0][0]) > COUNTED // 2:
-                    yield _runs(*held[0], _part(held[0][0], parts))
+                    yield _runs(WORDS, _part(held[0][0], parts), *held[0])
                     held = []
         if held:
-            keys, counts = _sum(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            yield _runs(keys, counts, _part(keys, parts))
+            keys, counts = _sum(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield _runs(WORDS, _part(keys, parts), keys, counts)
 
     def write_words(key, table):
-        keys, counts = _merge(table)
+        keys, counts = _sum(*_columns(table, WORDS, 2))
         p, total = key[0].as_py(), int(counts.sum())
         save_arrays(uri, f"words-{p}", {"hashes": keys, "counts": _narrow(counts)})
         end = np.flatnonzero(keys == END)
         return pa.table({"part": pa.array([p], pa.int32()), "words": pa.array([len(keys)], pa.int64()), "tokens": pa.array([total], pa.int64()), "docs": pa.array([int(counts[end].sum())], pa.int64())})
 
-    counted = texts.mapInArrow(count_words, RUN).groupBy("part").applyInArrow(write_words, "part int, words long, tokens long, docs long")
+    counted = texts.mapInArrow(leaving_nothing(count_words), RUN).groupBy("part").applyInArrow(write_words, "part int, words long, tokens long, docs long")
     rows = {r["part"]: r for r in stored(counted, "lm-words").collect()}  # a row for each part
     sizes = tuple(rows[p]["words"] if p in rows else 0 for p in range(parts))
     words, tokens, n_docs = sum(sizes), sum(r["tokens"] for r in rows.values()), sum(r["docs"] for r in rows.values())
-    limit = max(2, int(tokens * FREQUENT))
-    if words >= 2**32 - 1:
-        raise ValueError("2^32 distinct words or more have no numbers")
-    common = stored(spark.createDataFrame([(p,) for p, n in enumerate(sizes) if n], "part int").repartition(max(1, min(parts, 1000)), "part").mapInArrow(lambda batches: _often(batches, uri, limit), "part int, place long"), "lm-often")
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    frequent = np.sort(np.array([starts[r["part"]] + r["place"] for r in common.collect()] + [words], np.int64))  # 1 / FREQUENT words at most, and the start of a text
-
-    def count_pairs(batches):
-        v = _vocabulary(uri, parts, sizes)
+    if words >= 2**32 - 2:
+        raise ValueError("2^32 - 2 distinct words or more have no numbers")
+    start, none = words, words + 1  # the start of a text, and what would be before it
+
+    def count_triples(batches):
+        vocabulary = _vocabulary(uri, parts, sizes)
         for _, hashes, lengths in _groups(batches, 0, COUNTED):
-            after = v.find(hashes)[0]
-            u = _before(after, lengths, words)
-            packed, counts = np.unique((u.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64), return_counts=True)
-            mixed = mix(packed)
-            order = np.argsort(mixed)
-            mixed, counts, u = mixed[order], counts[order], (packed[order] >> np.uint64(32)).astype(np.int64)
-            yield _runs(mixed, counts, _pair_parts(u, mixed, frequent, parts))
-
-    def write_pairs(key, table):
-        """Writes a part's pairs; gives its statistics of contexts and of words as runs: the key has what is counted in its upper bits."""
-        keys, counts = _merge(table)
+            w, count = vocabulary.find(hashes)
+            v = _before(w, lengths, start)
+            u = _before(w, lengths, none, start) if order == 3 else np.full_like(w, none)
+            hot = _before(count, lengths, n_docs) >= often
+            for kind, k in ((RARE, ~hot), (HOT, hot)):
+                vu, last, counts = _sum_triples(_joined(v[k], u[k]), w[k], np.ones(int(k.sum()), np.int64))
+                first, second = _halves(vu)
+                yield _runs(kind, _triple_parts(second, first, last, np.full(len(vu), kind == HOT), parts), vu, last, counts)
+
+    def write_triples(key, table):
+        """Writes a part; gives what has to be added up, and statistics of words, as runs."""
+        p, out, arrays, levels, pair_levels, n_pairs = key[0].as_py(), [], {}, np.zeros(5, np.int64), np.zeros(5, np.int64), 0
+        grams = {}
+        for kind in (RARE, HOT):
+            vu, w, counts = _sum_triples(*_columns(table, kind, 3))
+            v, u = _halves(vu)
+            whole = u != none
+            grams[kind] = _triple_hash(u[whole], v[whole], w[whole]), counts[whole]
+            levels += _levels(counts[whole])
+            context, *sums = _contexts(vu[whole], counts[whole])
+            pair, a = _sum(_joined(v, w), np.where(whole, 1, counts))
+            if kind == RARE:
+                arrays |= table_of("contexts", _pair_hash(*_halves(context)[::-1]), **dict(zip(("sum", "n1", "n2", "n3"), sums, strict=True))) | table_of("pairs", _pair_hash(*_halves(pair)), count=a)
+                pair_levels += _levels(a)
+                n_pairs += len(pair)
+                out.append(_word_statistics(pair, a, words, parts))
+            else:
+                out += [_runs(CONTEXTS, _part(_pair_hash(*_halves(context)[::-1]), parts), context, *sums), _runs(PAIRS, _part(_pair_hash(*_halves(pair)), parts), pair, a)]
+        hashes, counts = (np.concatenate(c) for c in zip(*grams.values(), strict=True))
+        save_arrays(uri, f"triples-{p}", arrays | table_of("triples", hashes, count=counts))
+        return pa.Table.from_batches([*out, _batch([(HEAD, p, n_pairs, json.dumps([levels.tolist(), pair_levels.tolist()]), b"")])])
+
+    def add_up(key, table):
+        """Writes a part of what triples of frequent middle words say of contexts and pairs; gives statistics of words as runs."""
         p = key[0].as_py()
-        save_arrays(uri, f"pairs-{p}", {"keys": keys, "counts": _narrow(counts)})
-        packed = unmix(keys)
-        u, v = packed >> np.uint64(32), packed & np.uint64(0xFFFFFFFF)
-        kind = np.minimum(counts, 3).astype(np.uint64)
-        seen, n = np.unique(np.concatenate([u << np.uint64(2) | kind, v << np.uint64(2)]), return_counts=True)
-        spans = ((seen >> np.uint64(2)) * np.uint64(parts) // np.uint64(words + 1)).astype(np.int64)
-        out = _runs(seen, n, spans)
-        levels = _levels(counts)
-        return pa.Table.from_batches([out, _batch([(-1, len(keys), p, json.dumps(levels).encode(), b"")])])
+        context, *sums = _sum(*_columns(table, CONTEXTS, 5))
+        pair, a = _sum(*_columns(table, PAIRS, 2))
+        save_arrays(uri, f"hot-{p}", table_of("contexts", _pair_hash(*_halves(context)[::-1]), **dict(zip(("sum", "n1", "n2", "n3"), sums, strict=True))) | table_of("pairs", _pair_hash(*_halves(pair)), count=a))
+        return pa.Table.from_batches([_word_statistics(pair, a, words, parts), _batch([(HEAD, p, len(pair), json.dumps([[0] * 5, _levels(a)]), b"")])])
 
     def write_statistics(key, table):
-        keys, counts = _merge(table)
+        keys, counts = _sum(*_columns(table, STATISTICS, 2))
         s = key[0].as_py()
         first, last = -(-s * (words + 1) // parts), -(-(s + 1) * (words + 1) // parts)
-        number, kind = (keys >> np.uint64(2)).astype(np.int64) - first, (keys & np.uint64(3)).astype(np.int64)
-        levels = np.zeros((last - first, 4), np.int64)  # distinct words before; distinct words after seen 1, 2, 3 or more times
+        number, kind = (keys >> np.uint64(3)).astype(np.int64) - first, (keys & np.uint64(7)).astype(np.int64)
+        levels = np.zeros((last - first, 5), np.int64)  # distinct words before; of pairs that begin with the word the sum, and how many count 1, 2, 3 or more
         levels[number, kind] = counts
-        save_arrays(uri, f"levels-{s}", {"levels": levels.astype(np.uint32)})  # none is above the number of words
+        save_arrays(uri, f"levels-{s}", {"levels": _narrow(levels.ravel()).reshape(levels.shape)})
         return pa.table({"part": pa.array([s], pa.int32()), "levels": pa.array([json.dumps(_levels(levels[:, 0]))])})
 
-    pairs = stored(texts.mapInArrow(count_pairs, RUN).groupBy("part").applyInArrow(write_pairs, RUN), "lm-pairs")
-    heads = [(r["n"], json.loads(bytes(r["keys"])), r["width"]) for r in pairs.where("part = -1").collect()]  # a row for each part
-    spans = stored(pairs.where("part >= 0").groupBy("part").applyInArrow(write_statistics, "part int, levels string"), "lm-levels")
-    of_spans = [(r["part"], json.loads(r["levels"])) for r in spans.collect()]
-    word_levels = np.sum([x for _, x in of_spans] + [[0] * 5], axis=0)
-    pair_levels = np.sum([x for _, x, _ in heads] + [[0] * 5], axis=0)
-    model = Model(
-        uri, parts, sizes, words, tokens, n_docs, discounts(pair_levels.tolist()), discounts(word_levels.tolist()), sum(n for n, _, _ in heads),
-        (int(word_levels[0]), int(word_levels[1]), int(word_levels[4])), frozenset(p for _, _, p in heads), frozenset(p for p, _ in of_spans),
+    triples = stored(texts.mapInArrow(leaving_nothing(count_triples), RUN).groupBy("part").applyInArrow(write_triples, RUN), "lm-triples")
+    hot = stored(triples.where(F.col("kind").isin(CONTEXTS, PAIRS)).groupBy("part").applyInArrow(add_up, RUN), "lm-hot")
+    heads = [[(r["part"], r["n"], json.loads(r["widths"])) for r in df.where(F.col("kind") == HEAD).collect()] for df in (triples, hot)]  # a row for each part
+    runs = triples.union(hot).where(F.col("kind") == STATISTICS)
+    of_spans = [(r["part"], json.loads(r["levels"])) for r in stored(runs.groupBy("part").applyInArrow(write_statistics, "part int, levels string"), "lm-levels").collect()]
+    word_levels = np.sum([x for _, x in of_spans] + [[0] * 5], axis=0).tolist()
+    triple_levels, pair_levels = np.sum([x for part in heads for _, _, x in part] + [[[0] * 5] * 2], axis=0).tolist()
+    return Model(
+        uri, parts, sizes, words, tokens, n_docs, order, often, tuple(discounts(x) for x in (word_levels, pair_levels, triple_levels)), sum(n for part in heads for _, n, _ in part),
+        (word_levels[0], word_levels[1], word_levels[4]), *(frozenset(p for p, _, _ in part) for part in heads), frozenset(p for p, _ in of_spans),
     )
-    return model, frequent
-
-
-def unmix(x: np.ndarray) -> np.ndarray:
-    """The inverse of mix."""
-    for shift, factor in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9), (30, 1)):
-        y, k = x, shift
-        while k < 64:
-            y = x ^ (y >> np.uint64(shift))
-            k += shift
-        x = y * np.uint64(pow(factor, -1, 2**64))
-    return x
-
-
-def _often(batches, uri: str, limit: int):
-    """The places of the words of parts that are seen `limit` times or more."""
-    for batch in batches:
-        for p in batch.column(0).to_pylist():
-            places = np.flatnonzero(_file(uri, f"words-{p}")["counts"] >= limit)
-            yield pa.RecordBatch.from_arrays([pa.array([p] * len(places), pa.int32()), pa.array(places, pa.int64())], ["part", "place"])
 
 
 class Scorer:
     """A model as a worker has it, mapped."""
 
-    def __init__(self, m: Model, frequent: np.ndarray):
-        self.m, self.frequent = m, frequent
+    def __init__(self, m: Model):
+        self.m = m
         self.words = _vocabulary(m.uri, m.parts, m.sizes)
 
     def _levels(self, numbers: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(numbers), 4), np.int64)
+        out = np.zeros((len(numbers), 5), np.int64)
         span = numbers * self.m.parts // (self.m.words + 1)
         known = np.flatnonzero(numbers >= 0)
         order = known[np.argsort(span[known], kind="stable")]
@@ -308,61 +419,75 @@ class Scorer:
                 out[k] = _file(self.m.uri, f"levels-{s}")["levels"][numbers[k] - -(-s * (self.m.words + 1) // self.m.parts)]
         return out
 
-    def _pair_counts(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(u), np.int64)
-        known = np.flatnonzero((u >= 0) & (v >= 0))
-        mixed = mix((u[known].astype(np.uint64) << np.uint64(32)) | v[known].astype(np.uint64))
-        part = _pair_parts(u[known], mixed, self.frequent, self.m.parts)
-        order = np.lexsort((mixed, part))
-        for a, b in _stretches(part[order]):
-            k, p = order[a:b], int(part[order[a]])
-            if p in self.m.pair_parts:
-                f = _file(self.m.uri, f"pairs-{p}")
-                keys, counts = f["keys"], f["counts"]
-                at = np.minimum(np.searchsorted(keys, mixed[k]), len(keys) - 1)
-                out[known[k]] = np.where(keys[at] == mixed[k], counts[at], 0)
+    def _values(self, name: str, hashes: np.ndarray, parts: np.ndarray, hot: np.ndarray | None, *keys: str) -> np.ndarray:
+        """Values of hashes in a table: in the files of their parts, or, where hot, in those of what was added up."""
+        out = np.zeros((len(keys), len(hashes)), np.int64)
+        place = parts if hot is None else parts * 2 + hot
+        order = np.lexsort((hashes, place))
+        for a, b in _stretches(place[order]):
+            k = order[a:b]
+            p, added = int(parts[k[0]]), hot is not None and bool(hot[k[0]])
+            if p in (self.m.hot_files if added else self.m.files):
+                out[:, k] = look_up(_file(self.m.uri, f"{'hot' if added else 'triples'}-{p}"), name, hashes[k], *keys)
         return out
 
+    def _pairs(self, name: str, x: np.ndarray, y: np.ndarray, v: np.ndarray, hot: np.ndarray, *keys: str) -> np.ndarray:
+        """Values of pairs (x, y) of a table that is dealt by v, which is one of the two."""
+        keyed, first, back = np.unique(_joined(x, y), return_index=True, return_inverse=True)
+        hashes, hot = mix(keyed), hot[first]
+        return self._values(name, hashes, _part(np.where(hot, hashes, mix(v[first].astype(np.uint64))), self.m.parts), hot, *keys)[:, back]
+
     def score(self, hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known tokens, base score, log10 probability) of each text."""
         m = self.m
-        number, count = self.words.find(hashes)
+        w, count = self.words.find(hashes)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         total = lambda x: np.add.reduceat(x, starts)
         base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.words + 1)))
-        distinct, back = np.unique(number, return_inverse=True)
+        of_words, of_pairs, of_triples = (np.array([0.0, *d]) for d in m.discounts)
+        distinct, back = np.unique(w, return_inverse=True)
         levels = self._levels(distinct)
         before = levels[:, 0]
-        d = np.array([0.0, *m.word_discounts])
         if m.pairs:
-            rest = sum(x * n for x, n in zip(m.word_discounts, m.word_levels, strict=True)) / m.pairs
-            unigram = np.maximum(before - d[np.minimum(before, 3)], 0) / m.pairs + rest / (m.words + 1)
+            rest = sum(x * n for x, n in zip(m.discounts[0], m.word_levels, strict=True)) / m.pairs
+            p = (np.maximum(before - of_words[np.minimum(before, 3)], 0) / m.pairs + rest / (m.words + 1))[back]
         else:
-            unigram = np.full(len(distinct), 1 / (m.words + 1))
-        u = _before(number, lengths, m.words)
-        seen = np.where(u == m.words, m.docs, np.concatenate([[0], count[:-1]]))
-        d = np.array([0.0, *m.pair_discounts])
-        context = np.concatenate([[[0, 0, 0, 0]], levels[back][:-1]])
+            p = np.full(len(w), 1 / (m.words + 1))
+        v, hot = _before(w, lengths, m.words), _before(count, lengths, m.docs) >= m.often
+        context = np.concatenate([[[0] * 5], levels[back][:-1]])
         context[starts] = self._levels(np.array([m.words]))[0]
-        weight = np.where(seen > 0, context[:, 1:] @ d[1:] / np.maximum(seen, 1), 1.0)
-        c = self._pair_counts(u, number)
-        p = np.where(seen > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(seen, 1), 0.0) + weight * unigram[back]
+        k = np.flatnonzero((v >= 0) & (context[:, 1] > 0))  # unknown contexts say nothing
+        a = np.zeros(len(k), np.int64)
+        known = np.flatnonzero(w[k] >= 0)
+        a[known] = self._pairs("pairs", v[k][known], w[k][known], v[k][known], hot[k][known], "count")[0]
+        p[k] = (np.maximum(a - of_pairs[np.minimum(a, 3)], 0) + context[k, 2:] @ of_pairs[1:] * p[k]) / context[k, 1]
+        if m.order == 3:
+            u = _before(w, lengths, m.words + 1, m.words)
+            k = np.flatnonzero((u >= 0) & (v >= 0) & (u <= m.words))
+            seen, *n = self._pairs("contexts", u[k], v[k], v[k], hot[k], "sum", "n1", "n2", "n3")
+            some = seen > 0
+            k, seen, n = k[some], seen[some], np.stack([x[some] for x in n], axis=1)
+            c = np.zeros(len(k), np.int64)
+            known = k[w[k] >= 0]
+            triples = _triple_hash(u[known], v[known], w[known])
+            c[w[k] >= 0] = self._values("triples", triples, _triple_parts(u[known], v[known], w[known], hot[known], m.parts), None, "count")[0]
+            p[k] = (np.maximum(c - of_triples[np.minimum(c, 3)], 0) + n @ of_triples[1:] * p[k]) / seen
         return total((count > 0).astype(np.int64)), total(base), total(np.log10(p))
 
 
-def score(docs: DataFrame, *, modulus: int = 5, held: int = 1) -> DataFrame:
+def score(docs: DataFrame, *, modulus: int = 5, held: int = 1, order: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each text, whole; the model learns from rows
-    whose crc32(doc_id) modulo `modulus` is not `held`.
+    whose crc32(doc_id) modulo `modulus` is not `held`. order: that of the model, 2 or 3.
 
     Null and empty texts are their end token alone. Null doc_id: held_out is null and the row is not learned from. If nothing is
     learned, every token is unknown. Repeated rows are counted and scored each; without rows the result is empty; other columns
     are ignored.
     """
     held_out = remainder(F.col("doc_id"), modulus) == held
-    model, frequent = train(docs.where(~held_out))
+    model = train(docs.where(~held_out), order)
 
     def task(batches):
-        scorer = Scorer(model, frequent)
+        scorer = Scorer(model)
         for rows, hashes, lengths in _groups(batches, 2, SCORED):
             known, base, log10 = scorer.score(hashes, lengths)
             yield pa.RecordBatch.from_arrays(

@@ -192,52 +192,76 @@ def test_random_strings_are_told_from_identifiers(spark):
     assert found[900] == "random:4:44" and found[901] == ""
 
 
-def test_language_model(docs, empty, monkeypatch):
-    rows = language_model.score(docs).collect()
+def plain_model(learned, order):
+    """p(words before, word) by the definition of interpolated modified Kneser-Ney smoothing; '<' begins a text."""
+    grams = [Counter() for _ in range(order + 1)]
+    for t in learned:
+        t = ["<", *t]
+        for i in range(1, len(t)):
+            for k in range(1, order + 1):
+                if i - k + 1 >= 0:
+                    grams[k][tuple(t[i - k + 1 : i + 1])] += 1
+    counts = {order: grams[order]}
+    for k in range(1, order):
+        counts[k] = Counter(g[1:] for g in grams[k + 1])  # distinct words before
+        counts[k].update({g: n for g, n in grams[k].items() if k > 1 and g[0] == "<"})
+    d = {k: language_model.discounts([sum(n == j for n in counts[k].values()) for j in (1, 2, 3, 4)]) for k in counts}
+    follow = {k: defaultdict(list) for k in counts}
+    for k in counts:
+        for g, n in counts[k].items():
+            follow[k][g[:-1]].append(n)
+    types = len({g for g in grams[1]})
+
+    def p(before, w):
+        k = len(before) + 1
+        low = p(before[1:], w) if before else 1 / (types + 1)
+        after = follow[k].get(before)
+        if not after:
+            return low
+        n = counts[k].get((*before, w), 0)
+        return (max(n - d[k][min(n, 3) - 1], 0) * (n > 0) + sum(d[k][min(x, 3) - 1] for x in after) * low) / sum(after)
+
+    return p
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(docs, empty, monkeypatch, order):
+    rows = language_model.score(docs, order=order).collect()
     all_docs = [(r.doc_id, r.text) for r in docs.collect()]
     tokens = [(i, [*words(t), None]) for i, t in all_docs]
     learned = [t for i, t in tokens if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
-    c, b = Counter(), Counter()
-    for t in learned:
-        c.update(t)
-        b.update(zip(["<"] + t[:-1], t, strict=True))
-    after, before = defaultdict(lambda: [0, 0, 0, 0]), Counter()
-    for (u, v), k in b.items():
-        after[u][min(k, 3)] += 1
-        before[v] += 1
-    d = language_model.discounts([sum(k == j for k in b.values()) for j in (1, 2, 3, 4)])
-    e = language_model.discounts([sum(k == j for k in before.values()) for j in (1, 2, 3, 4)])
+    c = Counter(w for t in learned for w in t)
     n, v_ = sum(c.values()), len(c)
-    rest = sum(e[min(k, 3) - 1] for k in before.values()) / len(b)
-    total = {**c, "<": len(learned)}
+    p = plain_model(learned, order)
+    before = (["<", *learned[0]])[: order - 1]
+    assert abs(sum(p(tuple(before), w) for w in c) + p(tuple(before), b"?unknown") - 1) < 1e-9
 
-    def p(u, v):
-        k = before.get(v, 0)
-        low = (max(k - e[min(k, 3) - 1], 0) / len(b) if k else 0) + rest / (v_ + 1)
-        if not total.get(u):
-            return low
-        k, x = b.get((u, v), 0), after[u]
-        return (max(k - d[min(k, 3) - 1], 0) / total[u] if k else 0) + sum(d[j] * x[j + 1] for j in range(3)) / total[u] * low
+    def log10(t):
+        t = ["<", *t]
+        return sum(math.log10(p(tuple(t[max(0, i - order + 1) : i]), t[i])) for i in range(1, len(t)))
 
-    assert abs(sum(p(WORDS[0].encode(), w) for w in c) + p(WORDS[0].encode(), b"?unknown") - 1) < 1e-9
-    want = sorted((len(t), sum(w in c for w in t), round(sum(math.log10((c.get(w, 0) + 0.5) / (n + 0.5 * (v_ + 1))) for w in t), 5), round(sum(math.log10(p(u, v)) for u, v in zip(["<"] + t[:-1], t, strict=True)), 5)) for _, t in tokens)
-    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in rows) == want
+    want = sorted((len(t), sum(w in c for w in t), round(sum(math.log10((c.get(w, 0) + 0.5) / (n + 0.5 * (v_ + 1))) for w in t), 5), round(log10(t), 5)) for _, t in tokens)
+    found = lambda rows: sorted((r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in rows)
+    assert found(rows) == want
     assert {r.train_tokens for r in rows} == {n}
     monkeypatch.setattr(language_model, "PART", 10_000)  # a model in many parts
-    monkeypatch.setattr(language_model, "FREQUENT", 1 / 64)
-    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in language_model.score(docs).collect()) == want
+    assert found(language_model.score(docs, order=order).collect()) == want
+    monkeypatch.setattr(language_model, "OFTEN", 20)  # many words' triples dealt by all three, and added up
+    assert found(language_model.score(docs, order=order).collect()) == want
     monkeypatch.undo()
-    assert language_model.score(empty).count() == 0
+    assert language_model.score(empty, order=order).count() == 0
     held = docs.where("crc32(cast(doc_id AS string)) % 5 = 1")
-    assert all(r.n_known == 0 and r.score == 0 for r in language_model.score(held).collect())
+    assert all(r.n_known == 0 and r.score == 0 for r in language_model.score(held, order=order).collect())
 
 
 def test_counts_are_as_wide_as_they_need():
-    keys, counts = np.array([3, 2**63], np.uint64), np.array([1, 2**40])
-    for c in (counts, np.array([7, 2**32 - 1])):
-        k, v = language_model._unpack(2, *language_model._pack(keys, c))
+    keys = np.array([3, 2**63], np.uint64)
+    for c in (np.array([1, 2**40]), np.array([7, 2**32 - 1])):
+        k, v = language_model._unpack(*language_model._pack([keys, c]))
         assert k.tolist() == keys.tolist() and v.tolist() == c.tolist()
-    assert language_model._pack(keys, counts)[0] == 8 and language_model._narrow(counts).dtype == np.uint64
+        table = language_model.table_of("t", keys, count=c)
+        assert language_model.look_up(table, "t", np.array([2**63, 5, 3], np.uint64), "count")[0].tolist() == [c[1], 0, c[0]]
+    assert language_model._narrow(np.array([2**40])).dtype == np.uint64
 
 
 def test_language_id(spark, empty):
