@@ -35,7 +35,7 @@ def load_arrays(uri: str, name: str) -> dict[str, np.ndarray]:
     """The arrays of a file: views of the mapped file on a local file system, else of its bytes."""
     fs, root = filesystem(uri)
     if fs.type_name == "local":
-        data = np.memmap(f"{root}/{name}", np.uint8, "r")
+        data = np.asarray(np.memmap(f"{root}/{name}", np.uint8, "r"))  # a plain array of the mapping: its views are made quickly
     else:
         with fs.open_input_file(f"{root}/{name}") as f:
             data = np.frombuffer(f.read(), np.uint8)

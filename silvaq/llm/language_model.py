@@ -35,6 +35,8 @@ COUNTED, SCORED = 1 << 21, 1 << 19
 OFTEN = 1 << 20
 #: Bytes of text that a part of the model is made for.
 PART = 1 << 23
+#: Partitions of a shuffle by parts, at most: beyond that a task takes several parts, one after the other.
+PARTITIONS = 1 << 15
 #: Files that a worker keeps mapped.
 MAPPED = 512
 #: Bits of a hash by which a table's index goes.
@@ -306,6 +308,7 @@ def train(docs: DataFrame, order: int = 3) -> Model:
     texts = docs.select("text")
     parts = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART))
     often = OFTEN
+    by_part = lambda df: df.repartition(min(parts, PARTITIONS), "part").groupBy("part")  # noqa: E731  # a number of partitions that follows the texts
 
     def count_words(batches):
         held = []
@@ -327,7 +330,7 @@ def train(docs: DataFrame, order: int = 3) -> Model:
         end = np.flatnonzero(keys == END)
         return pa.table({"part": pa.array([p], pa.int32()), "words": pa.array([len(keys)], pa.int64()), "tokens": pa.array([total], pa.int64()), "docs": pa.array([int(counts[end].sum())], pa.int64())})
 
-    counted = texts.mapInArrow(leaving_nothing(count_words), RUN).groupBy("part").applyInArrow(write_words, "part int, words long, tokens long, docs long")
+    counted = by_part(texts.mapInArrow(leaving_nothing(count_words), RUN)).applyInArrow(write_words, "part int, words long, tokens long, docs long")
     rows = {r["part"]: r for r in stored(counted, "lm-words").collect()}  # a row for each part
     sizes = tuple(rows[p]["words"] if p in rows else 0 for p in range(parts))
     words, tokens, n_docs = sum(sizes), sum(r["tokens"] for r in rows.values()), sum(r["docs"] for r in rows.values())
@@ -388,11 +391,11 @@ def train(docs: DataFrame, order: int = 3) -> Model:
         save_arrays(uri, f"levels-{s}", {"levels": _narrow(levels.ravel()).reshape(levels.shape)})
         return pa.table({"part": pa.array([s], pa.int32()), "levels": pa.array([json.dumps(_levels(levels[:, 0]))])})
 
-    triples = stored(texts.mapInArrow(leaving_nothing(count_triples), RUN).groupBy("part").applyInArrow(write_triples, RUN), "lm-triples")
-    hot = stored(triples.where(F.col("kind").isin(CONTEXTS, PAIRS)).groupBy("part").applyInArrow(add_up, RUN), "lm-hot")
+    triples = stored(by_part(texts.mapInArrow(leaving_nothing(count_triples), RUN)).applyInArrow(write_triples, RUN), "lm-triples")
+    hot = stored(by_part(triples.where(F.col("kind").isin(CONTEXTS, PAIRS))).applyInArrow(add_up, RUN), "lm-hot")
     heads = [[(r["part"], r["n"], json.loads(r["widths"])) for r in df.where(F.col("kind") == HEAD).collect()] for df in (triples, hot)]  # a row for each part
     runs = triples.union(hot).where(F.col("kind") == STATISTICS)
-    of_spans = [(r["part"], json.loads(r["levels"])) for r in stored(runs.groupBy("part").applyInArrow(write_statistics, "part int, levels string"), "lm-levels").collect()]
+    of_spans = [(r["part"], json.loads(r["levels"])) for r in stored(by_part(runs).applyInArrow(write_statistics, "part int, levels string"), "lm-levels").collect()]
     word_levels = np.sum([x for _, x in of_spans] + [[0] * 5], axis=0).tolist()
     triple_levels, pair_levels = np.sum([x for part in heads for _, _, x in part] + [[[0] * 5] * 2], axis=0).tolist()
     return Model(
@@ -423,19 +426,22 @@ class Scorer:
         """Values of hashes in a table: in the files of their parts, or, where hot, in those of what was added up."""
         out = np.zeros((len(keys), len(hashes)), np.int64)
         place = parts if hot is None else parts * 2 + hot
-        order = np.lexsort((hashes, place))
+        # By place, and there about as the table is sorted.
+        order = np.argsort(_joined(place, hashes >> np.uint64(INDEX) & np.uint64(0xFFFFFFFF)))
         for a, b in _stretches(place[order]):
             k = order[a:b]
             p, added = int(parts[k[0]]), hot is not None and bool(hot[k[0]])
             if p in (self.m.hot_files if added else self.m.files):
-                out[:, k] = look_up(_file(self.m.uri, f"{'hot' if added else 'triples'}-{p}"), name, hashes[k], *keys)
+                each = hashes[k]
+                first = _starts(each)  # equal ones are side by side
+                found = look_up(_file(self.m.uri, f"{'hot' if added else 'triples'}-{p}"), name, each[first], *keys)
+                out[:, k] = np.repeat(found, np.diff(first, append=len(each)), axis=1)
         return out
 
     def _pairs(self, name: str, x: np.ndarray, y: np.ndarray, v: np.ndarray, hot: np.ndarray, *keys: str) -> np.ndarray:
         """Values of pairs (x, y) of a table that is dealt by v, which is one of the two."""
-        keyed, first, back = np.unique(_joined(x, y), return_index=True, return_inverse=True)
-        hashes, hot = mix(keyed), hot[first]
-        return self._values(name, hashes, _part(np.where(hot, hashes, mix(v[first].astype(np.uint64))), self.m.parts), hot, *keys)[:, back]
+        hashes = _pair_hash(x, y)
+        return self._values(name, hashes, _part(np.where(hot, hashes, mix(v.astype(np.uint64))), self.m.parts), hot, *keys)
 
     def score(self, hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known tokens, base score, log10 probability) of each text."""
