@@ -2,7 +2,7 @@
 
 The vocabulary is the sorted array of the hashes of all training words; a word's number is its place there. Pairs and triples of numbers are hashed
 again, and a table of them is a sorted array of 46 bits of each hash: 32 bits, and an index by the 14 above. (A triple that was never seen is taken for
-another once in 20 million times; counting itself is exact.) Workers map these files into memory and look up by binary search; nothing of the model is
+another about once in 20 million times; counting itself is exact.) Workers map these files into memory and look up by binary search; nothing of the model is
 sent to the driver but sums.
 
 Counting: tasks count their own words or triples first and deal out sorted, packed runs by part; a part's runs are merged where they meet and
