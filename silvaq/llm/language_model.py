@@ -2,14 +2,14 @@
 
 The vocabulary is the sorted array of the hashes of all training words; a word's number is its place there. Pairs and triples of numbers are hashed
 again, and a table of them is a sorted array of 46 bits of each hash: 32 bits, and an index by the 14 above. (A triple that was never seen is taken for
-another about once in 20 million times; counting itself is exact.) Workers map these files into memory and look up by binary search; nothing of the model is
-sent to the driver but sums.
+another about once in 20 million times; counting itself is exact.) Workers map these files side by side into memory and look up in all of them at once by
+binary search, so that a lookup costs the same whatever the number of files; nothing of the model is sent to the driver but sums.
 
 Counting: tasks count their own words or triples first and deal out sorted, packed runs by part; a part's runs are merged where they meet and
 written as one file. Triples are dealt by their middle word v, so that all that is counted of them meets in one part: the triples, what follows (u, v), and
 how many words precede (v, w). Triples of a middle word that is seen OFTEN are dealt by all three words, and their partial statistics are added up in
-a second step. There are as many parts as the texts have PART bytes, so that a part's size does not follow the corpus; counts are as wide as they
-need. Numbers have 32 bits: 2^32 - 2 distinct words or more are an error.
+a second step, in fewer parts, since each part sends to each of these. There are as many parts as the texts have PART bytes, so that a part's size does not
+follow the corpus; counts are as wide as they need. Numbers have 32 bits: 2^32 - 2 distinct words or more are an error.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import load_arrays, save_arrays
-from .common import fresh_dir, leaving_nothing, remainder, stored
+from .arrays import Chain, bisect, save_arrays
+from .common import filesystem, fresh_dir, leaving_nothing, remainder, stored
 from .shingles import mix, word_hashes
 
 #: The hash of the end token; no word has it but by chance.
@@ -37,8 +37,10 @@ OFTEN = 1 << 20
 PART = 1 << 23
 #: Partitions of a shuffle by parts, at most: beyond that a task takes several parts, one after the other.
 PARTITIONS = 1 << 15
-#: Files that a worker keeps mapped.
-MAPPED = 512
+#: Parts whose partial statistics are added up together, and words whose statistics are in a file (2 to the power).
+ADDED, SPAN = 4, 20
+#: Files in a chain if they are mapped and if they are read, and chains that a worker keeps: Linux maps 65530 files for a process.
+MAPPED, READ, CHAINS = 1 << 13, 64, 7
 #: Bits of a hash by which a table's index goes.
 INDEX = 14
 #: What a run holds: words, triples of rare and of frequent middle words, contexts and pairs to be added up, statistics of words, a part's sums.
@@ -129,14 +131,34 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _RUN, strict=True)], schema=_RUN)
 
 
+def _each(table: pa.Table, kind: int):
+    """The columns of each run of a kind."""
+    for k, n, w, d in zip(*(table[c].to_pylist() for c in ("kind", "n", "widths", "data")), strict=True):
+        if k == kind:
+            yield _unpack(n, w, d)
+
+
 def _columns(table: pa.Table, kind: int, width: int) -> list[np.ndarray]:
     """The columns of all runs of a kind, one after the other."""
-    found = [_unpack(n, w, d) for k, n, w, d in zip(*(table[c].to_pylist() for c in ("kind", "n", "widths", "data")), strict=True) if k == kind]
+    found = list(_each(table, kind))
     if not found:
         return [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * (width - 1)]
     return [np.concatenate(c) for c in zip(*found, strict=True)]
 
 
+def _added(table: pa.Table, kind: int, width: int) -> tuple[np.ndarray, ...]:
+    """Distinct keys and sums of all runs of a kind, not many more rows than these in memory."""
+    held, rows, most = [], 0, COUNTED // 4
+    for run in _each(table, kind):
+        held.append(run)
+        rows += len(run[0])
+        if rows > most:
+            held = [_sum(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+            rows = len(held[0][0])
+            most = max(most, 2 * rows)
+    return _sum(*(np.concatenate(c) for c in zip(*held, strict=True))) if held else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * (width - 1))
+
+
 def table_of(name: str, hashes: np.ndarray, **values: np.ndarray) -> dict[str, np.ndarray]:
     """The arrays of a table: hashes in their order, values in bytes; values of 255 or more apart."""
     bits = hashes & np.uint64((1 << (32 + INDEX)) - 1)
@@ -150,35 +172,48 @@ def table_of(name: str, hashes: np.ndarray, **values: np.ndarray) -> dict[str, n
     return out
 
 
-def look_up(file: dict[str, np.ndarray], name: str, hashes: np.ndarray, *keys: str) -> list[np.ndarray]:
-    """The values of hashes, 0 for those that are not there."""
-    low, index = file[f"{name}.low"], file[f"{name}.index"]
-    want, bucket = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32), (hashes >> np.uint64(32) & np.uint64((1 << INDEX) - 1)).astype(np.int64)
-    if not len(low):
-        return [np.zeros(len(hashes), np.int64) for _ in keys]
-    first, end = index[bucket], index[bucket + 1]
-    last = end.copy()
-    for _ in range(int((end - first).max(initial=0)).bit_length()):
-        middle = (first + end) >> 1
-        less = (low[np.minimum(middle, len(low) - 1)] < want) & (first < end)
-        first, end = np.where(less, middle + 1, first), np.where(less, end, middle)
+def look_up(files: Chain | dict[str, np.ndarray], name: str, hashes: np.ndarray, *keys: str, place: np.ndarray | None = None) -> list[np.ndarray]:
+    """The values of hashes, 0 for those that are not there. place: which of the files each is looked up in, the only one if None."""
+    files = files if isinstance(files, Chain) else Chain.of(files)
+    place = np.zeros(len(hashes), np.int64) if place is None else place
+    here = np.flatnonzero(files.n[f"{name}.low"][place]) if f"{name}.low" in files.n else np.zeros(0, np.int64)
+    out = [np.zeros(len(hashes), np.int64) for _ in keys]
+    if not len(here):
+        return out
+    low, starts = files.whole(f"{name}.low")
+    want, bucket = (hashes[here] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (hashes[here] >> np.uint64(32) & np.uint64((1 << INDEX) - 1)).astype(np.int64)
+    place, start = place[here], starts[place[here]]
+    last = files.take(f"{name}.index", place, bucket + 1) + start
+    first = bisect(low, want, files.take(f"{name}.index", place, bucket) + start, last)
     hit = np.flatnonzero((first < last) & (low[np.minimum(first, len(low) - 1)] == want))
-    out = []
-    for key in keys:
-        found = np.zeros(len(hashes), np.int64)
-        v = file[f"{name}.{key}"][first[hit]].astype(np.int64)
+    place, at, here = place[hit], (first - start)[hit], here[hit]
+    for key, found in zip(keys, out, strict=True):
+        v = files.take(f"{name}.{key}", place, at).astype(np.int64)
         big = np.flatnonzero(v == 255)
         if len(big):
-            v[big] = file[f"{name}.{key}.big"][np.searchsorted(file[f"{name}.{key}.at"], first[hit][big])]
-        found[hit] = v
-        out.append(found)
+            places, starts = files.whole(f"{name}.{key}.at")
+            first, of = starts[place[big]], place[big]
+            v[big] = files.take(f"{name}.{key}.big", of, bisect(places, at[big], first, first + files.n[f"{name}.{key}.at"][of]) - first)
+        found[here] = v
     return out
 
 
-@functools.lru_cache(maxsize=MAPPED)
-def _file(uri: str, name: str) -> dict[str, np.ndarray]:
-    """A part's arrays: mapped where the file system is local, else read. Of files that are read a worker keeps MAPPED at most, too."""
-    return load_arrays(uri, name)
+@functools.lru_cache(maxsize=CHAINS)
+def _chain(uri: str, kind: str, first: int, end: int, there: frozenset[int]) -> Chain:
+    return Chain.load(uri, [f"{kind}-{p}" if p in there else None for p in range(first, end)])
+
+
+@functools.lru_cache(maxsize=4)
+def _most(uri: str) -> int:
+    return MAPPED if filesystem(uri)[0].type_name == "local" else READ
+
+
+def _chained(uri: str, kind: str, there: frozenset[int], files: np.ndarray):
+    """(slice, chain, places in it) of sorted numbers of files that are there. One chain has them all up to MAPPED of them, or, on file systems that cannot be mapped, READ."""
+    most = _most(uri)
+    for a, b in _stretches(files // most):
+        first = int(files[a]) // most * most
+        yield slice(a, b), _chain(uri, kind, first, min(first + most, max(there) + 1), there), files[a:b] - first
 
 
 @dataclass(frozen=True)
@@ -197,8 +232,9 @@ class Model:
     pairs: int  # distinct
     word_levels: tuple[int, int, int]  # words with 1, 2, 3 or more distinct words before them
     files: frozenset[int]  # parts that have triples
-    hot_files: frozenset[int]  # parts that have what was added up
+    hot_files: frozenset[int]  # those that have what was added up, of hot_parts
     spans: frozenset[int]  # ranges of numbers that have statistics
+    hot_parts: int
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -223,20 +259,22 @@ class Vocabulary:
     def __init__(self, uri: str, parts: int, sizes: tuple[int, ...]):
         self.uri, self.parts, self.sizes = uri, parts, sizes
         self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.there = frozenset(p for p, n in enumerate(sizes) if n)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, count) of each hash."""
         distinct, back = np.unique(hashes, return_inverse=True)
         number, count = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
         part = _part(distinct, self.parts)  # rises with the hash
-        for a, b in _stretches(part):
-            p = int(part[a])
-            if self.sizes[p]:
-                f = _file(self.uri, f"words-{p}")
-                at = np.minimum(np.searchsorted(f["hashes"], distinct[a:b]), self.sizes[p] - 1)
-                hit = f["hashes"][at] == distinct[a:b]
-                number[a:b] = np.where(hit, at + self.starts[p], -1)
-                count[a:b] = np.where(hit, f["counts"][at], 0)
+        known = np.flatnonzero(np.diff(self.starts)[part])
+        for k, files, place in _chained(self.uri, "words", self.there, part[known]):
+            k = known[k]
+            data, starts = files.whole("hashes")
+            first, n = starts[place], files.n["hashes"][place]
+            at = np.minimum(bisect(data, distinct[k], first, first + n) - first, n - 1)
+            hit = data[first + at] == distinct[k]
+            number[k] = np.where(hit, at + self.starts[part[k]], -1)
+            count[k] = np.where(hit, files.take("counts", place, at).astype(np.int64), 0)
         return number[back], count[back]
 
 
@@ -290,13 +328,12 @@ def _contexts(vu: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return vu[first], np.add.reduceat(counts, first), *(np.add.reduceat((np.minimum(counts, 3) == k).astype(np.int64), first) for k in (1, 2, 3))
 
 
-def _word_statistics(vw: np.ndarray, a: np.ndarray, words: int, parts: int) -> pa.RecordBatch:
+def _word_statistics(vw: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
     """Statistics of words as runs, from pairs and their counts: the key is the word and what is counted: pairs that end in it, the sum of those that begin with it, and how
     many of these count 1, 2, 3 or more."""
     v, w = (x.astype(np.uint64) << np.uint64(3) for x in _halves(vw))
     keys, n = _sum(np.concatenate([w, v | np.uint64(1), v | (np.minimum(a, 3) + 1).astype(np.uint64)]), np.concatenate([np.ones(len(a), np.int64), a, np.ones(len(a), np.int64)]))
-    spans = ((keys >> np.uint64(3)) * np.uint64(parts) // np.uint64(words + 1)).astype(np.int64)
-    return _runs(STATISTICS, spans, keys, n)
+    return _runs(STATISTICS, (keys >> np.uint64(3 + SPAN)).astype(np.int64), keys, n)
 
 
 def train(docs: DataFrame, order: int = 3) -> Model:
@@ -307,7 +344,7 @@ def train(docs: DataFrame, order: int = 3) -> Model:
     uri = fresh_dir(spark, "lm")
     texts = docs.select("text")
     parts = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART))
-    often = OFTEN
+    often, hot_parts = OFTEN, -(-parts // ADDED)
     by_part = lambda df: df.repartition(min(parts, PARTITIONS), "part").groupBy("part")  # noqa: E731  # a number of partitions that follows the texts
 
     def count_words(batches):
@@ -366,9 +403,9 @@ def train(docs: DataFrame, order: int = 3) -> Model:
                 arrays |= table_of("contexts", _pair_hash(*_halves(context)[::-1]), **dict(zip(("sum", "n1", "n2", "n3"), sums, strict=True))) | table_of("pairs", _pair_hash(*_halves(pair)), count=a)
                 pair_levels += _levels(a)
                 n_pairs += len(pair)
-                out.append(_word_statistics(pair, a, words, parts))
+                out.append(_word_statistics(pair, a))
             else:
-                out += [_runs(CONTEXTS, _part(_pair_hash(*_halves(context)[::-1]), parts), context, *sums), _runs(PAIRS, _part(_pair_hash(*_halves(pair)), parts), pair, a)]
+                out += [_runs(CONTEXTS, _part(_pair_hash(*_halves(context)[::-1]), hot_parts), context, *sums), _runs(PAIRS, _part(_pair_hash(*_halves(pair)), hot_parts), pair, a)]
         hashes, counts = (np.concatenate(c) for c in zip(*grams.values(), strict=True))
         save_arrays(uri, f"triples-{p}", arrays | table_of("triples", hashes, count=counts))
         return pa.Table.from_batches([*out, _batch([(HEAD, p, n_pairs, json.dumps([levels.tolist(), pair_levels.tolist()]), b"")])])
@@ -376,18 +413,17 @@ def train(docs: DataFrame, order: int = 3) -> Model:
     def add_up(key, table):
         """Writes a part of what triples of frequent middle words say of contexts and pairs; gives statistics of words as runs."""
         p = key[0].as_py()
-        context, *sums = _sum(*_columns(table, CONTEXTS, 5))
-        pair, a = _sum(*_columns(table, PAIRS, 2))
+        context, *sums = _added(table, CONTEXTS, 5)
+        pair, a = _added(table, PAIRS, 2)
         save_arrays(uri, f"hot-{p}", table_of("contexts", _pair_hash(*_halves(context)[::-1]), **dict(zip(("sum", "n1", "n2", "n3"), sums, strict=True))) | table_of("pairs", _pair_hash(*_halves(pair)), count=a))
-        return pa.Table.from_batches([_word_statistics(pair, a, words, parts), _batch([(HEAD, p, len(pair), json.dumps([[0] * 5, _levels(a)]), b"")])])
+        return pa.Table.from_batches([_word_statistics(pair, a), _batch([(HEAD, p, len(pair), json.dumps([[0] * 5, _levels(a)]), b"")])])
 
     def write_statistics(key, table):
-        keys, counts = _sum(*_columns(table, STATISTICS, 2))
         s = key[0].as_py()
-        first, last = -(-s * (words + 1) // parts), -(-(s + 1) * (words + 1) // parts)
-        number, kind = (keys >> np.uint64(3)).astype(np.int64) - first, (keys & np.uint64(7)).astype(np.int64)
-        levels = np.zeros((last - first, 5), np.int64)  # distinct words before; of pairs that begin with the word the sum, and how many count 1, 2, 3 or more
-        levels[number, kind] = counts
+        first = s << SPAN
+        levels = np.zeros((min(first + (1 << SPAN), words + 1) - first, 5), np.int64)  # distinct words before; of pairs that begin with the word the sum, and how many count 1, 2, 3 or more
+        for keys, counts in _each(table, STATISTICS):  # a run has a key once
+            levels[(keys >> np.uint64(3)).astype(np.int64) - first, (keys & np.uint64(7)).astype(np.int64)] += counts
         save_arrays(uri, f"levels-{s}", {"levels": _narrow(levels.ravel()).reshape(levels.shape)})
         return pa.table({"part": pa.array([s], pa.int32()), "levels": pa.array([json.dumps(_levels(levels[:, 0]))])})
 
@@ -400,7 +436,7 @@ def train(docs: DataFrame, order: int = 3) -> Model:
     triple_levels, pair_levels = np.sum([x for part in heads for _, _, x in part] + [[[0] * 5] * 2], axis=0).tolist()
     return Model(
         uri, parts, sizes, words, tokens, n_docs, order, often, tuple(discounts(x) for x in (word_levels, pair_levels, triple_levels)), sum(n for part in heads for _, n, _ in part),
-        (word_levels[0], word_levels[1], word_levels[4]), *(frozenset(p for p, _, _ in part) for part in heads), frozenset(p for p, _ in of_spans),
+        (word_levels[0], word_levels[1], word_levels[4]), *(frozenset(p for p, _, _ in part) for part in heads), frozenset(p for p, _ in of_spans), hot_parts,
     )
 
 
@@ -412,36 +448,34 @@ class Scorer:
         self.words = _vocabulary(m.uri, m.parts, m.sizes)
 
     def _levels(self, numbers: np.ndarray) -> np.ndarray:
+        """Of sorted numbers."""
         out = np.zeros((len(numbers), 5), np.int64)
-        span = numbers * self.m.parts // (self.m.words + 1)
-        known = np.flatnonzero(numbers >= 0)
-        order = known[np.argsort(span[known], kind="stable")]
-        for a, b in _stretches(span[order]):
-            k, s = order[a:b], int(span[order[a]])
-            if s in self.m.spans:
-                out[k] = _file(self.m.uri, f"levels-{s}")["levels"][numbers[k] - -(-s * (self.m.words + 1) // self.m.parts)]
+        known = np.flatnonzero((numbers >= 0) & np.isin(numbers >> SPAN, list(self.m.spans)))
+        for k, files, place in _chained(self.m.uri, "levels", self.m.spans, numbers[known] >> SPAN):
+            k = known[k]
+            out[k] = files.take("levels", place[:, None], (numbers[k, None] & (1 << SPAN) - 1) * 5 + np.arange(5))
         return out
 
     def _values(self, name: str, hashes: np.ndarray, parts: np.ndarray, hot: np.ndarray | None, *keys: str) -> np.ndarray:
         """Values of hashes in a table: in the files of their parts, or, where hot, in those of what was added up."""
         out = np.zeros((len(keys), len(hashes)), np.int64)
-        place = parts if hot is None else parts * 2 + hot
-        # By place, and there about as the table is sorted.
-        order = np.argsort(_joined(place, hashes >> np.uint64(INDEX) & np.uint64(0xFFFFFFFF)))
-        for a, b in _stretches(place[order]):
-            k = order[a:b]
-            p, added = int(parts[k[0]]), hot is not None and bool(hot[k[0]])
-            if p in (self.m.hot_files if added else self.m.files):
-                each = hashes[k]
-                first = _starts(each)  # equal ones are side by side
-                found = look_up(_file(self.m.uri, f"{'hot' if added else 'triples'}-{p}"), name, each[first], *keys)
-                out[:, k] = np.repeat(found, np.diff(first, append=len(each)), axis=1)
+        for added, kind, there in ((False, "triples", self.m.files), (True, "hot", self.m.hot_files)):
+            at = np.arange(0 if added else len(hashes)) if hot is None else np.flatnonzero(hot == added)
+            at = at[np.isin(parts[at], list(there))] if len(there) < (self.m.hot_parts if added else self.m.parts) else at
+            # By file, and there about as the table is sorted.
+            at = at[np.argsort(_joined(parts[at], hashes[at] >> np.uint64(INDEX) & np.uint64(0xFFFFFFFF)))]
+            first = _starts(hashes[at])  # equal ones are side by side
+            each, times = hashes[at][first], np.diff(first, append=len(at))
+            found = np.zeros((len(keys), len(first)), np.int64)
+            for k, files, place in _chained(self.m.uri, kind, there, parts[at][first]):
+                found[:, k] = look_up(files, name, each[k], *keys, place=place)
+            out[:, at] = np.repeat(found, times, axis=1)
         return out
 
     def _pairs(self, name: str, x: np.ndarray, y: np.ndarray, v: np.ndarray, hot: np.ndarray, *keys: str) -> np.ndarray:
         """Values of pairs (x, y) of a table that is dealt by v, which is one of the two."""
         hashes = _pair_hash(x, y)
-        return self._values(name, hashes, _part(np.where(hot, hashes, mix(v.astype(np.uint64))), self.m.parts), hot, *keys)
+        return self._values(name, hashes, np.where(hot, _part(hashes, self.m.hot_parts), _part(mix(v.astype(np.uint64)), self.m.parts)), hot, *keys)
 
     def score(self, hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known tokens, base score, log10 probability) of each text."""

@@ -264,6 +264,56 @@ def test_counts_are_as_wide_as_they_need():
     assert language_model._narrow(np.array([2**40])).dtype == np.uint64
 
 
+def test_a_lookup_reads_all_files_of_a_model_at_once(docs, monkeypatch):
+    monkeypatch.setattr(language_model, "PART", 20_000)
+    monkeypatch.setattr(language_model, "OFTEN", 100)
+    model = language_model.train(docs)
+    assert len(model.files) > 5 and model.hot_files
+    given = [np.append(language_model.word_hashes(t), language_model.END) for t in texts()]
+    scorer, calls, look_up = language_model.Scorer(model), [], language_model.look_up
+    monkeypatch.setattr(language_model, "look_up", lambda *a, **b: calls.append(1) or look_up(*a, **b))
+    ask = lambda: scorer.score(np.concatenate(given), np.array([len(x) for x in given]))
+    want = ask()
+    assert len(calls) <= 5  # pairs and contexts of rare and of frequent words, and triples: however many files there are
+    monkeypatch.setattr(language_model, "MAPPED", 3)  # several chains
+    language_model._most.cache_clear()
+    for got, x in zip(ask(), want, strict=True):
+        assert got.tolist() == x.tolist()
+    assert len(calls) > 7
+    language_model._most.cache_clear()
+
+
+def test_partial_sums_are_added_up_a_few_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    runs = [language_model._sum(rng.integers(0, 300, 200).astype(np.uint64), rng.integers(1, 2**35, 200), rng.integers(1, 9, 200)) for _ in range(30)]
+    table = language_model.pa.Table.from_batches([language_model._runs(language_model.PAIRS, np.zeros(len(r[0]), np.int64), *r) for r in runs])
+    monkeypatch.setattr(language_model, "COUNTED", 1000)
+    want = language_model._sum(*(np.concatenate(c) for c in zip(*runs, strict=True)))
+    assert all(a.tolist() == b.tolist() for a, b in zip(language_model._added(table, language_model.PAIRS, 3), want, strict=True))
+
+
+@pytest.mark.parametrize("mapped", [True, False])
+def test_chains_of_files(tmp_path, monkeypatch, mapped):
+    from pyarrow import fs
+
+    from silvaq.llm import arrays
+
+    rng, files = np.random.default_rng(5), {}
+    for i in (0, 1, 3, 6):
+        keys = np.unique(rng.integers(1, 2**63, 5000 * (i != 3), dtype=np.uint64))
+        files[i] = keys, rng.integers(1, [300, 2**40, 2, 5][i % 4], len(keys))
+        arrays.save_arrays(f"file://{tmp_path}", f"x-{i}", language_model.table_of("t", keys, count=files[i][1]) | {"raw": language_model._narrow(files[i][1])})
+    if not mapped:
+        monkeypatch.setattr(arrays, "filesystem", lambda uri: (fs.SubTreeFileSystem("/", fs.LocalFileSystem()), str(tmp_path)))
+    chain = arrays.Chain.load(f"file://{tmp_path}", [f"x-{i}" if i in files else None for i in range(8)])
+    place, at = (np.concatenate(x) for x in zip(*[(np.full(len(k), i), np.arange(len(k))) for i, (k, _) in files.items()], strict=True))
+    keys, counts = (np.concatenate(x) for x in zip(*files.values(), strict=True))
+    assert chain.take("raw", place, at).tolist() == counts.tolist()
+    order = rng.permutation(len(keys))
+    assert language_model.look_up(chain, "t", keys[order], "count", place=place[order])[0].tolist() == counts[order].tolist()
+    assert not language_model.look_up(chain, "t", keys, "count", place=np.where(place == 6, 2, 6))[0].any()  # in another's file, or in none
+
+
 def test_language_id(spark, empty):
     rng = random.Random(2)
     of = {"aa": "abcd", "bb": "efgh", "cc": "ijkl"}
