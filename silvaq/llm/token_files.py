@@ -89,7 +89,9 @@ class WordEncoder:
         wanted, rest = {s for pair in stems.values() for s in pair}.union(w for w in words if w not in stems).difference(self.known), []
         tokenize, code = self.tokenizer.model.tokenize, self.code
         for w in wanted:
-            if w.isalpha() and w.islower() or _one_run(w.decode()):
+            if w.isalpha() and w.islower():  # ASCII letters, which stand for themselves
+                into[w] = array.array(code, [t.id for t in tokenize(w.decode())]).tobytes()
+            elif _one_run(w.decode()):
                 into[w] = array.array(code, [t.id for t in tokenize(w.decode("latin-1").translate(_SIGNS))]).tobytes()
             else:
                 rest.append(w)

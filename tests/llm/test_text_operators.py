@@ -91,6 +91,15 @@ def test_words_with_signs_are_encoded_as_in_texts():
     assert [np.frombuffer(x, np.uint16).tolist() for x in coder.encode(given)] == [t.encode(x, add_special_tokens=False).ids for x in given]
 
 
+def test_ascii_letters_stand_for_themselves(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    t, coder, given = Tokenizer.from_file(path), token_files.WordEncoder(path), ["Plain WORDS of letters", "z" * 70, *(sentence(50) for _ in range(20))]
+    monkeypatch.setattr(token_files, "_SIGNS", None)  # nothing to look up in
+    assert [np.frombuffer(x, np.uint16).tolist() for x in coder.encode(given)] == [t.encode(x, add_special_tokens=False).ids for x in given]
+
+
 def test_other_tokenizers_encode_whole_texts():
     from tokenizers import Tokenizer
 
