@@ -1,9 +1,14 @@
 """What queries move and write: nothing that grows faster than the tables."""
 
+import itertools
+
 import pytest
+from pyspark.sql import functions as F
 
 from silvaq import catalogue
 from silvaq.engine import Engine
+from silvaq.functions import validation
+from silvaq.functions.arrays import before
 from silvaq.sources import fixtures
 
 TEXTS = ["x aaaa x b c", "the Of #a-B the ccccc dddddd eeeeeee ff", "", " ", "A-b  aaaa aaaa bbbbb", " ".join(["w" * (i % 9) for i in range(256)]), " ".join(["x"] * 257)]
@@ -48,3 +53,34 @@ def test_patterns_together_are_as_those_alone(spark, sf_dir):
     for name, pattern in patterns.items():
         assert sorted((r.graph_id, tok) for r in found for tok in r[name]) == sorted(map(tuple, engine.hits(pattern).collect()))
     assert {r.graph_id: r.toks for r in engine.grouped("NOUN").collect()} == {r.graph_id: r.toks for r in engine.grouped(lambda e: e.hits("NOUN")).collect()}
+
+
+CHECKS = ["rows", "surface", "sentence_issues", "field_issues", "repaired", "features", "spans"]
+
+
+@pytest.mark.parametrize("name", CHECKS)
+def test_checks_deal_out_no_rows(spark, sf_dir, name):
+    shown = plan(catalogue.queries()[f"conllu_{name}"](spark, sf_dir))
+    assert "Join" not in shown and shown.count("Exchange") == shown.count("REPARTITION")
+
+
+@pytest.mark.parametrize("name", ["sentence_issues", "repaired", "features", "dependencies"])
+def test_checks_of_blocks_are_those_of_rows(spark, name):
+    row = "\t".join
+    blocks = [
+        "# c\n1-2\tMW" + "\t_" * 8 + "\n1\ta\ta\tX\t_\tA=1|B=2,3\t0\tr\t2:x|0:y|9:z\t_\n2\tb\tb\tX\t_\tbad\t7\tr\tno\t_\n2\tc\tc\tX\t_\t_\t1\tr\t1:y|1:y\t_",
+        "\n".join(row([str(i), "w", "w", "X", "_", "_", "0" if i == 1 else str(i - 1), "d", f"{i - 1}:d" if i > 1 else "_", "_"]) for i in range(1, 40)),
+        "1.1\tn\tn\tX\n2-1\tm\tm\tX\nx\ty\n1  spaced out here _ _ 2 d 1.1:e",
+        "# nothing",
+    ]
+    b = spark.createDataFrame(list(enumerate(blocks)), "graph_id long, block string")
+    check = getattr(validation, name)
+    found = sorted(map(tuple, check(b).collect()), key=str)
+    assert found and found == sorted(map(tuple, check(validation.rows(b)).collect()), key=str)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 16, 17, 1000, 20_000])
+def test_sums_before(spark, n):
+    values = [i % 7 for i in range(n)]
+    found = spark.createDataFrame([(values,)], "v array<int>").select(before(F.col("v")).alias("b")).first().b
+    assert found == [0, *itertools.accumulate(values)][:n]
