@@ -64,7 +64,7 @@ def test_checks_deal_out_no_rows(spark, sf_dir, name):
     assert "Join" not in shown and shown.count("Exchange") == shown.count("REPARTITION")
 
 
-@pytest.mark.parametrize("name", ["sentence_issues", "repaired", "features", "dependencies"])
+@pytest.mark.parametrize("name", ["field_issues", "sentence_issues", "repaired", "features", "dependencies"])
 def test_checks_of_blocks_are_those_of_rows(spark, name):
     row = "\t".join
     blocks = [
