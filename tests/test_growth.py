@@ -9,7 +9,7 @@ from silvaq import catalogue
 from silvaq.engine import Engine
 from silvaq.functions import validation
 from silvaq.functions.arrays import before
-from silvaq.sources import fixtures
+from silvaq.sources import conllu, fixtures
 
 TEXTS = ["x aaaa x b c", "the Of #a-B the ccccc dddddd eeeeeee ff", "", " ", "A-b  aaaa aaaa bbbbb", " ".join(["w" * (i % 9) for i in range(256)]), " ".join(["x"] * 257)]
 
@@ -84,3 +84,26 @@ def test_sums_before(spark, n):
     values = [i % 7 for i in range(n)]
     found = spark.createDataFrame([(values,)], "v array<int>").select(before(F.col("v")).alias("b")).first().b
     assert found == [0, *itertools.accumulate(values)][:n]
+
+
+@pytest.mark.parametrize("name", ["conllu_scan", "hits_conllu"])
+def test_conllu_is_read_and_annotated_where_it_is(spark, sf_dir, name, monkeypatch):
+    monkeypatch.setattr(catalogue, "index", None)
+    shown = plan(catalogue.queries()[name](spark, sf_dir))
+    assert "Join" not in shown and shown.count("Exchange") == shown.count("REPARTITION")
+
+
+def test_edges_of_long_sentences_are_linked(spark):
+    n = 150
+    heads = {i: (i * 7) % n for i in range(n)}
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(*conllu.token(i, F.lit("f"), F.lit("l"), F.lit("X"), F.lit("_"))))
+    edges = F.array(*[F.struct(F.lit(h).alias("gov"), F.lit(d).alias("dep"), F.lit(str(d)).alias("dtype"), F.lit(True).alias("basic")) for d, h in heads.items()])
+    found = spark.range(1).select(conllu.link(tokens, edges).alias("t")).first().t
+    assert [x.idx for x in found] == list(range(n)) and [[e.u for e in x.into] for x in found] == [[heads[i]] for i in range(n)]
+    assert [[(e.u, e.d) for e in x.out] for x in found] == [[(d, str(d)) for d, h in heads.items() if h == i] for i in range(n)]
+
+
+def test_heads_are_checked_where_no_part_asks_for_edges(spark):
+    bad = spark.createDataFrame([("s", 0, "1\ta\ta\tN\t_\t_\t9\tx\t_\t_")], "shard string, graph_id long, block string")
+    with pytest.raises(Exception, match="no row has"):
+        conllu.graphs(bad, ("lines",)).collect()
