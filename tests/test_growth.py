@@ -107,3 +107,18 @@ def test_heads_are_checked_where_no_part_asks_for_edges(spark):
     bad = spark.createDataFrame([("s", 0, "1\ta\ta\tN\t_\t_\t9\tx\t_\t_")], "shard string, graph_id long, block string")
     with pytest.raises(Exception, match="no row has"):
         conllu.graphs(bad, ("lines",)).collect()
+
+
+def test_flat_tokens_are_those_of_sentences(spark, sf_dir):
+    rows = lambda df: sorted(df.select("graph_id", *sorted(set(df.columns) - {"graph_id"})).collect(), key=str)
+    found, want = fixtures.flat_lines(fixtures.text_lines(spark, sf_dir)), fixtures.flat(fixtures.text_heaps(spark, sf_dir))
+    assert all(rows(f) == rows(w) for f, w in zip(found, want, strict=True))
+    r = spark.createDataFrame([(1, 0, "ORDER", "Status=O", -1, "root"), (1, 1, "ITEM", "_", 0, "N"), (2, 0, "ORDER", "Status=F", -1, "root")], "graph_id long, tok int, upos string, feat string, head int, deprel string")
+    found, want = fixtures.flat_rows(r), fixtures.flat(fixtures._nest(r))
+    assert all(rows(f) == rows(w) for f, w in zip(found, want, strict=True))
+
+
+@pytest.mark.parametrize("name", ["dep_nested", "plus", "dep_other_dir"])
+def test_joins_bring_no_sentence_together(spark, sf_dir, name):
+    shown = plan(catalogue.queries()[f"{name}_by_joins"](spark, sf_dir))
+    assert "collect_list" not in shown and "struct(" not in shown and "lambda" not in shown
