@@ -122,3 +122,10 @@ def test_flat_tokens_are_those_of_sentences(spark, sf_dir):
 def test_joins_bring_no_sentence_together(spark, sf_dir, name):
     shown = plan(catalogue.queries()[f"{name}_by_joins"](spark, sf_dir))
     assert "collect_list" not in shown and "struct(" not in shown and "lambda" not in shown
+
+
+def test_postings_of_one_kind_write_no_index(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(catalogue, "index", None)
+    found = catalogue.queries()["postings_lemma"](spark, sf_dir)
+    words = [line.lower().split(" ") for line in TEXTS[:-1]]
+    assert {(r.term, r.norm): (r.sentences, r.occurrences) for r in found.collect()}[("aaaa", 0)] == (7 * sum("aaaa" in w for w in words), 7 * sum(w.count("aaaa") for w in words))
